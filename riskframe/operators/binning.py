@@ -81,11 +81,11 @@ def bin_counts(df: DataFrame, target: str, edges: dict[str, list[float]],
                  F.count_if(F.col("_y") == 0).alias("non_event_count")))
 
 
-def add_woe(counts: DataFrame) -> DataFrame:
+def add_woe(counts: DataFrame, constant: list[str] = ()) -> DataFrame:
     """WoE = ln(non-event share / event share), clipped; IV part per bin.
 
-    Features with a single bin or a single class carry no information and are left out.
-    The windows see one row per bin.
+    Features with one class, and the named constant ones without a second bin, carry no
+    information and are left out. The windows see one row per bin.
     """
     feature = Window.partitionBy("feature")
     events, others = F.col("event_count"), F.col("non_event_count")
@@ -95,7 +95,8 @@ def add_woe(counts: DataFrame) -> DataFrame:
     return (counts
             .withColumns({"_e": F.sum(events).over(feature), "_n": F.sum(others).over(feature),
                           "_bins": F.count("*").over(feature)})
-            .where((F.col("_e") > 0) & (F.col("_n") > 0) & (F.col("_bins") > 1))
+            .where((F.col("_e") > 0) & (F.col("_n") > 0)
+                   & ((F.col("_bins") > 1) | ~F.col("feature").isin(list(constant))))
             .withColumn("woe", odds)
             .withColumn("iv_contrib", (share_n - share_e) * F.col("woe"))
             .drop("_e", "_n", "_bins"))
@@ -106,7 +107,8 @@ def woe_table(df: DataFrame, target: str, columns: list[str], bins: int = 10,
               edges: dict[str, list[float]] | None = None) -> DataFrame:
     """Binning table (feature, bin, event_count, non_event_count, woe, iv_contrib)."""
     found = quantile_edges(df, columns, bins, approximate) if edges is None else edges
-    return add_woe(bin_counts(df, target, found, columns))
+    constant = [c for c in columns if len(found.get(c, [])) <= 1]
+    return add_woe(bin_counts(df, target, found, columns), constant)
 
 
 def iv_ranking(table: DataFrame, min_iv: float | None = None) -> DataFrame:
