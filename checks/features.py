@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import Tables, rounded, sql_rounded, with_views
+from checks.views import Tables, nudge_of, rounded, sql_rounded, with_views
 from riskframe.functions import application as app
 from riskframe.operators import history as hist
 from riskframe.sources import tables as src
@@ -14,7 +14,7 @@ QUERIES, SQL = {}, {}
 
 def query(name: str, sql: str):
     def register(fn):
-        QUERIES[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)))
+        QUERIES[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)), nudge_of(sql))
         SQL[name] = sql
         return fn
     return register

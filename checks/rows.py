@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.features import BUREAU, CC, INST, LOANS, POS, PREV, clip_sql, ratio_sql
-from checks.views import Tables, rounded, sql_rounded, with_views
+from checks.views import Tables, nudge_of, rounded, sql_rounded, with_views
 from riskframe.functions import application as app
 from riskframe.operators import profile
 from riskframe.plans import training
@@ -15,7 +15,7 @@ QUERIES, SQL = {}, {}
 
 def query(name: str, sql: str | None):
     def register(fn):
-        QUERIES[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)))
+        QUERIES[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)), nudge_of(sql))
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import Tables, rounded, sql_rounded, with_views
+from checks.views import Tables, nudge_of, rounded, sql_rounded, with_views
 from riskframe.operators import audit, encoding, metrics, prefix, splits
 
 QUERIES, SQL = {}, {}
@@ -12,7 +12,7 @@ QUERIES, SQL = {}, {}
 
 def query(name: str, sql: str | None):
     def register(fn):
-        QUERIES[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)))
+        QUERIES[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)), nudge_of(sql))
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -266,15 +266,27 @@ def with_views(names: str, query: str, **ctes: str) -> str:
     return f"WITH {', '.join(parts)} {query}" if parts else query
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; a rounded -0.0 becomes 0.0."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double"
+def rounded(df: DataFrame, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded to 6 digits for comparison; a rounded -0.0 becomes 0.0.
+
+    ``nudge`` moves values that end exactly in a half off it, where the last bit of a
+    sum would decide the direction.
+    """
+    return df.select(*[(F.round(F.col(f"`{c}`") + nudge, 6) + 0.0).alias(c) if t == "double"
                        else F.col(f"`{c}`").cast("bigint").alias(c) if t in ("int", "tinyint")
                        else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
+NUDGE = 1e-9
+
+
+def nudge_of(sql: str | None) -> float:
+    """Round the Spark side as its SQL does: :func:`sql_rounded` nudges, plain SQL does not."""
+    return NUDGE if sql is not None and str(NUDGE) in sql else 0.0
+
+
 def sql_rounded(query: str, doubles: str = "", longs: str = "", others: str = "") -> str:
-    """The SQL counterpart of :func:`rounded` over a query with a leading WITH clause."""
+    """The SQL counterpart of :func:`rounded` with the nudge."""
     items = others.split() + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()] + [
-        f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in doubles.split()]
+        f"round(CAST({c} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {c}" for c in doubles.split()]
     return f"SELECT {', '.join(items)} FROM ({query})"
