@@ -332,3 +332,27 @@ def _(t):
     rows = t.scored()
     encoded = encoding.encode_test(rows.where("flag <> 'N'"), rows, "flag", "label", name="enc")
     return encoded.groupBy("flag").agg(F.count("*").alias("n"), F.max("enc").alias("enc"))
+
+
+def _cell(c: str) -> str:
+    z = f"({c} - m_{c}) / s_{c}"
+    return f"CAST(least(floor((greatest(least({z}, 3), -3) + 3) / 6 * 16), 15) AS INT)"
+
+
+_NLEV = "SELECT *, " + ", ".join(
+    f"sum(n) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}) - sum(n) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}, fold) AS n{l}, "
+    f"sum(y) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}) - sum(y) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}, fold) AS y{l}"
+    for l in (4, 3, 2, 1)) + " FROM cells"
+
+
+@query("neighbour_encode", with_views("scored", "SELECT fold, count(*) AS n, round(avg(e), 6) AS mean_enc, round(max(e), 6) AS top FROM "
+    "(SELECT fold, coalesce(" + ", ".join(f"CASE WHEN n{l} >= 500 THEN y{l} / n{l}::DOUBLE END" for l in (4, 3, 2, 1))
+    + ", (SELECT avg(label) FROM scored o WHERE o.fold <> r.fold)) AS e FROM r JOIN lev USING (a, b, fold)) GROUP BY 1",
+    st="SELECT avg(score_b) AS m_score_b, stddev_pop(score_b) AS s_score_b, avg(score_c) AS m_score_c, stddev_pop(score_c) AS s_score_c FROM scored",
+    r=f"SELECT fold, label, {_cell('score_b')} AS a, {_cell('score_c')} AS b FROM scored, st",
+    cells="SELECT a, b, fold, count(*) AS n, sum(label) AS y FROM r GROUP BY ALL", lev=_NLEV))
+def _(t):
+    encoded = encoding.encode_neighbours(t.scored(), ["score_b", "score_c"], "label", "fold")
+    e = F.col("neighbour_enc")
+    return encoded.groupBy("fold").agg(F.count("*").alias("n"), F.avg(e).alias("mean_enc"),
+                                       F.max(e).alias("top"))

@@ -262,16 +262,10 @@ def drop_regulated(df: DataFrame, strict: bool = False) -> DataFrame:
 def drop_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """One audit row: dropped columns, row counts and lost keys."""
     dropped = [c for c in before.columns if c not in after.columns]
-    rows_before = before.agg(F.count("*").alias("rows_before"))
-    rows_after = after.agg(F.count("*").alias("rows_after"))
-    lost = before.join(after.select(KEY), KEY, "left_anti").agg(F.count("*").alias("lost_keys"))
-    # three one-row frames side by side
-    return (rows_before.withColumn("k", F.lit(1))
-            .join(rows_after.withColumn("k", F.lit(1)), "k")
-            .join(lost.withColumn("k", F.lit(1)), "k")
-            .drop("k")
-            .withColumn("dropped_columns", F.array(*[F.lit(c) for c in dropped])
-                        .cast("array<string>")))
+    lost = before.join(after.select(KEY), KEY, "left_anti").count()
+    return before.sparkSession.createDataFrame(
+        [(before.count(), after.count(), lost, dropped)],
+        "rows_before long, rows_after long, lost_keys long, dropped_columns array<string>")
 
 
 def drop_columns(df: DataFrame, denied: list[str], prefixes: tuple[str, ...] = ()) -> DataFrame:

@@ -187,17 +187,15 @@ def categorical_woe(df: DataFrame, target: str, columns: list[str],
     """Smoothed WoE per category of each text column, rows with NULL left out."""
     long = df.select(F.col(target).alias("_y"), *columns).unpivot(
         ["_y"], columns, "feature", "category")
-    totals = df.agg(F.count_if(F.col(target) == 1).alias("_e"),
-                    F.count_if(F.col(target) == 0).alias("_n"))
+    events, others = df.agg(F.count_if(F.col(target) == 1),
+                            F.count_if(F.col(target) == 0)).first()
     counts = long.where("category IS NOT NULL").groupBy("feature", "category").agg(
         F.count_if(F.col("_y") == 1).alias("event_count"),
         F.count_if(F.col("_y") == 0).alias("non_event_count"))
     sizes = counts.groupBy("feature").agg(F.count("*").alias("_k"))
-    # totals is a single row
-    side = sizes.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
-    event = (F.col("event_count") + smoothing) / (F.col("_e") + smoothing * F.col("_k"))
-    other = (F.col("non_event_count") + smoothing) / (F.col("_n") + smoothing * F.col("_k"))
-    return (counts.join(side, "feature")
+    event = (F.col("event_count") + smoothing) / (events + smoothing * F.col("_k"))
+    other = (F.col("non_event_count") + smoothing) / (others + smoothing * F.col("_k"))
+    return (counts.join(sizes, "feature")
             .withColumn("woe", F.ln(other / event))
             .withColumn("iv_contrib", (other - event) * F.col("woe"))
             .select("feature", "category", "event_count", "non_event_count", "woe",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import MISSING, clip, fill, flag, mean_if, sum0
-from riskframe.operators.prefix import prefix_sums
+from riskframe.operators.prefix import LARGE_GROUP, split_sums
 from riskframe.sources.schema import KEY
 
 DELINQUENT = ["1", "2", "3", "4", "5"]
@@ -311,16 +311,16 @@ _TIES = ["DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT"]
 
 
 def ordered_instalments(inst: DataFrame, by: str = "DAYS_INSTALMENT",
-                        sums: dict[str, Column] | None = None) -> DataFrame:
+                        sums: dict[str, Column] | None = None,
+                        large: int = LARGE_GROUP) -> DataFrame:
     """Instalments with their sequence number per applicant (``seq``, ``seq_total``).
 
     Ordered by day, ties by every other value the features read, so equal keys are
-    interchangeable. A day is the chunk: an applicant with very many rows spreads
-    over as many tasks as it has days.
+    interchangeable. An applicant with more than ``large`` rows is split by day.
     """
     ties = [c for c in ["DAYS_INSTALMENT", *_TIES] if c != by]
-    return prefix_sums(inst, [KEY], [by, *ties], {"seq": F.lit(1), **(sums or {})},
-                       chunk=F.floor(F.col(by)), totals=["seq"])
+    return split_sums(inst, [KEY], [by, *ties], {"seq": F.lit(1), **(sums or {})},
+                      chunk=F.floor(F.col(by)), totals=["seq"], large=large)
 
 
 def _longest_run(ordered: DataFrame, hit: Column, running: str, name: str) -> DataFrame:
@@ -330,39 +330,62 @@ def _longest_run(ordered: DataFrame, hit: Column, running: str, name: str) -> Da
     return runs.groupBy(KEY).agg(F.max("_len").alias(name))
 
 
+def instalment_sequences(inst: DataFrame, window: int = 12,
+                         large: int = LARGE_GROUP) -> DataFrame:
+    """All order-dependent instalment features from one ordered pass.
+
+    A payment is late when it comes after its due day; an unpaid one is not.
+    """
+    due, paid_on = F.col("DAYS_INSTALMENT"), F.col("DAYS_ENTRY_PAYMENT")
+    owed, paid = F.col("AMT_INSTALMENT"), F.col("AMT_PAYMENT")
+    late = paid_on > due
+    ordered = ordered_instalments(inst, sums={"late_so_far": flag(late).cast("long")},
+                                  large=large)
+    runs = _longest_run(ordered, late, "late_so_far", "max_consec_late_streak")
+    seq, left = F.col("seq").cast("double"), F.col("seq_total") - F.col("seq")
+    last_late = F.max(F.when(late, due))
+    mean_late, n_late = F.avg(days_late()), F.count(days_late())
+    # an unpaid instalment leaves a slope, mean or skewness unknown
+    all_amounts, all_days = F.count("*") == F.count(paid), F.count("*") == n_late
+    last6, recent = mean_if(left < 6, days_late()), mean_if(left < window, days_late())
+    varied = (n_late > 1) & all_days & (F.stddev_pop(days_late()) > 0)
+    features = {
+        "months_since_last_late": F.bround(-last_late / 30.0, 2),
+        "inst_months_since_last_dpd": fill(F.abs(F.max(due) - last_late) / 30.0, 999.0),
+        "inst_payment_amt_slope": fill(F.regr_slope(owed, seq), 0.0),
+        "inst_payment_ratio_trend":
+            fill(F.when(all_amounts, F.regr_slope(paid / (owed + 1e-6), seq)), 0.0),
+        "inst_recent_vs_historical_dpd": fill(F.when(all_days, last6 / (mean_late + 1e-6)), 0.0),
+        "inst_recent_late_mean": fill(recent, 0.0),
+        "inst_recent_underpay": fill(mean_if(left < window, owed - paid), 0.0),
+        "inst_late_trend": fill(recent - mean_late, 0.0),
+        "inst_payment_diff_max": fill(F.max(owed - paid), 0.0),
+        "inst_late_skew": fill(F.when(varied, F.skewness(days_late())), 0.0),
+    }
+    trend = ordered.groupBy(KEY).agg(*[v.alias(n) for n, v in features.items()])
+    return (trend.join(runs, KEY, "left").fillna(0, ["max_consec_late_streak"])
+            .withColumn("inst_longest_dpd_streak",
+                        F.col("max_consec_late_streak").cast("double")))
+
+
 def late_streak(inst: DataFrame) -> DataFrame:
     """Longest run of late payments and months since the last late one."""
-    late = F.col("DAYS_ENTRY_PAYMENT") > F.col("DAYS_INSTALMENT")
-    ordered = ordered_instalments(inst, sums={"late_so_far": flag(late).cast("long")})
-    runs = _longest_run(ordered, late, "late_so_far", "max_consec_late_streak")
-    last = inst.groupBy(KEY).agg(
-        F.bround(-F.max(F.when(late, F.col("DAYS_INSTALMENT"))) / 30.0, 2)
-        .alias("months_since_last_late"))
-    return last.join(runs, KEY, "left").fillna(0, ["max_consec_late_streak"])
+    return instalment_sequences(inst).select(
+        KEY, "max_consec_late_streak", "months_since_last_late")
 
 
 def payment_sequence(inst: DataFrame) -> DataFrame:
     """Longest overdue run, recency, slopes over the sequence, recent against overall lateness."""
-    overdue = days_late() > 0
-    ordered = ordered_instalments(inst, sums={"overdue_so_far": flag(overdue).cast("long")})
-    runs = _longest_run(ordered, overdue, "overdue_so_far", "inst_longest_dpd_streak")
-    due, owed = F.col("DAYS_INSTALMENT"), F.col("AMT_INSTALMENT")
-    seq, share = F.col("seq").cast("double"), F.col("AMT_PAYMENT") / (F.col("AMT_INSTALMENT") + 1e-6)
-    since = F.abs(F.max(due) - F.max(F.when(overdue, due))) / 30.0
-    # an unpaid instalment makes the whole slope or mean unknown, hence 0
-    complete = F.count("*") == F.count(F.col("AMT_PAYMENT"))
-    paid_all = F.count("*") == F.count(days_late())
-    newest = F.col("seq") > F.col("seq_total") - 6
-    recent = mean_if(newest, days_late())
-    recent_paid = F.count_if(newest & days_late().isNull()) == 0
-    trend = ordered.groupBy(KEY).agg(
-        fill(since, 999.0).alias("inst_months_since_last_dpd"),
-        fill(F.regr_slope(owed, seq), 0.0).alias("inst_payment_amt_slope"),
-        fill(F.when(complete, F.regr_slope(share, seq)), 0.0).alias("inst_payment_ratio_trend"),
-        fill(F.when(paid_all & recent_paid, recent / (F.avg(days_late()) + 1e-6)), 0.0)
-        .alias("inst_recent_vs_historical_dpd"))
-    return trend.join(runs, KEY, "left").withColumn(
-        "inst_longest_dpd_streak", fill(F.col("inst_longest_dpd_streak").cast("double"), 0.0))
+    return instalment_sequences(inst).select(
+        KEY, "inst_longest_dpd_streak", "inst_months_since_last_dpd", "inst_payment_amt_slope",
+        "inst_payment_ratio_trend", "inst_recent_vs_historical_dpd")
+
+
+def recent_payments(inst: DataFrame, window: int = 12) -> DataFrame:
+    """Newest ``window`` instalments against all: lateness, underpayment, gap, skewness."""
+    return instalment_sequences(inst, window).select(
+        KEY, "inst_recent_late_mean", "inst_recent_underpay", "inst_late_trend",
+        "inst_payment_diff_max", "inst_late_skew")
 
 
 def payment_slope(inst: DataFrame) -> DataFrame:
@@ -378,24 +401,6 @@ def payment_slope(inst: DataFrame) -> DataFrame:
         F.when(F.count("*") < 3, 0.0).when(complete, slope).alias("inst_payment_trend_slope"))
 
 
-def recent_payments(inst: DataFrame, window: int = 12) -> DataFrame:
-    """Newest ``window`` instalments against all: lateness, underpayment, gap, skewness."""
-    gap = F.col("AMT_INSTALMENT") - F.col("AMT_PAYMENT")
-    newest = F.col("seq") > F.col("seq_total") - window
-    recent = mean_if(newest, days_late())
-    mean, n = F.avg(days_late()), F.count(days_late())
-    # population skewness, 0 for a constant or a single value
-    # an unpaid instalment makes the skewness unknown
-    varied = (n > 1) & (n == F.count("*")) & (F.stddev_pop(days_late()) > 0)
-    skew = F.when(varied, F.skewness(days_late()))
-    return ordered_instalments(inst).groupBy(KEY).agg(
-        fill(recent, 0.0).alias("inst_recent_late_mean"),
-        fill(mean_if(newest, gap), 0.0).alias("inst_recent_underpay"),
-        fill(recent - mean, 0.0).alias("inst_late_trend"),
-        fill(F.max(gap), 0.0).alias("inst_payment_diff_max"),
-        fill(skew, 0.0).alias("inst_late_skew"))
-
-
 def past_loan_delinquency(bbal: DataFrame) -> DataFrame:
     """Mean and maximum delinquency of each loan over strictly past months, NULL as 0."""
     return loan_balances(bbal).select(

@@ -153,14 +153,13 @@ def class_balance(df: DataFrame, label: str = "label", group: Sequence[str] = ()
 
 def compare_models(metrics: DataFrame, blends: list[str], model: str = "model") -> DataFrame:
     """Model table with the best single model, the lift over it and the acceptance gate."""
-    single = F.max(F.when(~F.col(model).isin(blends), F.struct("gini", F.col(model))))
-    best = metrics.agg(single.alias("_best"))
-    lift = F.col("gini") - F.col("best_single_gini")
+    single = metrics.where(~F.col(model).isin(blends)).orderBy(
+        F.desc("gini"), model).select(model, "gini").first()
+    lift = F.col("gini") - single["gini"]
     # Gate bounds and labels.
     gate = (F.when(F.col("gini") >= 0.65, "full_pass")
             .when((F.col("gini") >= 0.58) & (lift >= 0.005), "accept_best_available")
             .otherwise("investigate"))
-    joined = metrics.withColumn("_one", F.lit(1)).join(best.withColumn("_one", F.lit(1)), "_one")
-    return (joined.withColumn("best_single", F.col(f"_best.{model}"))
-            .withColumn("best_single_gini", F.col("_best.gini"))
-            .withColumn("lift", lift).withColumn("gate", gate).drop("_one", "_best"))
+    return metrics.withColumns({
+        "best_single": F.lit(single[model]), "best_single_gini": F.lit(single["gini"]),
+        "lift": lift, "gate": gate})

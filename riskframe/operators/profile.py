@@ -27,10 +27,9 @@ def source_coverage(df: DataFrame, counts: dict[str, str]) -> DataFrame:
 
 
 def target_balance(df: DataFrame, target: str) -> DataFrame:
-    counts = df.groupBy(target).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_all")).withColumn("_one", F.lit(1))
-    return counts.withColumn("_one", F.lit(1)).join(total, "_one").select(
-        target, "n", (F.col("n") / F.col("_all")).alias("share"))
+    total = df.count()
+    return df.groupBy(target).agg(F.count("*").alias("n"),
+                                  (F.count("*") / F.lit(total)).alias("share"))
 
 
 def missing_top(df: DataFrame, n: int = 40) -> DataFrame:
