@@ -276,7 +276,10 @@ def _(t):
     return splits.prefix_event_rates(rows, ["o_orderdate", "o_orderkey"], "label", [0.5, 0.75, 1.0])
 
 
-@query("stratified_folds", None)
+@query("stratified_folds", """SELECT fold, sum((c + 4 - fold) // 5)::BIGINT AS n,
+    sum(CASE WHEN label = 1 THEN (c + 4 - fold) // 5 ELSE 0 END)::BIGINT AS n_pos,
+    round(sum(CASE WHEN label = 1 THEN (c + 4 - fold) // 5 ELSE 0 END) / sum((c + 4 - fold) // 5)::DOUBLE, 6) AS positive_rate
+    FROM (SELECT CAST(o_orderstatus = 'F' AS INT) AS label, count(*) AS c FROM orders GROUP BY 1), range(5) r(fold) GROUP BY 1""")
 def _(t):
     rows = t.raw("orders").select("o_orderkey",
                                   (F.col("o_orderstatus") == "F").cast("int").alias("label"))
