@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from riskframe.functions import application as app
 from riskframe.functions import exprs
 from riskframe.operators import metrics, selection, splits
 from riskframe.plans import scoring, stores, training
+from riskframe.session import shared_folder
 from riskframe.sources import tables as src
 from riskframe.streaming import scoring as stream
 
@@ -176,14 +176,6 @@ def _(t):
     return stores.extended_store(people, auto.withColumn("SK_ID_CURR", F.col("SK_ID_CURR").cast("long")), times)
 
 
-def _work_folder(spark) -> str:
-    """A fresh folder below the shared checkpoint folder, or a temporary one in local runs."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='riskframe-stream-')}/{uuid.uuid4().hex}"
-
-
 @query("score_stream", None)
 def _(t):
     """Customers arrive as files and are scored by the function that scores batches."""
@@ -192,7 +184,7 @@ def _(t):
            "EXT_SOURCE_2", "EXT_SOURCE_3", "DAYS_BIRTH", "DAYS_EMPLOYED"]
     bundle = scoring.fit_bundle(people, raw, ["CREDIT_INCOME_RATIO", "EXT_SOURCE_MEAN",
                                               "AGE_YEARS"], "TARGET")
-    folder = _work_folder(t.spark)
+    folder = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
     people.drop("TARGET").write.parquet(f"{folder}/in")
     arriving = stream.application_stream(t.spark, f"{folder}/in", people.drop("TARGET").schema)
     stream.score_stream(arriving, bundle, f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from riskframe.functions.application import column_label
 from riskframe.functions.exprs import MISSING
 from riskframe.operators.prefix import exact_quantiles
-from riskframe.operators.selection import column_variances, correlated_pairs
+from riskframe.operators.selection import correlated_pairs
+from riskframe.operators.wide import PLACE, long_values, with_feature
 
 
 def age_band(age: Column) -> Column:
@@ -77,8 +78,9 @@ def top_factors(df: DataFrame, key: str, columns: list[str], n: int = 5) -> Data
 
 
 def mean_absolute(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.avg(F.abs(F.col(c))).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    means = with_feature(long_values(df, columns).groupBy(PLACE).agg(
+        F.avg(F.abs("value")).alias("mean")), columns)
+    return {r["feature"]: r["mean"] for r in means.collect()}
 
 
 def _ranks(values: list[float]) -> np.ndarray:
@@ -103,18 +105,18 @@ def attribution_stability(train: DataFrame, later: DataFrame, columns: list[str]
 def store_quality(df: DataFrame, columns: list[str], correlation: float = 0.90,
                   sentinel_share: float = 0.95, expected: tuple[int, int] = (30, 300)) -> DataFrame:
     """Checks of a feature store as rows (check, actual, passed)."""
-    infinite = float("inf")
-    counts = df.agg(
-        F.sum(sum((F.abs(F.col(c).cast("double")) == infinite).cast("int") for c in columns))
-        .alias("infinite"),
-        F.array(*[F.avg((F.col(c) == MISSING).cast("double")) for c in columns]).alias("shares")
-    ).first()
-    constant = column_variances(df, columns, sample=True).where("variance = 0").count()
+    value = F.col("value")
+    found = long_values(df, columns).groupBy(PLACE).agg(
+        F.count_if(F.abs(value) == float("inf")).alias("infinite"),
+        F.avg((value == MISSING).cast("double")).alias("share"),
+        F.var_samp(value).alias("variance")).collect()
+    infinite = sum(r["infinite"] for r in found)
+    constant = sum(r["variance"] == 0 for r in found)
+    sparse = sum((r["share"] or 0.0) > sentinel_share for r in found)
     pairs = len(correlated_pairs(df, columns, correlation))
-    sparse = sum((s or 0.0) > sentinel_share for s in counts["shares"])
     rows = [("zero_variance", constant, constant == 0),
             ("correlated_pairs", pairs, pairs == 0),
-            ("infinite_values", int(counts["infinite"] or 0), not counts["infinite"]),
+            ("infinite_values", infinite, infinite == 0),
             ("mostly_sentinel", sparse, sparse == 0),
             ("column_count", len(columns), expected[0] <= len(columns) <= expected[1])]
     return df.sparkSession.createDataFrame(rows, "check string, actual long, passed boolean")
@@ -123,19 +125,16 @@ def store_quality(df: DataFrame, columns: list[str], correlation: float = 0.90,
 def store_consistency(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: rows, NULLs, minimum, maximum, and whether at most two values occur.
 
-    Two or fewer values means each value equals the minimum or the maximum, which a
-    plain aggregate can tell once the extremes are known.
+    Two values at most means every value is the minimum or the maximum. The extremes
+    are one line per column and join back by broadcast.
     """
-    cast = {c: F.col(c).cast("double") for c in columns}
-    extremes = df.agg(*[F.min(v).alias(f"{c}__lo") for c, v in cast.items()],
-                      *[F.max(v).alias(f"{c}__hi") for c, v in cast.items()]).first()
-    inner = {c: v.between(extremes[f"{c}__lo"], extremes[f"{c}__hi"])
-             & ~v.isin(extremes[f"{c}__lo"], extremes[f"{c}__hi"])
-             if extremes[f"{c}__lo"] is not None else F.lit(False) for c, v in cast.items()}
-    wide = df.agg(*[F.struct(F.count("*").alias("n_rows"),
-                             F.count_if(v.isNull()).alias("n_null"),
-                             F.min(v).alias("lo"), F.max(v).alias("hi"),
-                             (F.count_if(inner[c]) == 0).alias("two_values")).alias(c)
-                    for c, v in cast.items()])
-    return wide.unpivot([], columns, "feature", "s").select(
-        "feature", "s.n_rows", "s.n_null", "s.lo", "s.hi", "s.two_values")
+    value = F.col("value")
+    long = long_values(df, columns)
+    extremes = long.groupBy(F.col(PLACE).alias("_p")).agg(
+        F.min(value).alias("lo"), F.max(value).alias("hi"))
+    inner = (value > F.col("lo")) & (value < F.col("hi"))
+    return with_feature(
+        long.join(F.broadcast(extremes), F.col(PLACE) == F.col("_p")).groupBy(PLACE).agg(
+            F.count("*").alias("n_rows"), F.count_if(value.isNull()).alias("n_null"),
+            F.max("lo").alias("lo"), F.max("hi").alias("hi"),
+            (F.count_if(inner) == 0).alias("two_values")), columns)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import MISSING
 from riskframe.operators.prefix import wide_quantiles
+from riskframe.operators.wide import PLACE, long_values
 
 WOE_CLIP = 5.0
 MISSING_BIN = -1
@@ -75,23 +76,23 @@ def bin_counts(df: DataFrame, target: str, edges: dict[str, list[float]],
                columns: list[str]) -> DataFrame:
     """Events and non-events per (feature, bin).
 
-    Values are unpivoted and meet their edges in a broadcast join. The edge table has
+    Values in long form meet their edges in a broadcast join. The edge table has
     one row per column, so its size depends on the schema, not on the data. One short
     expression then bins every column, where a projection per column would generate
     methods too large for the JIT.
     """
     width = max((len(e) for e in edges.values()), default=2) - 2
     names = [f"_e{i}" for i in range(max(width, 0))]
-    inner = [(c, *edges.get(c, [])[1:-1]) for c in columns]
-    rows = [r + (None,) * (1 + len(names) - len(r)) for r in inner]
+    inner = [(i, c, *edges.get(c, [])[1:-1]) for i, c in enumerate(columns)]
+    rows = [r + (None,) * (2 + len(names) - len(r)) for r in inner]
     table = df.sparkSession.createDataFrame(
-        rows, ", ".join(["_f string", *[f"{n} double" for n in names]]))
-    long = df.select(F.col(target).alias("_y"), *[observed(c).alias(c) for c in columns]).unpivot(
-        ["_y"], columns, "feature", "_v").join(F.broadcast(table), F.col("feature") == F.col("_f"))
+        rows, ", ".join(["_f int", "feature string", *[f"{n} double" for n in names]]))
+    long = long_values(df, [observed(c) for c in columns], [F.col(target).alias("_y")]).join(
+        F.broadcast(table), F.col(PLACE) == F.col("_f"))
     below = F.lit(0)
     for n in names:
-        below = below + F.coalesce((F.col("_v") > F.col(n)).cast("int"), F.lit(0))
-    place = F.when(F.col("_v").isNull(), MISSING_BIN).otherwise(below)
+        below = below + F.coalesce((F.col("value") > F.col(n)).cast("int"), F.lit(0))
+    place = F.when(F.col("value").isNull(), MISSING_BIN).otherwise(below)
     return long.groupBy("feature", place.alias("bin")).agg(
         F.count_if(F.col("_y") == 1).alias("event_count"),
         F.count_if(F.col("_y") == 0).alias("non_event_count"))

@@ -13,7 +13,7 @@ from itertools import combinations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -60,21 +60,29 @@ class LinearScore:
                                   for i, c in enumerate(self.columns)])
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Even partitions over all cores: a fit passes over its rows many times."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_scorecard_model(train: DataFrame, columns: Sequence[str], label: str,
                         c: float = 1.0, weight: str | None = None) -> LinearScore:
     """Standardised L2 logistic regression with inverse penalty ``c``."""
     columns = list(columns)
-    vectors = assembled(train, columns)
-    scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(vectors)
-    rows = train.count()
+    stats = train.agg(F.count("*").alias("n"),
+                      F.array(*[F.avg(F.col(x)) for x in columns]).alias("mean"),
+                      F.array(*[F.stddev_pop(F.col(x)) for x in columns]).alias("std")).first()
+    means = [float(m or 0.0) for m in stats["mean"]]
+    spread = [float(s or 0.0) or 1.0 for s in stats["std"]]
+    scaled = train.select(label, *([weight] if weight else []), *[
+        ((F.col(x) - m) / s).alias(x) for x, m, s in zip(columns, means, spread)])
     model = LogisticRegression(
-        featuresCol="_z", labelCol=label, regParam=1.0 / (c * max(rows, 1)),
-        standardization=False, maxIter=200, **({"weightCol": weight} if weight else {})
-    ).fit(scaler.transform(vectors))
-    spread = [s if s > 0 else 1.0 for s in scaler.std.toArray()]
+        featuresCol="_x", labelCol=label, regParam=1.0 / (c * max(stats["n"], 1)),
+        standardization=False, maxIter=100, **({"weightCol": weight} if weight else {})
+    ).fit(assembled(spread_rows(scaled), columns).select(
+        label, "_x", *([weight] if weight else [])))
     raw = [float(b / s) for b, s in zip(model.coefficients.toArray(), spread)]
-    return LinearScore(columns, raw, [float(m) for m in scaler.mean.toArray()],
-                       float(model.intercept))
+    return LinearScore(columns, raw, means, float(model.intercept))
 
 
 def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, trees: int = 50,
@@ -87,7 +95,8 @@ def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, trees: int
         data = train.withColumn("_w", F.when(F.col(label) == 1, scale).otherwise(1.0))
         extra = {"weightCol": "_w"}
     model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth,
-                          stepSize=step, seed=seed, **extra).fit(assembled(data, columns))
+                          stepSize=step, seed=seed, **extra).fit(
+        assembled(spread_rows(data.select(label, *extra.values(), *columns)), columns))
 
     def score(df: DataFrame, name: str = "score") -> DataFrame:
         out = model.transform(assembled(df, columns))

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.wide import PLACE, column_name, long_values
 from riskframe.session import cut_lineage
 
 _CHUNK = "_chunk"
@@ -156,18 +157,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                    group: Sequence[str] = (), approximate: bool = False) -> DataFrame:
-    """Quantiles of many columns as rows ``(group, feature, prob, quantile)``."""
+    """Quantiles of many columns as rows ``(group, feature, prob, quantile)``.
+
+    ``approximate`` uses a mergeable sketch per column instead of exact positions.
+    """
     group = list(group)
-    values = [F.col(c).cast("double").alias(c) for c in columns]
+    long = long_values(df, columns, group).where(F.col("value").isNotNull())
     if approximate:
         grid = F.array(*[F.lit(float(p)) for p in probs])
-        wide = df.groupBy(*group).agg(
-            *[F.percentile_approx(c.cast("double"), grid, F.lit(10000)).alias(n)
-              for n, c in ((n, F.col(n)) for n in columns)])
-        long = wide.unpivot(group, list(columns), "feature", "qs")
-        return long.select(*group, "feature",
-                           F.explode(F.arrays_zip(grid.alias("prob"),
-                                                  F.col("qs").alias("quantile"))).alias("z")
-                           ).select(*group, "feature", "z.prob", "z.quantile")
-    long = df.select(*group, *values).unpivot(group, list(columns), "feature", "value")
-    return exact_quantiles(long, "value", probs, [*group, "feature"])
+        found = long.groupBy(*group, PLACE).agg(
+            F.percentile_approx("value", grid, F.lit(10000)).alias("_q"))
+        pairs = F.explode(F.arrays_zip(grid.alias("prob"), F.col("_q").alias("quantile")))
+        found = found.select(*group, PLACE, pairs.alias("_z")).select(
+            *group, PLACE, "_z.prob", "_z.quantile")
+    else:
+        found = exact_quantiles(long, "value", probs, [*group, PLACE])
+    return found.select(*group, column_name(columns).alias("feature"), "prob", "quantile")

@@ -11,6 +11,7 @@ from riskframe.functions.exprs import clip, flag, ratio
 from riskframe.operators.binning import bin_number
 from riskframe.operators.prefix import exact_quantiles, wide_quantiles
 from riskframe.operators.selection import column_variances, correlation_matrix
+from riskframe.operators.wide import PLACE, long_values, with_feature
 from riskframe.plans.training import missing_counts
 
 
@@ -129,18 +130,15 @@ def target_correlations(df: DataFrame, columns: list[str], target: str,
                         min_rows: int = 100) -> DataFrame:
     """Point-biserial correlation with the target, strongest first.
 
-    All columns come from one aggregate. The quotient is written out because ``corr``
-    raises for a constant column.
+    The quotient is written out because ``corr`` raises for a constant column.
     """
-    def pair(name: str) -> Column:
-        x = F.col(name).cast("double")
-        y = F.when(x.isNotNull(), F.col(target).cast("double"))
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.struct(F.lit(name).alias("feature"), F.count(x).alias("n"),
-                        F.when(spread > 0, F.covar_pop(x, y) / spread).alias("r"))
-
-    return (df.agg(F.array(*[pair(c) for c in columns]).alias("p")).select(F.inline("p"))
-            .where(F.col("n") > min_rows).orderBy(F.desc(F.abs("r")), "feature"))
+    x = F.col("value")
+    y = F.when(x.isNotNull(), F.col("_y"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    found = long_values(df, columns, [F.col(target).cast("double").alias("_y")]).groupBy(
+        PLACE).agg(F.count(x).alias("n"), F.when(spread > 0, F.covar_pop(x, y) / spread).alias("r"))
+    return with_feature(found, columns).where(F.col("n") > min_rows).orderBy(
+        F.desc(F.abs("r")), "feature")
 
 
 def underpayment_rates(df: DataFrame, target: str) -> DataFrame:

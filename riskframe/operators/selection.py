@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.prefix import hash_key
+from riskframe.operators.wide import PLACE, long_values, with_feature
 
 
 def column_variances(df: DataFrame, columns: list[str], sample: bool = False) -> DataFrame:
-    """(feature, variance) of every column from one aggregate."""
+    """(feature, variance) of every column in one pass; NULLs are skipped."""
     fn = F.var_samp if sample else F.var_pop
-    row = df.agg(*[fn(F.col(c).cast("double")).alias(c) for c in columns])
-    return row.unpivot([], columns, "feature", "variance")
+    return with_feature(long_values(df, columns).groupBy(PLACE).agg(
+        fn("value").alias("variance")), columns)
 
 
 def keep_varied(df: DataFrame, columns: list[str], threshold: float = 0.01,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import MISSING, flag, nan_to_null
 from riskframe.operators import history
+from riskframe.operators.wide import PLACE, column_name, long_values
 from riskframe.sources.schema import CHILD_PREFIXES, COUNT_COLUMNS, KEY, TARGET
 
 # Aggregates that are 0 for an applicant without rows in the table.
@@ -64,12 +65,12 @@ def sentinel_child_columns(df: DataFrame) -> DataFrame:
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
-    """(column, n_rows, n_null, missing_rate) for every column, from one aggregate."""
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns],
-                  F.count("*").alias("_rows"))
-    rate = F.col("n_null") / F.col("_rows")
-    return wide.unpivot(["_rows"], df.columns, "column", "n_null").select(
-        "column", F.col("_rows").alias("n_rows"), "n_null", rate.alias("missing_rate"))
+    """(column, n_rows, n_null, missing_rate) for every column, in one pass."""
+    absent = [F.col(c).isNull() for c in df.columns]
+    counts = long_values(df, absent).groupBy(PLACE).agg(
+        F.count("*").alias("n_rows"), F.sum("value").cast("long").alias("n_null"))
+    return counts.select(column_name(df.columns).alias("column"), "n_rows", "n_null",
+                         (F.col("n_null") / F.col("n_rows")).alias("missing_rate"))
 
 
 def drop_sparse_columns(df: DataFrame, most_missing: float = 0.60) -> DataFrame:
