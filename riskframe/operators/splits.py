@@ -39,7 +39,7 @@ def walk_forward_bounds(n: int, folds: int = 5, embargo: float = 0.02) -> list[d
     bounds = []
     for fold in range(folds):
         start = (fold + 1) * block
-        end = n if fold == folds - 1 else start + block
+        end = n if fold == folds - 1 else min(start + block, n)
         train_end = start - int(start * embargo)
         if train_end > 0 and end > start:
             bounds.append({"fold": fold, "train_end": train_end, "valid_start": start,
