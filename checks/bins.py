@@ -220,7 +220,7 @@ def _(t):
 
 @query("tree_store", None)
 def _(t):
-    return stores.fit_tree_store(frame(t), t.tables()).frame
+    return stores.tree_store_from_tables(t.tables()).frame
 
 
 @query("auto_store", None)

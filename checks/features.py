@@ -176,8 +176,7 @@ LOANS = f"""SELECT SK_ID_BUREAU, count(MONTHS_BALANCE) AS bbal_cnt, avg({_DPD})
     "bbal_dpd_rate_3m_to_12m bbal_dpd_trend",
     "SK_ID_BUREAU bbal_cnt bbal_max_severity bbal_active_months bbal_recent_max_severity")))
 def _(t):
-    return hist.loan_balances(t.bbal()).drop("months_since_dpd", "recent_vs_prior",
-                                             "past_dpd_mean", "past_dpd_max")
+    return hist.loan_balances(t.bbal()).select("SK_ID_BUREAU", *hist.BALANCE_COLUMNS)
 
 
 _MEANS = ", ".join(f"avg({c}) AS bureau_{c}_mean" for c in hist.LOAN_MEANS)
@@ -365,7 +364,7 @@ _CODE = "CASE WHEN STATUS IN ('C','X') THEN -1 ELSE CAST(STATUS AS INT) END"
     "bbal_ever_30dpd bbal_ever_60dpd bbal_ever_90dpd bbal_max_status_code bbal_pct_current "
     "bbal_status_volatility", "SK_ID_CURR")))
 def _(t):
-    return hist.status_profile(t.owned_bbal()).drop("bbal_dpd_escalation",
+    return hist.status_profile(t.bureau(), t.bbal()).drop("bbal_dpd_escalation",
                                                     "bbal_max_dpd_months_ago")
 
 
@@ -376,7 +375,7 @@ def _(t):
       min(MONTHS_BALANCE) AS lo FROM obal GROUP BY 1) ON k = o.SK_ID_CURR GROUP BY 1""",
     "bbal_dpd_escalation", "SK_ID_CURR")))
 def _(t):
-    return hist.status_profile(t.owned_bbal()).select("SK_ID_CURR", "bbal_dpd_escalation")
+    return hist.status_profile(t.bureau(), t.bbal()).select("SK_ID_CURR", "bbal_dpd_escalation")
 
 
 @query("worst_month", with_views("obal", sql_rounded(f"""SELECT SK_ID_CURR,
@@ -384,7 +383,7 @@ def _(t):
     FROM obal JOIN (SELECT SK_ID_CURR AS k, max({_CODE}) AS w FROM obal GROUP BY 1) ON k = SK_ID_CURR
     WHERE {_CODE} = w GROUP BY 1""", "bbal_max_dpd_months_ago", "SK_ID_CURR")))
 def _(t):
-    return hist.status_profile(t.owned_bbal()).select("SK_ID_CURR", "bbal_max_dpd_months_ago")
+    return hist.status_profile(t.bureau(), t.bbal()).select("SK_ID_CURR", "bbal_max_dpd_months_ago")
 
 
 _PS = "AMT_PAYMENT / (AMT_INSTALMENT + 1e-6)"

@@ -211,14 +211,13 @@ def contributions(t: Tables):
 _CSQL = """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, l_returnflag AS flag,
     (l_quantity - 25.5::DOUBLE) / 25 AS qty, (l_extendedprice - 50000) / 50000 AS price,
     (l_discount - 0.05::DOUBLE) * 20 AS disc, (l_tax - 0.04::DOUBLE) * 25 AS tax FROM lineitem"""
-_CLONG = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {i} AS place, {c} AS v FROM c"
-                            for i, c in enumerate(_CONTRIB))
+_CLIST = ", ".join(f"{{'s': -abs({c}), 'p': {i}, 'f': '{c}', 'v': {c}}}" for i, c in enumerate(_CONTRIB))
 
 
-@query("top_factors", f"""WITH c AS ({_CSQL}), l AS ({_CLONG})
-    SELECT row_id, feature, upper(feature[1]) || feature[2:] AS label, round(v, 6) + 0.0 AS contribution,
-    CASE WHEN v > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction, r AS rank
-    FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, place) AS r FROM l) WHERE r <= 3""")
+@query("top_factors", f"""WITH c AS ({_CSQL}), s AS (SELECT row_id, list_sort([{_CLIST}]) AS l FROM c)
+    SELECT row_id, l[r].f AS feature, upper(l[r].f[1]) || l[r].f[2:] AS label, round(l[r].v, 6) + 0.0 AS contribution,
+    CASE WHEN l[r].v > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction, r::BIGINT AS rank
+    FROM s, (VALUES (1), (2), (3)) t(r)""")
 def _(t):
     return audit.top_factors(contributions(t), "row_id", _CONTRIB, 3)
 

@@ -75,10 +75,6 @@ class Tables:
             .when(qty < 38, "1").when(qty < 43, "2").when(qty < 46, "3").when(qty < 49, "4")
             .otherwise("5").alias("STATUS"))
 
-    def owned_bbal(self) -> DataFrame:
-        owners = self.bureau().select("SK_ID_BUREAU", "SK_ID_CURR").distinct()
-        return self.bbal().join(owners, "SK_ID_BUREAU")
-
     def prev(self) -> DataFrame:
         price, prio = F.col("o_totalprice"), F.col("o_orderpriority")
         status = F.col("o_orderstatus")

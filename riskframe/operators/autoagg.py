@@ -47,22 +47,20 @@ class Feature:
 
 
 def entity_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables restricted to known parents and to months before the application.
+    """Tables restricted to months before the application, with the derived child columns.
 
-    One loader for fitting and for replay, so both see the same rows.
+    One loader for fitting and for replay, so both see the same rows. Children of
+    unknown parents need no filter here: aggregates are joined from the parent side, so
+    those rows shrink to partial sums before any shuffle and never reach the result.
     """
-    parents = tables["application"].select(KEY)
-    kept = {"application": tables["application"].drop(TARGET)}
-    for name in ("bureau", "previous_application", "pos_cash", "installments", "credit_card"):
-        kept[name] = tables[name].join(parents, KEY, "left_semi")
+    kept = dict(tables)
+    kept["application"] = tables["application"].drop(TARGET)
     for name in ("pos_cash", "credit_card"):
-        kept[name] = kept[name].where(F.col("MONTHS_BALANCE") < 0)
-    kept["bureau_balance"] = tables["bureau_balance"].join(
-        kept["bureau"].select("SK_ID_BUREAU"), "SK_ID_BUREAU", "left_semi")
-    late = history.past_loan_delinquency(kept["bureau_balance"])
-    kept["bureau"] = (kept["bureau"].join(late, "SK_ID_BUREAU", "left")
+        kept[name] = tables[name].where(F.col("MONTHS_BALANCE") < 0)
+    late = history.past_loan_delinquency(tables["bureau_balance"])
+    kept["bureau"] = (tables["bureau"].join(late, "SK_ID_BUREAU", "left")
                       .fillna(0.0, ["bb_dpd_mean", "bb_dpd_max"]))
-    kept["installments"] = kept["installments"].withColumns({
+    kept["installments"] = tables["installments"].withColumns({
         "days_late": history.days_late(),
         "payment_diff": F.col("AMT_INSTALMENT") - F.col("AMT_PAYMENT")})
     return kept

@@ -1,7 +1,7 @@
 """Per-applicant aggregates of the child tables.
 
-Each table is scanned once: every aggregate of a table sits in one ``groupBy().agg``,
-and Catalyst prunes those nobody reads. All of them combine partially before the
+A ``..._features`` function computes all features of a table in one ``groupBy().agg``.
+The smaller functions select from it, and Catalyst prunes aggregates nobody reads. All of them combine partially before the
 shuffle, so one applicant with very many rows costs no more than its partial rows.
 Order-dependent features use running totals in day chunks, see :mod:`prefix`.
 """
@@ -32,18 +32,24 @@ def _mean3(name: str) -> Column:
 
 
 def loan_balances(bbal: DataFrame, key: str = "SK_ID_BUREAU") -> DataFrame:
-    """Monthly balances to one row per loan: delinquency rates by window and recency."""
-    month = F.col("MONTHS_BALANCE")
-    dpd = flag(F.col("STATUS").isin(DELINQUENT))
-    severity = _severity(0)
+    """Monthly balances to one row per loan.
+
+    The one pass over the largest table. It yields the windowed delinquency rates and,
+    as sums and extremes that can be combined later, all that the applicant-level
+    status features need. So only loan rows, never months, travel to the applicant.
+    """
+    month, status = F.col("MONTHS_BALANCE"), F.col("STATUS")
+    dpd = flag(status.isin(DELINQUENT))
+    severity, code = _severity(0), _severity(-1)
     recent6, prior6 = mean_if(month >= -6, dpd), mean_if(month < -6, dpd)
     late12 = mean_if(month.between(-12, -7), dpd)
+    at = F.struct(month.alias("m"), code.alias("s"))
     return bbal.groupBy(key).agg(
         F.count(month).alias("bbal_cnt"),
         F.avg(dpd).alias("bbal_dpd_rate"),
         F.stddev_samp(dpd).alias("bbal_dpd_rate_std"),
         F.max(severity).alias("bbal_max_severity"),
-        F.count_if(~F.col("STATUS").isin(CLOSED)).alias("bbal_active_months"),
+        F.count_if(~status.isin(CLOSED)).alias("bbal_active_months"),
         mean_if(month >= -3, dpd).alias("bbal_dpd_rate_3m"),
         recent6.alias("bbal_dpd_rate_6m"),
         late12.alias("bbal_dpd_rate_12m"),
@@ -54,18 +60,61 @@ def loan_balances(bbal: DataFrame, key: str = "SK_ID_BUREAU") -> DataFrame:
         F.bround(recent6 - prior6, 3).alias("recent_vs_prior"),
         mean_if(month < 0, dpd).alias("past_dpd_mean"),
         F.max(F.when(month < 0, dpd)).alias("past_dpd_max"),
+        F.count("*").alias("n_months"),
+        *[F.max(flag(status == s)).alias(f"ever_{s}") for s in ("0", "1", "2")],
+        F.count_if(status == "C").alias("n_current"),
+        F.count(code).alias("n_codes"), F.sum(code).alias("sum_code"),
+        F.sum(code * code).alias("sum_code2"), F.max(code).alias("max_code"),
+        F.max(at).alias("latest"), F.min(at).alias("earliest"),
+        F.max(F.struct(code.alias("s"), month.alias("m"))).alias("worst"),
+        F.sum(F.when(month >= -3, dpd)).alias("late_3m"),
+        F.count_if(month >= -3).alias("n_3m"),
+        F.min(F.when(dpd > 0, month)).alias("oldest_dpd"),
     )
 
 
+BALANCE_COLUMNS = ["bbal_cnt", "bbal_dpd_rate", "bbal_dpd_rate_std", "bbal_max_severity",
+                   "bbal_active_months", "bbal_dpd_rate_3m", "bbal_dpd_rate_6m",
+                   "bbal_dpd_rate_12m", "bbal_dpd_rate_3m_to_12m", "bbal_recent_max_severity",
+                   "bbal_dpd_trend"]
 LOAN_MEANS = ["bbal_cnt", "bbal_dpd_rate", "bbal_dpd_rate_std", "bbal_dpd_rate_3m",
               "bbal_dpd_rate_6m", "bbal_dpd_rate_12m", "bbal_dpd_rate_3m_to_12m",
               "bbal_dpd_trend", "bbal_max_severity", "bbal_recent_max_severity",
               "bbal_active_months"]
-
-
-def bureau_summary(bureau: DataFrame, bbal: DataFrame) -> DataFrame:
-    """Loans with their balance rows summarised, to one row per applicant."""
-    loans = bureau.join(loan_balances(bbal), "SK_ID_BUREAU", "left")
+RECENCY_COLUMNS = ["bbal_months_since_last_dpd", "bbal_dpd_last_3m_rate",
+                   "bbal_dpd_last_6m_vs_prior_rate"]
+STATUS_COLUMNS = ["bbal_ever_30dpd", "bbal_ever_60dpd", "bbal_ever_90dpd",
+                  "bbal_max_status_code", "bbal_pct_current", "bbal_status_volatility",
+                  "bbal_dpd_escalation", "bbal_max_dpd_months_ago"]
+
+
+TIME_COLUMNS = ["bbal_dpd_rate_3m", "newest_dpd_months", "oldest_dpd_months",
+                "bureau_credit_age_mean"]
+SEQUENCE_COLUMNS = ["inst_longest_dpd_streak", "inst_months_since_last_dpd",
+                    "inst_payment_amt_slope", "inst_payment_ratio_trend",
+                    "inst_recent_vs_historical_dpd"]
+LATE_COLUMNS = ["inst_late_rate_12m", "inst_late_rate_recent_vs_historical",
+                "inst_rolling_30dpd_ratio_3m", "inst_delinquency_escalation_flag",
+                "inst_days_since_last_30dpd", "inst_late_payment_acceleration"]
+HABIT_COLUMNS = ["inst_payment_consistency_score", "inst_recency_weighted_dpd",
+                 "inst_early_payment_pct", "inst_large_payment_freq"]
+CARD_TREND_COLUMNS = ["cc_balance_velocity_3m", "cc_utilization_trend", "cc_balance_volatility",
+                      "cc_atm_drawing_frequency"]
+REJECTION_COLUMNS = ["prev_reject_fraud_flag", "prev_reject_high_risk_pct",
+                     "prev_goods_secured_pct", "prev_interest_rate_mean"]
+
+# What an applicant without rows in the child table gets.
+ABSENT = {
+    **{c: MISSING for c in LATE_COLUMNS},
+    **{c: 0.0 for c in [*STATUS_COLUMNS, *HABIT_COLUMNS, *CARD_TREND_COLUMNS,
+                        *REJECTION_COLUMNS, *SEQUENCE_COLUMNS]},
+    "inst_late_payment_acceleration": 0.0,
+    "bbal_max_status_code": -1.0,
+    "inst_months_since_last_dpd": 999.0,
+}
+
+
+def _bureau_aggregates() -> dict[str, Column]:
     opened, owed = F.col("DAYS_CREDIT"), F.col("AMT_CREDIT_SUM_DEBT")
     granted, overdue = F.col("AMT_CREDIT_SUM"), F.col("AMT_CREDIT_SUM_OVERDUE")
     aggregates = {
@@ -87,16 +136,81 @@ def bureau_summary(bureau: DataFrame, bbal: DataFrame) -> DataFrame:
         "days_since_last_credit": F.max(opened),
         **{f"{c}_mean": F.avg(c) for c in LOAN_MEANS},
     }
-    return loans.groupBy(KEY).agg(
-        *[v.alias(f"bureau_{n}") for n, v in aggregates.items()],
-        _mean3("months_since_dpd").alias("bbal_months_since_last_dpd"),
-        _mean3("bbal_dpd_rate_3m").alias("bbal_dpd_last_3m_rate"),
-        _mean3("recent_vs_prior").alias("bbal_dpd_last_6m_vs_prior_rate"),
-    )
+    return {f"bureau_{n}": v for n, v in aggregates.items()} | {
+        "bbal_months_since_last_dpd": _mean3("months_since_dpd"),
+        "bbal_dpd_last_3m_rate": _mean3("bbal_dpd_rate_3m"),
+        "bbal_dpd_last_6m_vs_prior_rate": _mean3("recent_vs_prior"),
+    }
 
 
-def previous_summary(prev: DataFrame) -> DataFrame:
-    """Prior applications: counts by outcome, amounts, decision days."""
+def _status_aggregates() -> dict[str, Column]:
+    """Status features from loan rows; all NULL for an applicant without balance rows.
+
+    Among several loans in the latest month the highest status counts, in the earliest
+    month the lowest. Of several months with the worst status the most recent counts.
+    """
+    n, total, squares = F.sum("n_codes"), F.sum("sum_code"), F.sum("sum_code2")
+    mean = total / F.when(n > 0, n)
+    spread = F.sqrt(F.greatest(squares - total * mean, F.lit(0.0)) / F.when(n > 1, n - 1))
+    months, worst = F.sum("n_months"), F.max("worst")
+    rises = (months >= 2) & (F.max("latest")["s"] > F.min("earliest")["s"])
+    known = {
+        "bbal_ever_30dpd": F.max("ever_0"), "bbal_ever_60dpd": F.max("ever_1"),
+        "bbal_ever_90dpd": F.max("ever_2"),
+        "bbal_max_status_code": fill(F.max("max_code").cast("double"), -1.0),
+        "bbal_pct_current": F.sum("n_current") / F.when(months > 0, months),
+        "bbal_status_volatility": fill(F.when(mean + 0.01 != 0, spread / (mean + 0.01)), 0.0),
+        "bbal_dpd_escalation": flag(rises),
+        "bbal_max_dpd_months_ago": F.when(worst["s"] > -1, F.abs(worst["m"]).cast("double"))
+        .otherwise(MISSING),
+    }
+    return {name: F.when(months > 0, value) for name, value in known.items()}
+
+
+def _time_aggregates() -> dict[str, Column]:
+    recent = F.sum("n_3m")
+    return {
+        "bbal_dpd_rate_3m": F.sum("late_3m") / F.when(recent > 0, recent),
+        "newest_dpd_months": F.min("months_since_dpd").cast("double"),
+        "oldest_dpd_months": (-F.min("oldest_dpd")).cast("double"),
+        "bureau_credit_age_mean": F.avg(F.abs("DAYS_CREDIT") / 365.25),
+    }
+
+
+def bureau_features(bureau: DataFrame, bbal: DataFrame) -> DataFrame:
+    """Every bureau and balance feature per applicant from one pass over each table."""
+    loans = bureau.join(loan_balances(bbal), "SK_ID_BUREAU", "left")
+    wanted = {**_bureau_aggregates(), **_status_aggregates(), **_time_aggregates()}
+    return loans.groupBy(KEY).agg(*[v.alias(n) for n, v in wanted.items()])
+
+
+def bureau_summary(bureau: DataFrame, bbal: DataFrame) -> DataFrame:
+    """Loans with their balance rows summarised, to one row per applicant."""
+    return bureau_features(bureau, bbal).select(KEY, *_bureau_aggregates())
+
+
+def status_profile(bureau: DataFrame, bbal: DataFrame) -> DataFrame:
+    """Status history per applicant with balance rows."""
+    return bureau_features(bureau, bbal).where(
+        F.col("bbal_ever_30dpd").isNotNull()).select(KEY, *STATUS_COLUMNS)
+
+
+def time_features(applicants: DataFrame, bureau: DataFrame, bbal: DataFrame) -> DataFrame:
+    """Three-month delinquency rate, months since delinquency, mean credit age.
+
+    Every applicant is kept. "Months since last" is the newest delinquent month; the
+    oldest one is returned beside it as ``bbal_months_since_first_dpd``.
+    """
+    found = bureau_features(bureau, bbal).select(
+        KEY, "bbal_dpd_rate_3m",
+        F.col("newest_dpd_months").alias("bbal_months_since_last_dpd"),
+        F.col("oldest_dpd_months").alias("bbal_months_since_first_dpd"),
+        "bureau_credit_age_mean")
+    return applicants.select(KEY).join(found, KEY, "left").fillna(
+        MISSING, [c for c in found.columns if c != KEY])
+
+
+def _previous_aggregates() -> dict[str, Column]:
     status, credit = F.col("NAME_CONTRACT_STATUS"), F.col("AMT_CREDIT")
     asked, decided = F.col("AMT_APPLICATION"), F.col("DAYS_DECISION")
     aggregates = {
@@ -115,7 +229,18 @@ def previous_summary(prev: DataFrame) -> DataFrame:
         "cnt_payment_mean": F.avg("CNT_PAYMENT"),
         "rate_down_payment_mean": F.avg("RATE_DOWN_PAYMENT"),
     }
-    return prev.groupBy(KEY).agg(*[v.alias(f"prev_{n}") for n, v in aggregates.items()])
+    return {f"prev_{n}": v for n, v in aggregates.items()}
+
+
+def previous_features(prev: DataFrame) -> DataFrame:
+    """Every prior-application feature per applicant from one pass."""
+    wanted = {**_previous_aggregates(), **_rejection_aggregates()}
+    return prev.groupBy(KEY).agg(*[v.alias(n) for n, v in wanted.items()])
+
+
+def previous_summary(prev: DataFrame) -> DataFrame:
+    """Prior applications: counts by outcome, amounts, decision days."""
+    return prev.groupBy(KEY).agg(*[v.alias(n) for n, v in _previous_aggregates().items()])
 
 
 def pos_summary(pos: DataFrame) -> DataFrame:
@@ -133,7 +258,7 @@ def pos_summary(pos: DataFrame) -> DataFrame:
     return pos.groupBy(KEY).agg(*[v.alias(f"pos_{n}") for n, v in aggregates.items()])
 
 
-def instalment_summary(inst: DataFrame) -> DataFrame:
+def _instalment_aggregates() -> dict[str, Column]:
     due, paid_on = F.col("DAYS_INSTALMENT"), F.col("DAYS_ENTRY_PAYMENT")
     owed, paid = F.col("AMT_INSTALMENT"), F.col("AMT_PAYMENT")
     share = F.when(owed != 0, paid / owed)
@@ -146,10 +271,20 @@ def instalment_summary(inst: DataFrame) -> DataFrame:
         "days_past_due_mean": F.avg(paid_on - due), "days_past_due_max": F.max(paid_on - due),
         "days_past_due_std": F.stddev_samp(paid_on - due),
     }
-    return inst.groupBy(KEY).agg(*[v.alias(f"inst_{n}") for n, v in aggregates.items()])
+    return {f"inst_{n}": v for n, v in aggregates.items()}
 
 
-def card_summary(cc: DataFrame) -> DataFrame:
+def instalment_features(inst: DataFrame, legacy: bool = False) -> DataFrame:
+    """Every order-free instalment feature per applicant from one pass."""
+    wanted = {**_instalment_aggregates(), **_late_aggregates(), **_habit_aggregates(legacy)}
+    return inst.groupBy(KEY).agg(*[v.alias(n) for n, v in wanted.items()])
+
+
+def instalment_summary(inst: DataFrame) -> DataFrame:
+    return instalment_features(inst).select(KEY, *_instalment_aggregates())
+
+
+def _card_aggregates() -> dict[str, Column]:
     balance, limit = F.col("AMT_BALANCE"), F.col("AMT_CREDIT_LIMIT_ACTUAL")
     minimum, dpd = F.col("AMT_INST_MIN_REGULARITY"), F.col("SK_DPD")
     used = F.when(limit > 0, balance / limit)
@@ -167,7 +302,17 @@ def card_summary(cc: DataFrame) -> DataFrame:
         "min_payment_ratio_mean": F.avg(
             F.when(minimum > 0, F.col("AMT_PAYMENT_CURRENT") / minimum)),
     }
-    return cc.groupBy(KEY).agg(*[v.alias(f"cc_{n}") for n, v in aggregates.items()])
+    return {f"cc_{n}": v for n, v in aggregates.items()}
+
+
+def card_features(cc: DataFrame) -> DataFrame:
+    """Every card feature per applicant from one pass."""
+    wanted = {**_card_aggregates(), **_card_trend_aggregates()}
+    return cc.groupBy(KEY).agg(*[v.alias(n) for n, v in wanted.items()])
+
+
+def card_summary(cc: DataFrame) -> DataFrame:
+    return cc.groupBy(KEY).agg(*[v.alias(n) for n, v in _card_aggregates().items()])
 
 
 def days_late() -> Column:
@@ -175,11 +320,7 @@ def days_late() -> Column:
     return clip(F.col("DAYS_ENTRY_PAYMENT") - F.col("DAYS_INSTALMENT"), low=0.0)
 
 
-def late_rates(inst: DataFrame) -> DataFrame:
-    """Shares of payments over 30 days late, by window of the due day.
-
-    An applicant with instalments but none in a window gets the sentinel.
-    """
+def _late_aggregates() -> dict[str, Column]:
     due = F.col("DAYS_INSTALMENT")
     late = flag(days_late() > 30)
     year, all_time = mean_if(due >= -365, late), F.avg(late)
@@ -188,51 +329,25 @@ def late_rates(inst: DataFrame) -> DataFrame:
     worse = (F.when(quarter.isNotNull() & before.isNotNull(), (quarter > before).cast("double"))
              .when(quarter.isNotNull(), 1.0).when(before.isNotNull(), 0.0).otherwise(MISSING))
     last_late = F.max(F.when(days_late() > 30, due))
-    return inst.groupBy(KEY).agg(
-        fill(year).alias("inst_late_rate_12m"),
-        fill(year - all_time).alias("inst_late_rate_recent_vs_historical"),
-        fill(quarter).alias("inst_rolling_30dpd_ratio_3m"),
-        worse.alias("inst_delinquency_escalation_flag"),
-        fill((F.max(due) - last_late).cast("double"), -1.0).alias("inst_days_since_last_30dpd"),
-        fill(quarter - before, 0.0).alias("inst_late_payment_acceleration"),
-    )
+    return {
+        "inst_late_rate_12m": fill(year),
+        "inst_late_rate_recent_vs_historical": fill(year - all_time),
+        "inst_rolling_30dpd_ratio_3m": fill(quarter),
+        "inst_delinquency_escalation_flag": worse,
+        "inst_days_since_last_30dpd": fill((F.max(due) - last_late).cast("double"), -1.0),
+        "inst_late_payment_acceleration": fill(quarter - before, 0.0),
+    }
 
 
-def status_profile(bbal: DataFrame) -> DataFrame:
-    """Status history per applicant.
+def late_rates(inst: DataFrame) -> DataFrame:
+    """Shares of payments over 30 days late, by window of the due day.
 
-    Latest, earliest and worst month compare (month, status) pairs inside the
-    aggregate, which combines partially and needs no window. Among several loans in
-    the latest month the highest status counts, in the earliest month the lowest.
+    An applicant with instalments but none in a window gets the sentinel.
     """
-    month, status, code = F.col("MONTHS_BALANCE"), F.col("STATUS"), _severity(-1)
-    mean, spread = F.avg(code), F.stddev_samp(code)
-    latest = F.max(F.struct(month.alias("m"), code.alias("s")))
-    earliest = F.min(F.struct(month.alias("m"), code.alias("s")))
-    worst = F.max(F.struct(code.alias("s"), month.alias("m")))
-    profile = bbal.groupBy(KEY).agg(
-        *[F.max(flag(status == s)).alias(f"bbal_ever_{days}dpd")
-          for s, days in (("0", 30), ("1", 60), ("2", 90))],
-        fill(F.max(code).cast("double"), -1.0).alias("bbal_max_status_code"),
-        F.avg(flag(status == "C")).alias("bbal_pct_current"),
-        fill(F.when(mean + 0.01 != 0, spread / (mean + 0.01)), 0.0)
-        .alias("bbal_status_volatility"),
-        F.count("*").alias("_n"), latest.alias("_latest"), earliest.alias("_earliest"),
-        worst.alias("_worst"))
-    rises = (F.col("_n") >= 2) & (F.col("_latest.s") > F.col("_earliest.s"))
-    return profile.withColumns({
-        "bbal_dpd_escalation": flag(rises),
-        "bbal_max_dpd_months_ago": F.when(F.col("_worst.s") > -1,
-                                          F.abs("_worst.m").cast("double")).otherwise(MISSING),
-    }).drop("_n", "_latest", "_earliest", "_worst")
-
+    return instalment_features(inst).select(KEY, *_late_aggregates())
 
-def payment_habits(inst: DataFrame, legacy: bool = False) -> DataFrame:
-    """Consistency, recency-weighted lateness, early and large payments.
 
-    The weight of a payment is 1/(1 + months of age). ``legacy`` gives every payment
-    the same weight.
-    """
+def _habit_aggregates(legacy: bool = False) -> dict[str, Column]:
     due, paid_on = F.col("DAYS_INSTALMENT"), F.col("DAYS_ENTRY_PAYMENT")
     owed, paid = F.col("AMT_INSTALMENT"), F.col("AMT_PAYMENT")
     share = paid / (owed + 1e-6)
@@ -244,67 +359,59 @@ def payment_habits(inst: DataFrame, legacy: bool = False) -> DataFrame:
     penalty = F.when(spread.isNull(), 1.0).otherwise(penalty)
     weight = F.lit(1.0) if legacy else 1.0 / (1.0 + F.abs(due) / 30.0)
     late = F.coalesce(paid_on - due, F.lit(0.0))
-    return inst.groupBy(KEY).agg(
-        F.greatest(on_time - penalty, F.lit(0.0)).alias("inst_payment_consistency_score"),
-        (F.sum(weight * late) / F.sum(weight)).alias("inst_recency_weighted_dpd"),
-        F.avg(flag(paid_on < due)).alias("inst_early_payment_pct"),
-        F.avg(flag(paid > owed * 1.2)).alias("inst_large_payment_freq"),
-    )
+    return {
+        "inst_payment_consistency_score": F.greatest(on_time - penalty, F.lit(0.0)),
+        "inst_recency_weighted_dpd": F.sum(weight * late) / F.sum(weight),
+        "inst_early_payment_pct": F.avg(flag(paid_on < due)),
+        "inst_large_payment_freq": F.avg(flag(paid > owed * 1.2)),
+    }
 
 
-def card_trends(cc: DataFrame) -> DataFrame:
-    """Balance velocity, utilisation trend, balance volatility, share of cash months."""
+def payment_habits(inst: DataFrame, legacy: bool = False) -> DataFrame:
+    """Consistency, recency-weighted lateness, early and large payments.
+
+    The weight of a payment is 1/(1 + months of age). ``legacy`` gives every payment
+    the same weight.
+    """
+    return instalment_features(inst, legacy).select(KEY, *_habit_aggregates())
+
+
+def _card_trend_aggregates(limit: str = "AMT_CREDIT_LIMIT_ACTUAL") -> dict[str, Column]:
     month, balance = F.col("MONTHS_BALANCE"), F.col("AMT_BALANCE")
-    used = clip(balance / (F.col("AMT_CREDIT_LIMIT") + 1e-6), 0.0, 1.0)
+    used = clip(balance / (F.col(limit) + 1e-6), 0.0, 1.0)
     recent, prior = mean_if(month.between(-1, 0), balance), mean_if(month.between(-3, -2), balance)
     steady = F.coalesce(balance, F.lit(0.0))
     mean = F.avg(steady)
-    return cc.groupBy(KEY).agg(
-        fill(F.when(prior + 1.0 != 0, (recent - prior) / (prior + 1.0)), 0.0)
-        .alias("cc_balance_velocity_3m"),
+    return {
+        "cc_balance_velocity_3m":
+            fill(F.when(prior + 1.0 != 0, (recent - prior) / (prior + 1.0)), 0.0),
         # month -3 belongs to both windows
-        fill(mean_if(month.between(-3, 0), used) - mean_if(month.between(-6, -3), used), 0.0)
-        .alias("cc_utilization_trend"),
-        fill(F.when(mean != 0, F.stddev_samp(steady) / mean), 0.0).alias("cc_balance_volatility"),
-        F.avg(flag(F.col("AMT_DRAWINGS_ATM_CURRENT") > 0)).alias("cc_atm_drawing_frequency"),
-    )
+        "cc_utilization_trend":
+            fill(mean_if(month.between(-3, 0), used) - mean_if(month.between(-6, -3), used), 0.0),
+        "cc_balance_volatility": fill(F.when(mean != 0, F.stddev_samp(steady) / mean), 0.0),
+        "cc_atm_drawing_frequency": F.avg(flag(F.col("AMT_DRAWINGS_ATM_CURRENT") > 0)),
+    }
 
 
-def rejection_profile(prev: DataFrame) -> DataFrame:
+def card_trends(cc: DataFrame, limit: str = "AMT_CREDIT_LIMIT") -> DataFrame:
+    """Balance velocity, utilisation trend, balance volatility, share of cash months."""
+    return cc.groupBy(KEY).agg(*[v.alias(n) for n, v in _card_trend_aggregates(limit).items()])
+
+
+def _rejection_aggregates() -> dict[str, Column]:
     # Reject codes and secured goods.
     reason, goods = F.col("CODE_REJECT_REASON"), F.col("NAME_GOODS_CATEGORY")
-    return prev.groupBy(KEY).agg(
-        F.max(flag(reason == "FRAUD")).alias("prev_reject_fraud_flag"),
-        F.avg(flag(reason.isin("HC", "LIMIT", "SCOFR"))).alias("prev_reject_high_risk_pct"),
-        F.avg(flag(goods.isin("Auto", "Real estate"))).alias("prev_goods_secured_pct"),
-        fill(F.avg(F.nullif(F.col("RATE_INTEREST_PRIMARY"), F.lit(MISSING))), 0.0)
-        .alias("prev_interest_rate_mean"),
-    )
-
+    return {
+        "prev_reject_fraud_flag": F.max(flag(reason == "FRAUD")),
+        "prev_reject_high_risk_pct": F.avg(flag(reason.isin("HC", "LIMIT", "SCOFR"))),
+        "prev_goods_secured_pct": F.avg(flag(goods.isin("Auto", "Real estate"))),
+        "prev_interest_rate_mean":
+            fill(F.avg(F.nullif(F.col("RATE_INTEREST_PRIMARY"), F.lit(MISSING))), 0.0),
+    }
 
-def time_features(applicants: DataFrame, bureau: DataFrame, bbal: DataFrame) -> DataFrame:
-    """Three-month delinquency rate, months since delinquency, mean credit age.
 
-    Every applicant is kept. "Months since last" is the newest delinquent month; the
-    oldest one is returned beside it as ``bbal_months_since_first_dpd``.
-    """
-    owners = bureau.select("SK_ID_BUREAU", KEY).distinct()
-    month = F.col("MONTHS_BALANCE")
-    dpd = flag(F.col("STATUS").isin(DELINQUENT))
-    # sums per loan first, so the join to the owner carries one row per loan
-    loans = bbal.groupBy("SK_ID_BUREAU").agg(
-        F.sum(F.when(month >= -3, dpd)).alias("late"), F.count_if(month >= -3).alias("n"),
-        F.max(F.when(dpd > 0, month)).alias("newest"),
-        F.min(F.when(dpd > 0, month)).alias("oldest"))
-    rates = loans.join(owners, "SK_ID_BUREAU").groupBy(KEY).agg(
-        F.when(F.sum("n") > 0, F.sum("late") / F.sum("n")).alias("bbal_dpd_rate_3m"),
-        (-F.max("newest")).cast("double").alias("bbal_months_since_last_dpd"),
-        (-F.min("oldest")).cast("double").alias("bbal_months_since_first_dpd"))
-    ages = bureau.groupBy(KEY).agg(
-        F.avg(F.abs("DAYS_CREDIT") / 365.25).alias("bureau_credit_age_mean"))
-    return (applicants.select(KEY).join(rates, KEY, "left").join(ages, KEY, "left")
-            .fillna(MISSING, ["bbal_dpd_rate_3m", "bbal_months_since_last_dpd",
-                              "bbal_months_since_first_dpd", "bureau_credit_age_mean"]))
+def rejection_profile(prev: DataFrame) -> DataFrame:
+    return prev.groupBy(KEY).agg(*[v.alias(n) for n, v in _rejection_aggregates().items()])
 
 
 _TIES = ["DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT"]

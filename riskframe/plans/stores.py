@@ -12,10 +12,10 @@ from riskframe.functions.exprs import MISSING, null_to_sentinel
 from riskframe.operators import autoagg, history, metrics
 from riskframe.operators import binning, selection
 from riskframe.operators.binning import WoeModel
-from riskframe.plans.training import numeric_columns
+from riskframe.plans.training import joined_frame, numeric_columns
 from riskframe.session import cut_lineage
 from riskframe.sources.schema import KEY, PROTECTED, TARGET, leaky_columns
-from riskframe.sources.tables import align_columns, history_frames
+from riskframe.sources.tables import align_columns
 
 
 @dataclass
@@ -52,26 +52,24 @@ def apply_scorecard(df: DataFrame, store: Store) -> DataFrame:
 
 # ---- tree store -----------------------------------------------------------------------
 
-# What an applicant without rows in the child table gets.
-_ABSENT = {"bbal_max_status_code": -1.0}
-
-
 def history_features(frame: DataFrame, tables: dict[str, DataFrame],
                      legacy_weights: bool = False) -> DataFrame:
-    """Windowed and status histories joined to the frame, all on the applicant key."""
-    raw = history_frames(tables)
-    late = history.late_rates(raw["inst"])
-    zero = [history.status_profile(raw["bbal"]),
-            history.payment_habits(raw["inst"], legacy_weights),
-            history.card_trends(raw["cc"]), history.rejection_profile(raw["prev"])]
-    out = frame.join(late, KEY, "left")
-    accelerating = "inst_late_payment_acceleration"
-    out = out.fillna(MISSING, [c for c in late.columns if c not in (KEY, accelerating)])
-    out = out.fillna(0.0, [accelerating])
-    for part in zero:
-        columns = [c for c in part.columns if c != KEY]
-        out = out.join(part, KEY, "left").fillna({c: _ABSENT.get(c, 0.0) for c in columns})
-    return out
+    """Windowed and status histories joined to an existing frame, all on the applicant key.
+
+    When the frame is built from the same tables anyway, use
+    ``joined_frame(tables, histories=True)``, which needs no further pass.
+    """
+    inst = history.instalment_features(tables["installments"], legacy_weights)
+    parts = [
+        inst.select(KEY, *history.LATE_COLUMNS, *history.HABIT_COLUMNS),
+        history.status_profile(tables["bureau"], tables["bureau_balance"]),
+        history.card_trends(tables["credit_card"], "AMT_CREDIT_LIMIT_ACTUAL"),
+        history.rejection_profile(tables["previous_application"]),
+    ]
+    out = frame
+    for part in parts:
+        out = out.join(part, KEY, "left")
+    return out.fillna({c: v for c, v in history.ABSENT.items() if c in out.columns})
 
 
 def tree_features(frame: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -97,6 +95,11 @@ def fit_tree_store(frame: DataFrame, tables: dict[str, DataFrame] | None = None,
     return Store(wide.select(KEY, *kept, TARGET), kept)
 
 
+def tree_store_from_tables(tables: dict[str, DataFrame]) -> Store:
+    """Tree store with every history feature, one pass per child table."""
+    return fit_tree_store(joined_frame(tables, histories=True))
+
+
 def apply_tree_store(frame: DataFrame, columns: list[str],
                      tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Score-time rows through the same features, aligned to the stored columns."""

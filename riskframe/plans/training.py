@@ -23,26 +23,37 @@ ZERO_WHEN_ABSENT = [
 ]
 
 
-def joined_frame(tables: dict[str, DataFrame], sequences: bool = True) -> DataFrame:
+def joined_frame(tables: dict[str, DataFrame], sequences: bool = True,
+                 histories: bool = False) -> DataFrame:
     """Left joins of the child aggregates.
 
     Every aggregate has one row per applicant, so no join can multiply rows, and all
-    are partitioned by the applicant key already.
+    are partitioned by the applicant key already. ``histories`` also returns the
+    windowed, status and habit features, which come from the same passes.
     """
-    parts = [
-        history.bureau_summary(tables["bureau"], tables["bureau_balance"]),
-        history.previous_summary(tables["previous_application"]),
-        history.pos_summary(tables["pos_cash"]),
-        history.instalment_summary(tables["installments"]),
-        history.card_summary(tables["credit_card"]),
-    ]
+    bureau, prev = tables["bureau"], tables["previous_application"]
+    inst, cc = tables["installments"], tables["credit_card"]
+    if histories:
+        parts = [
+            history.bureau_features(bureau, tables["bureau_balance"]).drop(
+                *history.TIME_COLUMNS),
+            history.previous_features(prev), history.pos_summary(tables["pos_cash"]),
+            history.instalment_features(inst), history.card_features(cc)]
+    else:
+        parts = [history.bureau_summary(bureau, tables["bureau_balance"]),
+                 history.previous_summary(prev), history.pos_summary(tables["pos_cash"]),
+                 history.instalment_summary(inst), history.card_summary(cc)]
     if sequences:
-        parts += [history.late_streak(tables["installments"]),
-                  history.payment_slope(tables["installments"])]
+        parts += [history.instalment_sequences(inst).select(
+            KEY, "max_consec_late_streak", "months_since_last_late",
+            *history.SEQUENCE_COLUMNS), history.payment_slope(inst)]
     frame = tables["application"]
     for part in parts:
         frame = frame.join(part, KEY, "left")
-    return frame.fillna(0, [c for c in ZERO_WHEN_ABSENT if c in frame.columns])
+    frame = frame.fillna(0, [c for c in ZERO_WHEN_ABSENT if c in frame.columns])
+    if histories:
+        frame = frame.fillna({c: v for c, v in history.ABSENT.items() if c in frame.columns})
+    return frame
 
 
 def presence_flags(df: DataFrame) -> DataFrame:

@@ -184,7 +184,12 @@ def balances(spark, rows):
 
 def test_status_profile(spark):
     rows = [(1, 10, 0, "2"), (1, 10, -1, "0"), (1, 11, 0, "C"), (1, 10, -2, "2"), (2, 20, 0, "C")]
-    got = {r["SK_ID_CURR"]: r for r in history.status_profile(balances(spark, rows)).collect()}
+    months = balances(spark, rows)
+    bureau = months.select("SK_ID_CURR", "SK_ID_BUREAU").distinct()
+    bureau = spark.createDataFrame([], CHILD_SCHEMAS["bureau"]).unionByName(
+        bureau, allowMissingColumns=True)
+    got = {r["SK_ID_CURR"]: r for r in
+           history.status_profile(bureau, months.drop("SK_ID_CURR")).collect()}
     assert got[1]["bbal_ever_90dpd"] == 1.0 and got[1]["bbal_ever_60dpd"] == 0.0
     assert got[1]["bbal_dpd_escalation"] == 0.0  # earliest month is already 2
     assert got[1]["bbal_max_dpd_months_ago"] == 0.0 and got[2]["bbal_max_dpd_months_ago"] == -999.0
@@ -194,8 +199,10 @@ def test_status_profile(spark):
 def test_time_features(spark):
     bbal = balances(spark, [(0, 10, 0, "1"), (0, 10, -1, "0"), (0, 10, -2, "1"), (0, 10, -3, "C"),
                             (0, 10, -4, "1"), (0, 11, 0, "0")]).drop("SK_ID_CURR")
-    bureau = spark.createDataFrame([(1, 10, -730), (1, 11, -731)],
-                                   "SK_ID_CURR long, SK_ID_BUREAU long, DAYS_CREDIT int")
+    bureau = spark.createDataFrame([], CHILD_SCHEMAS["bureau"]).unionByName(
+        spark.createDataFrame([(1, 10, -730), (1, 11, -731)],
+                              "SK_ID_CURR long, SK_ID_BUREAU long, DAYS_CREDIT int"),
+        allowMissingColumns=True)
     people = spark.createDataFrame([(1,), (2,)], "SK_ID_CURR long")
     got = {r["SK_ID_CURR"]: r for r in history.time_features(people, bureau, bbal).collect()}
     assert got[1]["bbal_dpd_rate_3m"] == pytest.approx(0.4)
