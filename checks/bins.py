@@ -228,7 +228,14 @@ def _(t):
     return stores.fit_auto_store(t.tables()).frame
 
 
-@query("interaction_iv", None)
+_WORTH = {"AMT_CREDIT": 4.0, "EXT_SOURCE_2": 3.0, "EXT_SOURCE_3": 2.0, "DAYS_EMPLOYED": 1.0}
+_CROSS = [(a, b) for i, a in enumerate(_WORTH) for b in list(_WORTH)[i + 1:]]
+
+
+@query("interaction_iv", with_views("app", """SELECT feature, round(iv, 6) AS iv, CASE WHEN iv >= 0.5 THEN 'very strong'
+    WHEN iv >= 0.3 THEN 'strong' WHEN iv >= 0.1 THEN 'medium' WHEN iv >= 0.02 THEN 'weak' ELSE 'useless' END AS strength
+    FROM (SELECT feature, sum(d * w) AS iv FROM woe GROUP BY 1) WHERE iv >= 0.02""",
+    vals=" UNION ALL ".join(f"SELECT TARGET AS y, '{a}_x_{b}' AS feature, {a} * {b} AS v FROM app" for a, b in _CROSS),
+    edge=_EDGE, cnt=_CNT, woe=_WOE))
 def _(t):
-    worth = {"AMT_CREDIT": 3.0, "AMT_ANNUITY": 2.0, "EXT_SOURCE_2": 1.0, "bureau_cnt": 0.5}
-    return stores.interaction_candidates(null_to_sentinel(frame(t), list(worth)), worth, 4, 0.0)
+    return stores.interaction_candidates(t.applicants(), _WORTH, 4)

@@ -149,3 +149,44 @@ def _(t):
     return scoring.score(people, bundle).select(
         "SK_ID_CURR", "probability", "risk_band", "model_version",
         F.col("factors")[0]["feature"].alias("first_factor"))
+
+
+# A scorecard with given coefficients, so that batch and stream can be checked by SQL.
+_MODEL = models.LinearScore(["CREDIT_INCOME_RATIO", "EXT_SOURCE_MEAN", "AGE_YEARS"],
+                            [0.02, -2.5, -0.03], [10.0, 0.5, 40.0], -2.0)
+
+
+def fixed_bundle(t: Tables) -> scoring.ScoreBundle:
+    return scoring.ScoreBundle(scoring.fit_defaults(t.applicants(), _RAW), _MODEL, (0.9, -0.1))
+
+
+FIXED_CTES = {
+    "filled": "SELECT SK_ID_CURR, " + ", ".join(
+        f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM app)) AS {c}" for c in _RAW) + " FROM app",
+    "parts": """SELECT SK_ID_CURR, 0.02::DOUBLE * (CASE WHEN AMT_INCOME_TOTAL > 0 THEN AMT_CREDIT / AMT_INCOME_TOTAL ELSE 0 END - 10) AS c1,
+        -2.5::DOUBLE * ((EXT_SOURCE_1 + EXT_SOURCE_2 + EXT_SOURCE_3) / 3 - 0.5) AS c2,
+        -0.03::DOUBLE * (-DAYS_BIRTH / 365.25::DOUBLE - 40) AS c3 FROM filled""",
+    "probs": """SELECT *, 1 / (1 + exp(-(0.9::DOUBLE * (1 / (1 + exp(-(-2 + c1 + c2 + c3)))) - 0.1))) AS p FROM parts""",
+}
+BAND_SQL = """CASE WHEN p < 0.05 THEN 'VERY_LOW' WHEN p < 0.15 THEN 'LOW' WHEN p < 0.3 THEN 'MEDIUM'
+    WHEN p < 0.5 THEN 'HIGH' ELSE 'VERY_HIGH' END"""
+
+
+@query("score_given_model", with_views("app", sql_rounded(f"""SELECT SK_ID_CURR, p AS probability, {BAND_SQL} AS risk_band,
+    CASE WHEN abs(c1) >= abs(c2) AND abs(c1) >= abs(c3) THEN 'CREDIT_INCOME_RATIO'
+      WHEN abs(c2) >= abs(c3) THEN 'EXT_SOURCE_MEAN' ELSE 'AGE_YEARS' END AS first_factor,
+    greatest(abs(c1), abs(c2), abs(c3)) AS size FROM probs""", "probability size", "SK_ID_CURR",
+    "risk_band first_factor"), **FIXED_CTES))
+def _(t):
+    return scoring.score(t.applicants(), fixed_bundle(t)).select(
+        "SK_ID_CURR", "probability", "risk_band", F.col("factors")[0]["feature"].alias("first_factor"),
+        F.abs(F.col("factors")[0]["contribution"]).alias("size"))
+
+
+@query("contributions", with_views("app", sql_rounded(
+    "SELECT SK_ID_CURR, c1 AS CREDIT_INCOME_RATIO, c2 AS EXT_SOURCE_MEAN, c3 AS AGE_YEARS FROM parts",
+    "CREDIT_INCOME_RATIO EXT_SOURCE_MEAN AGE_YEARS", "SK_ID_CURR"), **FIXED_CTES))
+def _(t):
+    bundle = fixed_bundle(t)
+    return _MODEL.contributions(scoring.request_features(t.applicants(), bundle.defaults),
+                                ["SK_ID_CURR"])

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from checks.learned import BAND_SQL, FIXED_CTES, fixed_bundle
 from checks.rows import _cols, frame, on_frame
 from checks.views import Tables, nudge_of, rounded, sql_rounded, with_views
 from riskframe.functions import application as app
 from riskframe.functions import exprs
-from riskframe.operators import metrics, selection, splits
-from riskframe.plans import scoring, stores, training
+from riskframe.operators import history, selection, splits
+from riskframe.plans import stores, training
 from riskframe.session import shared_folder
 from riskframe.sources import tables as src
 from riskframe.streaming import scoring as stream
@@ -170,23 +171,19 @@ def _(t):
 @query("extended_store", None)
 def _(t):
     people = t.applicants().select("SK_ID_CURR", "TARGET", "AMT_CREDIT").fillna(-999.0)
-    from riskframe.operators import history
     auto = exprs.null_to_sentinel(history.previous_summary(t.prev()))
     times = history.time_features(t.applicants(), t.bureau(), t.bbal())
     return stores.extended_store(people, auto.withColumn("SK_ID_CURR", F.col("SK_ID_CURR").cast("long")), times)
 
 
-@query("score_stream", None)
+@query("score_stream", with_views("app", f"""SELECT {BAND_SQL} AS risk_band, count(*) AS n, round(avg(p), 6) AS mean_probability
+    FROM probs GROUP BY 1""", **FIXED_CTES))
 def _(t):
     """Customers arrive as files and are scored by the function that scores batches."""
-    people = t.applicants()
-    raw = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1",
-           "EXT_SOURCE_2", "EXT_SOURCE_3", "DAYS_BIRTH", "DAYS_EMPLOYED"]
-    bundle = scoring.fit_bundle(people, raw, ["CREDIT_INCOME_RATIO", "EXT_SOURCE_MEAN",
-                                              "AGE_YEARS"], "TARGET")
-    folder = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
-    people.drop("TARGET").write.parquet(f"{folder}/in")
-    arriving = stream.application_stream(t.spark, f"{folder}/in", people.drop("TARGET").schema)
-    stream.score_stream(arriving, bundle, f"{folder}/out", f"{folder}/state").awaitTermination()
+    people, folder = t.applicants().drop("TARGET"), f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    people.write.parquet(f"{folder}/in")
+    arriving = stream.application_stream(t.spark, f"{folder}/in", people.schema)
+    stream.score_stream(arriving, fixed_bundle(t), f"{folder}/out",
+                        f"{folder}/state").awaitTermination()
     return t.spark.read.parquet(f"{folder}/out").groupBy("risk_band").agg(
         F.count("*").alias("n"), F.avg("probability").alias("mean_probability"))

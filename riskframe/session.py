@@ -31,18 +31,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: below ``spark.checkpoint.dir``, one per application.
 
     Only a local master without that setting falls back to a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    application, root = context.applicationId, spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="riskframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/riskframe-{spark.sparkContext.applicationId}"
+        if application not in _local_roots:
+            _local_roots[application] = tempfile.mkdtemp(prefix="riskframe-")
+        root = _local_roots[application]
+    return f"{root.rstrip('/')}/riskframe-{application}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@ QUERIES = driver.queries()
 # fits on the smallest data set that only take time here; they run in test_models
 SLOW = {"scorecard_store", "tree_store", "auto_store", "boosted_oof", "imbalance", "shift_report",
         "learning_curve", "calibrated_stack", "subset_ablation", "scorecard_fit", "ridge_stack",
-        "stack", "calibrate", "history_store", "extended_store", "interaction_iv", "score_stream",
-        "score_batch"}
+        "stack", "calibrate", "history_store", "extended_store", "score_batch"}
 
 
 @pytest.fixture(scope="module")
