@@ -70,6 +70,14 @@ def _(t):
     return binning.iv_ranking(binning.woe_table(labelled(t), "y", _COLS))
 
 
+@query("iv_filter", with_views("", """SELECT feature, round(iv, 6) AS iv, feature IN ('qty', 'price', 'tax', 'delay', 'one') AS present
+    FROM (SELECT feature, sum(d * w) AS iv FROM woe GROUP BY 1) WHERE iv >= 0.0005""", **_CTES))
+def _(t):
+    out, kept = binning.filter_by_iv(labelled(t), "y", _COLS, 0.0005)
+    rows = [(f, float(v), f in out.columns) for f, v in kept.items()]
+    return t.spark.createDataFrame(rows, "feature string, iv double, present boolean")
+
+
 @query("woe_apply", with_views("", """SELECT flag, feature, count(*) AS n, round(avg(w), 6) + 0.0 AS mean_woe FROM
     (SELECT flag, v.feature, CASE WHEN v IS NOT NULL AND e0 = e10 THEN -999 ELSE w END AS w FROM (""" + " UNION ALL ".join(
         f"SELECT flag, '{c}' AS feature, nullif({c}, -999) AS v FROM lab" for c in _COLS)

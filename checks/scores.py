@@ -188,6 +188,18 @@ def _(t):
     return _fairness(t)
 
 
+@query("fairness_joined", with_views("app", sql_rounded(
+    _FAIR, "mean_score tpr fpr mean_score_ratio tpr_ratio fpr_ratio", "n", "attribute group_name"),
+    people=_PEOPLE, groups=_GROUPS, rates=_RATES))
+def _(t):
+    rows = t.applicants()
+    scored = rows.select("SK_ID_CURR", F.col("TARGET").alias("label"), F.round(F.least(
+        F.coalesce("EXT_SOURCE_3", F.lit(0.5)), F.lit(1.0)), 3).alias("score"))
+    return audit.fairness_with_demographics(scored, rows, "SK_ID_CURR", {
+        "gender": F.col("CODE_GENDER"),
+        "age": audit.age_band(-F.col("DAYS_BIRTH") / 365.25)})
+
+
 @query("fairness_gate", with_views("app", """SELECT attribute, round(min(least(mean_score_ratio, tpr_ratio, fpr_ratio)), 6) AS worst_ratio,
     min(least(mean_score_ratio, tpr_ratio, fpr_ratio)) >= 0.8 AS passed FROM fair GROUP BY 1""",
     people=_PEOPLE, groups=_GROUPS, rates=_RATES, fair=_FAIR))

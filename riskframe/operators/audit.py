@@ -52,6 +52,15 @@ def fairness(df: DataFrame, attributes: dict[str, Column], label: str = "label",
         for m in ("mean_score", "tpr", "fpr")})
 
 
+def fairness_with_demographics(scored: DataFrame, people: DataFrame, key: str,
+                               attributes: dict[str, Column], label: str = "label",
+                               score: str = "score") -> DataFrame:
+    """Audit scores of a model that never saw the attributes: they join by key for this only."""
+    needed = people.select(key, *[v.alias(n) for n, v in attributes.items()])
+    joined = scored.select(key, label, score).join(needed, key)
+    return fairness(joined, {n: F.col(n) for n in attributes}, label, score)
+
+
 def fairness_gate(audit: DataFrame, bound: float = 0.80) -> DataFrame:
     """Pass or fail per attribute: every min/max ratio at or above the bound."""
     worst = F.least(*[F.min(f"{m}_ratio") for m in ("mean_score", "tpr", "fpr")])

@@ -140,6 +140,14 @@ def iv_ranking(table: DataFrame, min_iv: float | None = None) -> DataFrame:
     return ranked.withColumn("strength", strength).orderBy(iv.desc(), "feature")
 
 
+def filter_by_iv(df: DataFrame, target: str, columns: list[str], min_iv: float = 0.02,
+                 bins: int = 10, approximate: bool = False) -> tuple[DataFrame, dict[str, float]]:
+    """The frame without columns of too little information value, and the values kept."""
+    table = woe_table(df, target, columns, bins, approximate)
+    kept = {r["feature"]: r["iv"] for r in iv_ranking(table, min_iv).collect()}
+    return df.drop(*[c for c in columns if c not in kept]), kept
+
+
 def fit_woe(df: DataFrame, target: str, columns: list[str], bins: int = 10,
             approximate: bool = False, min_iv: float | None = None) -> WoeModel:
     """Fit bins and WoE for all columns in one counting job."""

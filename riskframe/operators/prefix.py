@@ -6,7 +6,7 @@ and chunk totals (one row per group and chunk) carry the running sum across.
 
 The chunk is either an expression that follows the sort order (a day, the high bits
 of a hash) or, by default, the partition number after range partitioning. Range
-boundaries are sampled, so that variant is checkpointed before it is read twice.
+boundaries are sampled, so that variant is written to a table before it is read twice.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def hash_key(columns: Sequence[str], seed: int) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns], F.lit(seed))
 
 
-def hash_chunk(key: str, bits: int = 12) -> Column:
+def hash_chunk(key: str, bits: int = 16) -> Column:
     """High bits of a hash: equal-sized chunks that follow the hash order."""
     return F.shiftright(F.col(key), 64 - bits)
 

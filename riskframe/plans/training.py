@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.exprs import MISSING, flag, nan_to_null
 from riskframe.operators import history
 from riskframe.operators.wide import PLACE, column_name, long_values
+from riskframe.session import cut_lineage
 from riskframe.sources.schema import CHILD_PREFIXES, COUNT_COLUMNS, KEY, TARGET
 
 # Aggregates that are 0 for an applicant without rows in the table.
@@ -98,5 +99,6 @@ def training_frame(tables: dict[str, DataFrame], drop_sparse: bool = True,
         raise KeyError(f"{TARGET} is required")
     frame = sentinel_child_columns(presence_flags(nan_to_null(joined_frame(tables, sequences))))
     if drop_sparse:
-        frame = drop_sparse_columns(frame)
+        # counting NULLs reads every column; the child aggregates must not run twice
+        frame = drop_sparse_columns(cut_lineage(frame))
     return frame.fillna(MISSING, numeric_columns(frame))
