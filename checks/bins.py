@@ -212,11 +212,11 @@ _AUTO_PARTS = {f"a{i}": f"SELECT SK_ID_CURR, {', '.join(f'{e} AS {n}' for n, e i
 
 
 @query("auto_agg", with_views("app bureau bbal cc", sql_rounded(
-    f"SELECT SK_ID_CURR, {', '.join(f'round(coalesce({n}, -999) + 0.00001, 3) AS {n}' for n in _AUTO_NAMES)} FROM app LEFT JOIN a0 USING (SK_ID_CURR) LEFT JOIN a1 USING (SK_ID_CURR)",
+    f"SELECT SK_ID_CURR, {', '.join(f'round(coalesce({n}, -999) + 0.0000123, 3) AS {n}' for n in _AUTO_NAMES)} FROM app LEFT JOIN a0 USING (SK_ID_CURR) LEFT JOIN a1 USING (SK_ID_CURR)",
     " ".join(_AUTO_NAMES), "SK_ID_CURR"), bb=_BB, **_AUTO_PARTS))
 def _(t):
     matrix, _ = autoagg.auto_features(t.tables())
-    return matrix.select("SK_ID_CURR", *[F.round(F.col(n) + 0.00001, 3).alias(n) for n in _AUTO_NAMES])
+    return matrix.select("SK_ID_CURR", *[F.round(F.col(n) + 0.0000123, 3).alias(n) for n in _AUTO_NAMES])
 
 
 # ---- stores (rows-only: their columns depend on fitted choices) ------------------------

@@ -478,8 +478,8 @@ def _(t):
 
 
 @query("slopes", with_views("inst", sql_rounded(f"""SELECT SK_ID_CURR,
-    coalesce(regr_slope(AMT_INSTALMENT, seq), 0) AS inst_payment_amt_slope,
-    coalesce(CASE WHEN count(*) = count(AMT_PAYMENT) THEN regr_slope({_PS}, seq) END, 0) AS inst_payment_ratio_trend
+    CASE WHEN count(*) > 1 THEN coalesce(regr_slope(AMT_INSTALMENT, seq), 0) ELSE 0 END AS inst_payment_amt_slope,
+    coalesce(CASE WHEN count(*) > 1 AND count(*) = count(AMT_PAYMENT) THEN regr_slope({_PS}, seq) END, 0) AS inst_payment_ratio_trend
     FROM seqs GROUP BY 1""", "inst_payment_amt_slope inst_payment_ratio_trend", "SK_ID_CURR"),
     seqs=_SEQ))
 def _(t):

@@ -154,9 +154,9 @@ class Tables:
             F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("fold"),
             F.col("l_shipdate").alias("shipped"), F.col("l_returnflag").alias("flag"),
             (price * (1 - disc) > 60000).cast("int").alias("label"),
-            F.round(qty / 51, 2).alias("score_a"),
-            F.round(F.least(price / 110000, F.lit(1.0)), 3).alias("score_b"),
-            F.round(disc * 8 + F.col("l_tax"), 2).alias("score_c"))
+            F.round(qty / 51 + 1e-9, 2).alias("score_a"),
+            F.round(F.least(price / 110000, F.lit(1.0)) + 1e-9, 3).alias("score_b"),
+            F.round(disc * 8 + F.col("l_tax") + 1e-9, 2).alias("score_c"))
 
     def scored_long(self) -> DataFrame:
         return self.scored().select("id", "fold", "label", "score_a", "score_b", "score_c").unpivot(
@@ -241,8 +241,8 @@ SQL = {
       FROM events""",
     "scored": """SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS fold, l_shipdate AS shipped,
       l_returnflag AS flag, CAST(l_extendedprice * (1 - l_discount) > 60000 AS INT) AS label,
-      round(l_quantity / 51, 2) AS score_a, round(least(l_extendedprice / 110000, 1.0), 3) AS score_b,
-      round(l_discount * 8 + l_tax, 2) AS score_c
+      round(l_quantity / 51 + 1e-9, 2) AS score_a, round(least(l_extendedprice / 110000, 1.0) + 1e-9, 3) AS score_b,
+      round(l_discount * 8 + l_tax + 1e-9, 2) AS score_c
       FROM lineitem""",
     "slong": """SELECT id, fold, label, 'score_a' AS model, score_a AS score FROM scored
       UNION ALL SELECT id, fold, label, 'score_b', score_b FROM scored
