@@ -73,16 +73,17 @@ def top_factors(df: DataFrame, key: str, columns: list[str], n: int = 5) -> Data
 
     Contributions stand side by side in a row, so the choice needs no shuffle.
     """
-    entries = F.array(*[F.struct((-F.abs(F.col(c))).alias("size"), F.lit(i).alias("place"),
-                                 F.lit(c).alias("feature"), F.col(c).alias("contribution"))
+    # a missing contribution sorts behind every real one and is dropped afterwards
+    entries = F.array(*[F.struct(F.coalesce(-F.abs(F.col(c)), F.lit(1.0)).alias("size"),
+                                 F.lit(i).alias("place"), F.lit(c).alias("feature"),
+                                 F.col(c).alias("contribution"))
                         for i, c in enumerate(columns)])
-    best = F.slice(F.array_sort(F.filter(entries, lambda e: e["contribution"].isNotNull())), 1, n)
-    return df.select(key, F.posexplode(best).alias("_i", "_e")).select(
-        key, F.col("_e.feature").alias("feature"),
-        column_label(F.col("_e.feature")).alias("label"),
-        F.col("_e.contribution").alias("contribution"),
-        F.when(F.col("_e.contribution") > 0, "increases_risk").otherwise("decreases_risk")
-        .alias("direction"),
+    best = F.slice(F.array_sort(entries), 1, n)
+    name, value = F.col("_e.feature"), F.col("_e.contribution")
+    return df.select(key, F.posexplode(best).alias("_i", "_e")).where(value.isNotNull()).select(
+        key, name.alias("feature"), column_label(name).alias("label"),
+        value.alias("contribution"),
+        F.when(value > 0, "increases_risk").otherwise("decreases_risk").alias("direction"),
         (F.col("_i") + 1).alias("rank"))
 
 
