@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from riskframe.llm import langid
+from riskframe.llm import langid, linededup, sharding
 from riskframe.llm.common import read
 
 QUERIES = {
     "op1_language_id": lambda spark, folder: langid.identify_documents(read(spark, folder, "documents")),
+    "op3_sharding": lambda spark, folder: sharding.shard_documents(read(spark, folder, "documents")),
+    "op8_line_dedup": lambda spark, folder: linededup.line_dedup_query(read(spark, folder, "documents")),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_line_dedup": linededup.SQL}
