@@ -65,3 +65,52 @@ def numbered(df: DataFrame, groups: list[str], order: Column, bits: int, name: s
             .join(offsets, [*groups, "_slice"])
             .withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long"))
             .drop("_hash", "_slice", "_row", "_before"))
+
+
+#: A key with this fraction of all rows or more is "hot"; there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join with a table of one line per ``key``: hot keys by broadcast, the rest by a shuffle.
+
+    ``hot`` holds the keys with a thousandth of all rows or more, so at most 1000 lines are broadcast
+    and no task gets the rows of a hot key. ``how``: inner or left_anti.
+    """
+    ids = F.broadcast(hot.select(key))
+    cold = rows.join(ids, key, "left_anti").join(table.join(ids, key, "left_anti"), key, how)
+    if how == "left_anti":
+        return cold
+    return cold.unionByName(rows.join(F.broadcast(table.join(ids, key, "left_semi")), key))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """Nodes ``v`` and the smallest node ``m`` of their component, from edges (a, b) of longs.
+
+    Alternates large-star and small-star steps until the edges are stars; every step is a partially
+    aggregated minimum by node and a join back, written to the shared folder. Nodes that are their
+    component's smallest are not returned. Rounds grow with the logarithm of the component size.
+    """
+    state = stored(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m"))
+                   .where("v <> m").distinct(), "edges")
+    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(20,0)")))
+    before = state.select(mark.alias("x")).first()["x"]
+    while before[0]:
+        both = state.select(F.col("v").alias("u"), F.col("m").alias("w")).union(state.select("m", "v"))
+        least = both.groupBy("u").agg(F.least(F.min("w"), F.first("u")).alias("least"))
+        large = (both.join(least, "u").where("w > u").select(F.col("w").alias("v"), F.col("least").alias("m"))
+                 .where("v <> m").distinct())
+        # small star: a node's smaller neighbours, and itself, point to the smallest of them
+        large = stored(large, "edges")
+        least = large.groupBy("v").agg(F.min("m").alias("least"))
+        small = (large.join(least, "v").select(F.col("m").alias("v"), F.col("least").alias("m"))
+                 .union(least.select("v", F.col("least").alias("m"))).where("v <> m").distinct())
+        after = stored(small, "edges")
+        now = after.select(mark.alias("x")).first()["x"]
+        discard(state)
+        discard(large)
+        state = after
+        if now == before:
+            break
+        before = now
+    return state

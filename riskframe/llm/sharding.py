@@ -14,23 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import bits_for, discard, numbered, stored, whole_text
+from riskframe.llm.common import HOT_SHARE, bits_for, discard, join_skewed, numbered, stored, whole_text
 
 SHARDS = 16
-HOT_SHARE = 1000
 ROUNDS = 8
 ROWS_PER_SLICE = 200_000
 
 
-def _joined(rows: DataFrame, table: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on ``gid``: large groups by broadcast, the rest by a shuffle."""
-    hot_ids = F.broadcast(hot.select("gid"))
-    cold = rows.join(hot_ids, "gid", "left_anti").join(table.join(hot_ids, "gid", "left_anti"), "gid", how)
-    if how == "left_anti":
-        return cold
-    return cold.unionByName(rows.join(F.broadcast(table.join(hot_ids, "gid", "left_semi")), "gid"))
-
-
 def _unit(*parts: Column) -> Column:
     """Uniform number in [0, 1) that depends on the values only."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
@@ -56,7 +46,7 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
             F.when(F.lit(room[s] > 0), F.col("held")[s]).otherwise(F.lit(-1)).alias("n"),
             _unit("gid", F.lit(s)).alias("u"), F.lit(s).alias("s")) for s in range(shards)])
         votes = neighbours.select("gid", "held", best.alias("best"))
-        wish = (_joined(state, votes, hot)
+        wish = (join_skewed(state, votes, hot, "gid")
                 .withColumn("want", F.when(
                     (F.col("best.s") != F.col("shard"))
                     & (F.struct(F.col("best.n"), F.col("best.u"))
@@ -95,8 +85,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     total = base.count()
     groups = stored(base.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     hot = groups.where(F.col("n") * HOT_SHARE >= total)
-    linked = _joined(base, groups, hot)
-    single = _joined(base, groups, hot, "left_anti")
+    linked = join_skewed(base, groups, hot, "gid")
+    single = join_skewed(base, groups, hot, "gid", "left_anti")
 
     state = _propagate(linked, hot, shards, -(-total // shards), rounds)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
