@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from riskframe.llm import chat, html, langid, linededup, sharding
+from riskframe.llm import chat, fingerprints, html, langid, linededup, sharding, simhash
 from riskframe.llm.common import read
 
 QUERIES = {
     "op1_language_id": lambda spark, folder: langid.identify_documents(read(spark, folder, "documents")),
     "op3_sharding": lambda spark, folder: sharding.shard_documents(read(spark, folder, "documents")),
+    "op5_fingerprints": lambda spark, folder: fingerprints.fingerprint_documents(
+        read(spark, folder, "documents")),
+    "op6_simhash": lambda spark, folder: simhash.near_duplicates(read(spark, folder, "documents")),
     "op7_chat_format": lambda spark, folder: chat.chat_query(spark, read(spark, folder, "conversations")),
     "op8_line_dedup": lambda spark, folder: linededup.line_dedup_query(read(spark, folder, "documents")),
     "op10_html_extraction": lambda spark, folder: html.extract_pages(read(spark, folder, "pages")),
