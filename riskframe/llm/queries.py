@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from riskframe.llm import chat, fingerprints, html, langid, linededup, sharding, simhash
+from riskframe.llm import chat, decontam, fingerprints, html, langid, linededup, pieces, sharding, simhash
 from riskframe.llm.common import read
 
 QUERIES = {
     "op1_language_id": lambda spark, folder: langid.identify_documents(read(spark, folder, "documents")),
+    "op2_decontamination": lambda spark, folder: decontam.contaminated(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark")),
     "op3_sharding": lambda spark, folder: sharding.shard_documents(read(spark, folder, "documents")),
+    "op4_sentencepiece": lambda spark, folder: pieces.encode_documents(read(spark, folder, "documents")),
     "op5_fingerprints": lambda spark, folder: fingerprints.fingerprint_documents(
         read(spark, folder, "documents")),
     "op6_simhash": lambda spark, folder: simhash.near_duplicates(read(spark, folder, "documents")),
@@ -16,4 +19,4 @@ QUERIES = {
     "op10_html_extraction": lambda spark, folder: html.extract_pages(read(spark, folder, "pages")),
 }
 
-SQL: dict[str, str] = {"op8_line_dedup": linededup.SQL}
+SQL: dict[str, str] = {"op2_decontamination": decontam.SQL, "op8_line_dedup": linededup.SQL}
