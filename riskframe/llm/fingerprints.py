@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from riskframe.llm.common import stored, whole_text
+from riskframe.llm.common import discard, stored, whole_text
 
 WORDS = 5
 BINS = 256
@@ -116,8 +116,11 @@ def next_in_order(rows: DataFrame, key: str, value: str) -> DataFrame:
         F.lead("_first").over(order), F.first("_first").over(
             order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))[value].alias("_following"))
     inside = F.lead(value).over(W.partitionBy("_range").orderBy(F.col(key).desc()))
-    return (ranges.withColumn("_next", inside).join(F.broadcast(following), "_range")
-            .withColumn("next", F.coalesce("_next", "_following")).drop("_range", "_next", "_following"))
+    out = stored(ranges.withColumn("_next", inside).join(F.broadcast(following), "_range")
+                 .withColumn("next", F.coalesce("_next", "_following")).drop("_range", "_next", "_following"),
+                 "next")
+    discard(ranges)
+    return out
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -131,25 +134,24 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
     rows = rows.withColumn("dh", F.xxhash64("text"))
     marked = with_fingerprint(rows, F.col("text"), "fp").select(
-        "doc_id", F.struct("dh", F.length("text").cast("long").alias("n"), "fp").alias("own"))
-    single = stored(marked.groupBy("doc_id").agg(F.min("own").alias("own"))
-                    .withColumn("link", F.struct("doc_id", "own")), "fingerprints")
-    chain = stored(next_in_order(single, "doc_id", "link").drop("link"), "chain")
-    # the replacing text is cut where the next document lies, then sent to the document it ends
-    wanted = chain.select(F.col("doc_id").alias("for_id"), F.expr("own.n div 3").cast("int").alias("k"),
-                          F.col("next.doc_id").alias("next_id"), F.col("next.own.dh").alias("next_dh"))
-    tails = (rows.join(wanted, (rows["doc_id"] == wanted["next_id"]) & (rows["dh"] == wanted["next_dh"]))
-             .select("for_id", F.substring("text", F.lit(1), F.col("k")).alias("tail"))
-             .groupBy("for_id").agg(F.first("tail").alias("tail")))
-    texts = rows.join(chain.select("doc_id", F.col("own.dh").alias("dh"), F.col("own.n").alias("n_chars"),
-                                   F.col("own.fp").alias("fp"), F.col("next.own.fp").alias("next_fp")),
-                      ["doc_id", "dh"]).join(tails, F.col("doc_id") == F.col("for_id"))
-    head = F.substring("text", F.lit(1), (F.col("n_chars") - F.expr("n_chars div 3")).cast("int"))
-    edited = texts.select("doc_id", "n_chars", "fp", "next_fp", F.concat(head, "tail").alias("edited"))
+        "doc_id", F.struct("dh", F.length("text").cast("long").alias("n"), "fp", "doc_id").alias("own"))
+    chain = next_in_order(marked.groupBy("doc_id").agg(F.min("own").alias("own")), "doc_id", "own")
+    # both joins use one shuffle of the texts: the replacing text is cut where the next document lies
+    # and then sent, with what is known of the document it ends, to that document
+    wanted = chain.select(
+        F.col("doc_id").alias("for_id"), F.col("own.dh").alias("for_dh"), F.col("own.n").alias("n_chars"),
+        F.col("own.fp").alias("fp"), likeness(F.col("own.fp"), F.col("next.fp")).alias("near_next"),
+        F.col("next.doc_id").alias("doc_id"), F.col("next.dh").alias("dh"))
+    third = F.expr("n_chars div 3").cast("int")
+    tails = rows.join(wanted, ["doc_id", "dh"]).select(
+        F.col("for_id").alias("doc_id"), F.col("for_dh").alias("dh"), "n_chars", "fp", "near_next",
+        F.substring("text", F.lit(1), third).alias("tail"))
+    texts = rows.join(tails, ["doc_id", "dh"]).dropDuplicates(["doc_id", "dh"])
+    head = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third)
+    edited = texts.select("doc_id", "n_chars", "fp", "near_next", F.concat(head, "tail").alias("edited"))
     edited = with_fingerprint(edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)),
                               F.col("edited"), "edited_fp").drop("edited")
-    return edited.dropDuplicates(["doc_id"]).select(
+    return edited.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"),
         as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), "near_next")
