@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import chat, decontam, fingerprints, html, langid, linededup, pieces, sharding, simhash
+from riskframe.llm import chat, decontam, fingerprints, html, langid, linededup, pieces, sharding, simhash, tokenfile
 from riskframe.llm.common import read
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op6_simhash": lambda spark, folder: simhash.near_duplicates(read(spark, folder, "documents")),
     "op7_chat_format": lambda spark, folder: chat.chat_query(spark, read(spark, folder, "conversations")),
     "op8_line_dedup": lambda spark, folder: linededup.line_dedup_query(read(spark, folder, "documents")),
+    "op9_token_file": lambda spark, folder: tokenfile.token_file(read(spark, folder, "documents")),
     "op10_html_extraction": lambda spark, folder: html.extract_pages(read(spark, folder, "pages")),
 }
 
