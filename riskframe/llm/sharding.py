@@ -18,6 +18,8 @@ from riskframe.llm.common import HOT_SHARE, bits_for, discard, join_skewed, numb
 
 SHARDS = 16
 ROUNDS = 8
+#: A group takes no more rows into a shard of which it has this part.
+FILLED = 0.95
 ROWS_PER_SLICE = 200_000
 
 
@@ -26,8 +28,9 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _by_shard(counts: dict[int, float], shards: int) -> Column:
-    return F.array(*[F.lit(float(counts.get(s, 0.0))) for s in range(shards)])
+def _quota(share: dict[tuple[int, int], float], shards: int) -> Column:
+    """Share of the wishes from one shard to another that is granted, as a flat table."""
+    return F.array(*[F.lit(float(share.get((s, t), 0.0))) for s in range(shards) for t in range(shards)])
 
 
 def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
@@ -41,9 +44,10 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
         room = {s: max(0, capacity - held.get(s, 0)) for s in range(shards)}
         neighbours = state.groupBy("gid").agg(F.array(
             *[F.sum((F.col("shard") == s).cast("long")) for s in range(shards)]).alias("held"))
-        # the open shard with most neighbours; equal counts fall to a hash, so groups spread evenly
+        # the shard with most neighbours, passing over those that the group fills by itself; equal
+        # counts fall to a hash, so that groups spread evenly
         best = F.greatest(*[F.struct(
-            F.when(F.lit(room[s] > 0), F.col("held")[s]).otherwise(F.lit(-1)).alias("n"),
+            F.when(F.col("held")[s] < FILLED * capacity, F.col("held")[s]).otherwise(F.lit(-1)).alias("n"),
             _unit("gid", F.lit(s)).alias("u"), F.lit(s).alias("s")) for s in range(shards)])
         votes = neighbours.select("gid", "held", best.alias("best"))
         wish = (join_skewed(state, votes, hot, "gid")
@@ -53,19 +57,24 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
                        > F.struct(F.get("held", F.col("shard")), _unit("gid", "shard"))), F.col("best.s")))
                 .drop("held", "best"))
         wish = stored(wish, "wishes")
-        asked = {r["want"]: r["n"] for r in wish.where("want is not null").groupBy("want")
-                 .agg(F.count(F.lit(1)).alias("n")).collect()}
+        asked = {(r["shard"], r["want"]): r["n"] for r in wish.where("want is not null")
+                 .groupBy("shard", "want").agg(F.count(F.lit(1)).alias("n")).collect()}
+        # two shards exchange as many rows as both ask for; free room takes more
+        swapped = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
+        over = {t: sum(n - swapped[x, y] for (x, y), n in asked.items() if y == t) for t in range(shards)}
+        share = {(s, t): min(1.0, (swapped[s, t] + room[t] * (n - swapped[s, t]) / max(1, over[t])) / n)
+                 for (s, t), n in asked.items()}
         # groups move whole while they are small against a shard; documents of large groups one by one
-        share = {s: min(1.0, room[s] / n) for s, n in asked.items()}
         draw = F.when(F.col("n") * 8 < capacity, _unit("gid", F.lit(turn))).otherwise(
             _unit("doc_id", F.lit(turn)))
-        moves = F.col("want").isNotNull() & (draw < F.get(_by_shard(share, shards), F.col("want")))
+        moves = F.col("want").isNotNull() & (
+            draw < F.get(_quota(share, shards), F.col("shard") * shards + F.col("want")))
         moved = stored(wish.withColumn("shard", F.when(moves, F.col("want")).otherwise(F.col("shard")))
                        .drop("want"), "shards")
         discard(state)
         discard(wish)
         state = moved
-        if sum(n * share[s] for s, n in asked.items()) * 1000 < total:
+        if sum(n * share[pair] for pair, n in asked.items()) * 1000 < total:
             break
     return state
 
