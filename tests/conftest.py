@@ -9,8 +9,10 @@ from riskframe.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session("local[4]", 4, **{
+        "spark.checkpoint.dir": str(shared), "spark.sql.warehouse.dir": f"{shared}/warehouse",
         "spark.driver.memory": "4g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("OFF")
