@@ -459,10 +459,10 @@ _RUNS = """SELECT SK_ID_CURR, max(len) AS run FROM (SELECT SK_ID_CURR, count(*)
 
 
 @query("late_streak", with_views("inst", sql_rounded("""SELECT SK_ID_CURR,
-    coalesce(max(run), 0) AS max_consec_late_streak,
-    round_even(-max(CASE WHEN late THEN DAYS_INSTALMENT END) / 30, 2) AS months_since_last_late
-    FROM seqs LEFT JOIN runs USING (SK_ID_CURR) GROUP BY 1""", "months_since_last_late",
-    "SK_ID_CURR max_consec_late_streak"), seqs=_SEQ, runs=_RUNS))
+    coalesce(max(run), 0) AS inst_max_consec_late_streak,
+    round_even(-max(CASE WHEN late THEN DAYS_INSTALMENT END) / 30, 2) AS inst_months_since_last_late
+    FROM seqs LEFT JOIN runs USING (SK_ID_CURR) GROUP BY 1""", "inst_months_since_last_late",
+    "SK_ID_CURR inst_max_consec_late_streak"), seqs=_SEQ, runs=_RUNS))
 def _(t):
     return hist.late_streak(t.inst())
 

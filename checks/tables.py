@@ -126,8 +126,8 @@ def _(t):
     UNION ALL SELECT 'l_extendedprice', greatest(abs(corr(l_extendedprice, l_quantity)), abs(corr(l_extendedprice, l_discount))) FROM lineitem)""")
 def _(t):
     rows = t.raw("lineitem").withColumn("twice", F.col("l_quantity") * 2 + F.col("l_tax"))
-    key, new = ["l_orderkey", "l_linenumber"], ["twice", "l_tax", "l_extendedprice"]
-    kept = selection.novel_columns(rows, ["l_quantity", "l_discount"], new, key)
+    new = ["twice", "l_tax", "l_extendedprice"]
+    kept = selection.novel_columns(rows, ["l_quantity", "l_discount"], new)
     return selection.column_variances(rows, new).select(
         "feature", F.col("feature").isin(kept).alias("kept"))
 

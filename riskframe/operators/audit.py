@@ -55,10 +55,13 @@ def fairness(df: DataFrame, attributes: dict[str, Column], label: str = "label",
 def fairness_with_demographics(scored: DataFrame, people: DataFrame, key: str,
                                attributes: dict[str, Column], label: str = "label",
                                score: str = "score") -> DataFrame:
-    """Audit scores of a model that never saw the attributes: they join by key for this only."""
+    """Audit scores of a model that never saw the attributes: they join by key for this only.
+
+    The cutoff is the percentile over all scored rows, with or without known attributes.
+    """
     needed = people.select(key, *[v.alias(n) for n, v in attributes.items()])
     joined = scored.select(key, label, score).join(needed, key)
-    return fairness(joined, {n: F.col(n) for n in attributes}, label, score)
+    return fairness(joined, {n: F.col(n) for n in attributes}, label, score, score_cutoff(scored, score))
 
 
 def fairness_gate(audit: DataFrame, bound: float = 0.80) -> DataFrame:

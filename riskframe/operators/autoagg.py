@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import clip, fill, null_to_sentinel
 from riskframe.operators import history
-from riskframe.sources.schema import KEY, RELATIONS, TARGET, Relation
+from riskframe.sources.schema import KEY, LEAKY_SOURCES, RELATIONS, TARGET, Relation
 
 PRIMITIVES = ("count", "mean", "sum", "std", "num_unique")
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -42,10 +42,21 @@ class Feature:
         value = F.col(self.column) if self.column else None
         built = {"count": lambda: F.count("*"), "mean": lambda: F.avg(value),
                  "sum": lambda: F.sum(value).cast("double"), "std": lambda: F.stddev_samp(value),
-                 "num_unique": lambda: F.count_distinct(value)}[self.fn]()
+                 "num_unique": lambda: F.size(F.collect_set(value)).cast("bigint")}[self.fn]()
         return built.alias(self.name, metadata={"display": self.display})
 
 
+def leaf(feature: Feature) -> tuple[str, str]:
+    """Child and column that a feature reads in the end; nested columns are named after their own feature."""
+    parts = feature.column.split("__")
+    return (parts[-2], parts[-1]) if len(parts) > 2 else (feature.child, feature.column)
+
+
+def is_leaky(feature: Feature) -> bool:
+    """Whether it aggregates, at any depth, a column that looks past the application date."""
+    return leaf(feature) in LEAKY_SOURCES
+
+
 def entity_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables restricted to months before the application, with the derived child columns.
 
@@ -88,13 +99,19 @@ def define(tables: dict[str, DataFrame], parent: str = "application",
 
 
 def build(tables: dict[str, DataFrame], features: list[Feature],
-          parent: str = "application") -> DataFrame:
-    """Parent keys with all features; one aggregate and one left join per child."""
+          parent: str = "application", own: bool = False) -> DataFrame:
+    """Parent keys with all features; one aggregate and one left join per child.
+
+    ``own`` keeps the parent's numeric columns. Text columns are categories, so the set of a group's
+    values is small; counting sets spares the copy of every row per text column that several
+    distinct counts would need.
+    """
     groups: dict[tuple[str, str], list[Feature]] = {}
     for f in features:
         groups.setdefault((f.child, f.key), []).append(f)
     keys = list(dict.fromkeys(key for _, key in groups)) or [KEY]
-    out = tables[parent].select(*keys)
+    numbers = [c for c, t in tables[parent].dtypes if t in _NUMERIC and c not in keys] if own else []
+    out = tables[parent].select(*keys, *numbers)
     for (child, key), wanted in groups.items():
         out = out.join(tables[child].groupBy(key).agg(*[f.expression() for f in wanted]),
                        key, "left")
@@ -123,7 +140,7 @@ def auto_features(tables: dict[str, DataFrame], depth: int = 1,
     entities = deepen(entity_tables(tables), depth, primitives)
     features = define(entities, "application", primitives)
     recent = history.recent_payments(entities["installments"])
-    matrix = build(entities, features).join(recent, KEY, "left")
+    matrix = build(entities, features, own=True).join(recent, KEY, "left")
     return null_to_sentinel(matrix, [c for c in matrix.columns if c != KEY]), features
 
 
@@ -133,7 +150,7 @@ def replay(tables: dict[str, DataFrame], features: list[Feature], depth: int = 1
     primitives = tuple(dict.fromkeys(f.fn for f in features)) or PRIMITIVES
     entities = deepen(entity_tables(tables), depth, primitives)
     recent = history.recent_payments(entities["installments"])
-    matrix = build(entities, features).join(recent, KEY, "left")
+    matrix = build(entities, features, own=True).join(recent, KEY, "left")
     filled = null_to_sentinel(matrix, [c for c in matrix.columns if c != KEY])
     return filled if columns is None else filled.select(KEY, *columns)
 

@@ -36,7 +36,8 @@ def encode_test(train: DataFrame, test: DataFrame, category: str, target: str,
     mean = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
     table = counts.select(category, ((F.col("_y") + smoothing * mean)
                                      / (F.col("_n") + smoothing)).alias(name))
-    return test.join(table, category, "left").withColumn(
+    table = table.withColumnRenamed(category, "_category")
+    return test.join(table, test[category].eqNullSafe(F.col("_category")), "left").drop("_category").withColumn(
         name, F.coalesce(F.col(name), F.lit(mean)))
 
 
@@ -52,11 +53,19 @@ def encode_out_of_fold(train: DataFrame, category: str, target: str, fold: str,
     by_category = cells.groupBy(category).agg(F.sum("n").alias("n_c"), F.sum("y").alias("y_c"))
     by_fold = cells.groupBy(fold).agg(F.sum("n").alias("n_f"), F.sum("y").alias("y_f"))
     n_all, y_all = train.agg(F.count("*"), F.sum(target)).first()
-    mean = (F.lit(y_all) - F.col("y_f")) / (F.lit(n_all) - F.col("n_f"))
+    # with a single fold there are no other rows to learn from
+    others = F.lit(n_all) - F.col("n_f")
+    mean = F.when(others > 0, (F.lit(y_all) - F.col("y_f")) / F.nullif(others, F.lit(0))).otherwise(
+        F.lit(y_all) / F.lit(n_all)) if n_all else F.lit(None).cast("double")
     n, y = F.col("n_c") - F.col("n"), F.col("y_c") - F.col("y")
-    table = (cells.join(by_category, category).join(by_fold, fold)
-             .select(category, fold, ((y + smoothing * mean) / (n + smoothing)).alias(name)))
-    return train.join(table, [category, fold], "left")
+    # NULL is a category, and a fold, of its own
+    by_category, by_fold = (by_category.withColumnRenamed(category, "_category"),
+                            by_fold.withColumnRenamed(fold, "_fold"))
+    table = (cells.join(by_category, cells[category].eqNullSafe(F.col("_category")))
+             .join(by_fold, cells[fold].eqNullSafe(F.col("_fold")))
+             .select("_category", "_fold", ((y + smoothing * mean) / (n + smoothing)).alias(name)))
+    return train.join(table, train[category].eqNullSafe(F.col("_category"))
+                      & train[fold].eqNullSafe(F.col("_fold")), "left").drop("_category", "_fold")
 
 
 def rank_average(df: DataFrame, scores: list[str], key: Sequence[str], group: Sequence[str] = (),

@@ -448,18 +448,19 @@ def instalment_sequences(inst: DataFrame, window: int = 12,
     late = paid_on > due
     ordered = ordered_instalments(inst, sums={"late_so_far": flag(late).cast("long")},
                                   large=large)
-    runs = _longest_run(ordered, late, "late_so_far", "max_consec_late_streak")
+    runs = _longest_run(ordered, late, "late_so_far", "inst_max_consec_late_streak")
     seq, left = F.col("seq").cast("double"), F.col("seq_total") - F.col("seq")
     last_late = F.max(F.when(late, due))
     mean_late, n_late = F.avg(days_late()), F.count(days_late())
     # an unpaid instalment leaves a slope, mean or skewness unknown
     all_amounts, all_days = F.count("*") == F.count(paid), F.count("*") == n_late
+    all_owed = F.count("*") == F.count(owed)
     last6, recent = mean_if(left < 6, days_late()), mean_if(left < window, days_late())
     varied = (n_late > 1) & all_days & (F.stddev_pop(days_late()) > 0)
     features = {
-        "months_since_last_late": F.bround(-last_late / 30.0, 2),
+        "inst_months_since_last_late": F.bround(-last_late / 30.0, 2),
         "inst_months_since_last_dpd": fill(F.abs(F.max(due) - last_late) / 30.0, 999.0),
-        "inst_payment_amt_slope": fill(F.regr_slope(owed, seq), 0.0),
+        "inst_payment_amt_slope": fill(F.when(all_owed, F.regr_slope(owed, seq)), 0.0),
         "inst_payment_ratio_trend":
             fill(F.when(all_amounts, F.regr_slope(paid / (owed + 1e-6), seq)), 0.0),
         "inst_recent_vs_historical_dpd": fill(F.when(all_days, last6 / (mean_late + 1e-6)), 0.0),
@@ -470,15 +471,15 @@ def instalment_sequences(inst: DataFrame, window: int = 12,
         "inst_late_skew": fill(F.when(varied, F.skewness(days_late())), 0.0),
     }
     trend = ordered.groupBy(KEY).agg(*[v.alias(n) for n, v in features.items()])
-    return (trend.join(runs, KEY, "left").fillna(0, ["max_consec_late_streak"])
+    return (trend.join(runs, KEY, "left").fillna(0, ["inst_max_consec_late_streak"])
             .withColumn("inst_longest_dpd_streak",
-                        F.col("max_consec_late_streak").cast("double")))
+                        F.col("inst_max_consec_late_streak").cast("double")))
 
 
 def late_streak(inst: DataFrame) -> DataFrame:
     """Longest run of late payments and months since the last late one."""
     return instalment_sequences(inst).select(
-        KEY, "max_consec_late_streak", "months_since_last_late")
+        KEY, "inst_max_consec_late_streak", "inst_months_since_last_late")
 
 
 def payment_sequence(inst: DataFrame) -> DataFrame:

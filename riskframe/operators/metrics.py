@@ -155,11 +155,13 @@ def compare_models(metrics: DataFrame, blends: list[str], model: str = "model")
     """Model table with the best single model, the lift over it and the acceptance gate."""
     single = metrics.where(~F.col(model).isin(blends)).orderBy(
         F.desc("gini"), model).select(model, "gini").first()
-    lift = F.col("gini") - single["gini"]
+    # without a single model there is no lift, and only the absolute gate can pass
+    best, best_gini = (single[model], single["gini"]) if single else (None, None)
+    lift = F.col("gini") - F.lit(best_gini).cast("double")
     # Gate bounds and labels.
     gate = (F.when(F.col("gini") >= 0.65, "full_pass")
             .when((F.col("gini") >= 0.58) & (lift >= 0.005), "accept_best_available")
             .otherwise("investigate"))
     return metrics.withColumns({
-        "best_single": F.lit(single[model]), "best_single_gini": F.lit(single["gini"]),
+        "best_single": F.lit(best).cast("string"), "best_single_gini": F.lit(best_gini).cast("double"),
         "lift": lift, "gate": gate})

@@ -60,11 +60,6 @@ class LinearScore:
                                   for i, c in enumerate(self.columns)])
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Even partitions over all cores: a fit passes over its rows many times."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def fit_scorecard_model(train: DataFrame, columns: Sequence[str], label: str,
                         c: float = 1.0, weight: str | None = None) -> LinearScore:
     """Standardised L2 logistic regression with inverse penalty ``c``."""
@@ -79,7 +74,7 @@ def fit_scorecard_model(train: DataFrame, columns: Sequence[str], label: str,
     model = LogisticRegression(
         featuresCol="_x", labelCol=label, regParam=1.0 / (c * max(stats["n"], 1)),
         standardization=False, maxIter=100, **({"weightCol": weight} if weight else {})
-    ).fit(assembled(spread_rows(scaled), columns).select(
+    ).fit(assembled(scaled, columns).select(
         label, "_x", *([weight] if weight else [])))
     raw = [float(b / s) for b, s in zip(model.coefficients.toArray(), spread)]
     return LinearScore(columns, raw, means, float(model.intercept))
@@ -96,7 +91,7 @@ def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, trees: int
         extra = {"weightCol": "_w"}
     model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth,
                           stepSize=step, seed=seed, **extra).fit(
-        assembled(spread_rows(data.select(label, *extra.values(), *columns)), columns))
+        assembled(data.select(label, *extra.values(), *columns), columns))
 
     def score(df: DataFrame, name: str = "score") -> DataFrame:
         out = model.transform(assembled(df, columns))
@@ -173,13 +168,12 @@ def apply_platt(score: Column, fitted: tuple[float, float]) -> Column:
     return 1.0 / (1.0 + F.exp(-(fitted[0] * score + fitted[1])))
 
 
-def fit_isotonic(df: DataFrame, label: str, score: str = "score", digits: int = 4):
-    """Isotonic regression on event rates per rounded score.
+def fit_isotonic(df: DataFrame, label: str, score: str = "score"):
+    """Isotonic regression on event rates per score, weighted by the rows that have it.
 
-    The fit gathers its input in one place, so scores are first grouped on a grid of at
-    most 10^digits + 1 weighted lines.
+    The fit pools violating blocks inside range partitions before the blocks of all partitions meet.
     """
-    lines = df.groupBy(F.round(score, digits).alias("_s")).agg(
+    lines = df.groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.avg(F.col(label).cast("double")).alias("_y"), F.count("*").cast("double").alias("_n"))
     return IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_n").fit(lines)
 
@@ -252,7 +246,7 @@ def fit_logistic_stack(df: DataFrame, scores: Sequence[str], label: str) -> Line
 
 
 def fit_ridge_stack(df: DataFrame, scores: Sequence[str], label: str,
-                    penalties: Sequence[float] = (0.1, 1.0, 10.0, 100.0), folds: int = 5,
+                    penalties: Sequence[float] = (0.01, 0.1, 1.0, 10.0), folds: int = 5,
                     seed: int = 42) -> Scorer:
     """Ridge on the scores with the penalty chosen by cross-validation; output clipped to [0, 1]."""
     data = assembled(df.dropna(subset=list(scores)), scores)

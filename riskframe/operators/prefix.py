@@ -60,13 +60,12 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str | Colum
 
     ``sums`` maps an output name to the summed value. Names listed in ``totals`` also
     yield ``<name>_total``, the sum over the whole group. A ``chunk`` must never
-    decrease along ``order``. Group columns are expected to be non-NULL.
+    decrease along ``order``. NULL is a group of its own.
     """
     group = list(group)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     if chunk is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = df.repartitionByRange(parts, *[F.col(g) for g in group], *keys)
+        ranged = df.repartitionByRange(*[F.col(g) for g in group], *keys)
         chunked = cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()))
     else:
         lowest = F.lit(-(2 ** 63))  # NULL sorts first, so its chunk does too
@@ -87,7 +86,7 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str | Colum
     running = chunked.withColumns({f"_r_{n}": F.sum(v).over(inside) for n, v in sums.items()})
     same = running[_CHUNK] == offsets["_c"]
     for g in group:
-        same = same & (running[g] == offsets[f"_g_{g}"])
+        same = same & running[g].eqNullSafe(offsets[f"_g_{g}"])
     joined = running.join(offsets, same, "left")
     return joined.select(
         *[joined[c] for c in df.columns],

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +43,48 @@ def keep_above_floor(df: DataFrame, columns: list[str], share: float = 0.05) ->
     return [c for c in columns if found[c] > 0 and found[c] >= floor]
 
 
+def pearson_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Signed Pearson matrix over the rows where both columns are present.
+
+    A constant column correlates with nothing. Without NULLs one pass over the columns is enough.
+    With NULLs the sums over shared rows are products of three column sets: standardised values with
+    0 for NULL, their squares, and presence flags; their moments come from one wider pass.
+    """
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    names = values.columns
+    stats = values.agg(F.count("*").alias("n"), F.array(*[F.count(c) for c in names]).alias("present"),
+                       F.array(*[F.avg(c) for c in names]).alias("mean"),
+                       F.array(*[F.stddev_pop(c) for c in names]).alias("std")).first()
+    rows = stats["n"]
+    if rows and min(stats["present"], default=rows) == rows:
+        vectors = VectorAssembler(inputCols=names, outputCol="_v").transform(values).select("_v")
+        return np.nan_to_num(Correlation.corr(vectors, "_v").head()[0].toArray(), nan=0.0)
+    if not rows:
+        return np.zeros((len(columns), len(columns)))
+    scaled = [(F.col(c) - (m or 0.0)) / (s or 1.0)
+              for c, m, s in zip(names, stats["mean"], stats["std"])]
+    wide = values.select(*[F.coalesce(z, F.lit(0.0)).alias(f"z{i}") for i, z in enumerate(scaled)],
+                         *[F.coalesce(z * z, F.lit(0.0)).alias(f"q{i}") for i, z in enumerate(scaled)],
+                         *[F.col(c).isNotNull().cast("double").alias(f"p{i}") for i, c in enumerate(names)])
+    vectors = VectorAssembler(inputCols=wide.columns, outputCol="_v").transform(wide).select("_v").cache()
+    corr = np.nan_to_num(Correlation.corr(vectors, "_v").head()[0].toArray(), nan=0.0)
+    first = vectors.select(Summarizer.metrics("mean", "variance").summary(F.col("_v")).alias("s")).first()["s"]
+    vectors.unpersist()
+    mean, std = first["mean"].toArray(), np.sqrt(first["variance"].toArray() * (rows - 1) / rows)
+    np.fill_diagonal(corr, 1.0)
+    shared = corr * np.outer(std, std) + np.outer(mean, mean)  # mean products over all rows
+    d = len(columns)
+    n, x, xx, xy = shared[2 * d:, 2 * d:], shared[:d, 2 * d:], shared[d:2 * d, 2 * d:], shared[:d, :d]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov, var = xy / n - (x / n) * (x / n).T, xx / n - (x / n) ** 2
+        out = cov / np.sqrt(var * var.T)
+    usable = (n * rows > 1.5) & (var > 1e-12) & (var.T > 1e-12)
+    return np.clip(np.where(usable, out, 0.0), -1.0, 1.0)
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Absolute Pearson matrix; a constant column correlates with nothing."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(
-        df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])).select("_v")
-    matrix = Correlation.corr(vectors, "_v").head()[0].toArray()
-    return np.abs(np.nan_to_num(matrix, nan=0.0))
+    """Absolute pairwise-complete Pearson matrix."""
+    return np.abs(pearson_matrix(df, columns))
 
 
 def correlated_pairs(df: DataFrame, columns: list[str],
@@ -96,15 +132,23 @@ def prune_left_to_right(df: DataFrame, columns: list[str], threshold: float = 0.
 
 
 def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement; the same rows for the same seed on any layout."""
-    return df.orderBy(hash_key(key, seed), *key).limit(n)
-
+    """n rows without replacement; the same rows for the same seed on any layout.
 
-def novel_columns(df: DataFrame, base: list[str], new: list[str], key: list[str],
-                  threshold: float = 0.90, rows: int = 50000, seed: int = 42) -> list[str]:
-    """New columns whose correlation with every base column stays below the threshold."""
-    sample = seeded_sample(df.select(*key, *[c for c in base + new if c not in key]),
-                           key, rows, seed)
-    matrix = correlation_matrix(sample, base + new)
+    The rows are those of the smallest hashes. A bound on the hash that passes slightly more than n
+    rows comes first, so that the final trim gathers about n rows and not n of every partition.
+    """
+    total, hashed = df.count(), hash_key(key, seed)
+    share = (n + 6 * n ** 0.5 + 50) / max(total, 1)
+    if share < 1:
+        near = df.where(hashed < int(-(2 ** 63) + share * 2 ** 64))
+        if near.count() >= n:
+            return near.orderBy(hashed, *key).limit(n)
+    return df.orderBy(hashed, *key).limit(n)
+
+
+def novel_columns(df: DataFrame, base: list[str], new: list[str],
+                  threshold: float = 0.90) -> list[str]:
+    """New columns whose correlation with every base column stays below the threshold, over all rows."""
+    matrix = correlation_matrix(df, base + new)
     block = matrix[:len(base), len(base):]
     return [c for i, c in enumerate(new) if block[:, i].max(initial=0.0) <= threshold]

@@ -112,9 +112,8 @@ def fit_auto_store(tables: dict[str, DataFrame], target: DataFrame | None = None
                    min_iv: float = 0.0, correlation: float = 0.95, depth: int = 1) -> Store:
     """Automatic aggregates after the leakage guard, IV filter and left-to-right pruning."""
     matrix, features = autoagg.auto_features(tables, depth)
-    display = autoagg.display_names(features)
     denied = set(leaky_columns())
-    leaky = [n for n, shown in display.items() if shown in denied or n in denied]
+    leaky = [f.name for f in features if autoagg.is_leaky(f) or {f.display, f.name} & denied]
     matrix = app.repair_suffixes(app.drop_columns(matrix, leaky, ("FLAG_DOCUMENT",)))
     matrix = cut_lineage(matrix)
     names = [c for c in matrix.columns if c != KEY]
@@ -159,13 +158,13 @@ def combined_store(base: DataFrame, imputed: DataFrame, auto: DataFrame | None =
 
 
 def extended_store(base: DataFrame, auto: DataFrame, times: DataFrame,
-                   correlation: float = 0.90, rows: int = 50000) -> DataFrame:
+                   correlation: float = 0.90) -> DataFrame:
     """Base store plus the automatic and time features that add something new."""
     base_columns = numeric_columns(base)
     side = side_by_side(auto, times)
     new = [c for c in numeric_columns(side) if c not in base_columns]
     joined = side_by_side(base, side)
-    novel = selection.novel_columns(joined, base_columns, new, [KEY], correlation, rows)
+    novel = selection.novel_columns(joined, base_columns, new, correlation)
     return joined.select(KEY, *[c for c in base.columns if c != KEY], *novel)
 
 

@@ -46,7 +46,7 @@ def joined_frame(tables: dict[str, DataFrame], sequences: bool = True,
                  history.instalment_summary(inst), history.card_summary(cc)]
     if sequences:
         parts += [history.instalment_sequences(inst).select(
-            KEY, "max_consec_late_streak", "months_since_last_late",
+            KEY, "inst_max_consec_late_streak", "inst_months_since_last_late",
             *history.SEQUENCE_COLUMNS), history.payment_slope(inst)]
     frame = tables["application"]
     for part in parts:

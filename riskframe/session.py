@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,23 +30,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-_local_roots: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: below ``spark.checkpoint.dir``, one per application.
+    """Folder for intermediate tables, one per application, that driver and executors share.
 
-    Only a local master without that setting falls back to a temporary folder.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse where that is not set.
     """
-    context = spark.sparkContext
-    application, root = context.applicationId, spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if application not in _local_roots:
-            _local_roots[application] = tempfile.mkdtemp(prefix="riskframe-")
-        root = _local_roots[application]
-    return f"{root.rstrip('/')}/riskframe-{application}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/riskframe-{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -52,6 +52,17 @@ def column_type(name: str) -> T.DataType:
     return T.DoubleType()
 
 
+# Beginnings of the names of numeric child columns.
+QUANTITIES = ("AMT_", "CNT_", "DAYS_", "HOUR_", "MONTHS_", "NFLAG_", "NUM_", "RATE_", "SELLERPLACE_",
+              "SK_DPD", "SK_ID_")
+
+
+def child_type(table: str, name: str) -> T.DataType:
+    """Declared type of a child column, else a number or text as its name tells."""
+    declared = {f.name: f.dataType for f in CHILD_SCHEMAS.get(table, T.StructType())}
+    return declared.get(name, T.DoubleType() if name.startswith(QUANTITIES) else T.StringType())
+
+
 CHILD_SCHEMAS = {
     "bureau": _struct(
         long="SK_ID_CURR SK_ID_BUREAU",
@@ -130,6 +141,11 @@ PROTECTED = [
 ]
 
 
+# Child columns that look past the application date, at any depth.
+LEAKY_SOURCES = {("credit_card", "SK_DPD"), ("credit_card", "SK_DPD_DEF"),
+                 ("pos_cash", "SK_DPD"), ("pos_cash", "SK_DPD_DEF")}
+
+
 def leaky_columns() -> list[str]:
     """Deny-list: aggregates that look past the application date."""
     # Aggregate names, then every SUM/MEAN/STD of the two DPD columns.

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from riskframe.functions.exprs import MISSING, nan_to_null
 from riskframe.sources.schema import (APPLICATION_CATEGORICALS, APPLICATION_FILES, CHILD_FILES,
-                                      CHILD_SCHEMAS, KEY, column_type)
+                                      KEY, child_type, column_type)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -39,15 +39,17 @@ def _csv_columns(spark: SparkSession, path: str) -> list[str]:
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One source with declared types; CSV and Parquet look the same afterwards.
 
-    CSV columns are matched by header position, so every header column gets a type:
-    the declared one, or text for columns the schema does not know.
+    CSV columns are matched by header position, so every header column gets a type: the declared
+    one, or for columns the schema does not know, a number or text as the name tells.
     """
+    def wanted(name: str) -> T.DataType:
+        return column_type(name) if table == "application" else child_type(table, name)
+
     if path.endswith(".parquet"):
-        return nan_to_null(spark.read.parquet(path))
-    declared = {f.name: f.dataType for f in CHILD_SCHEMAS[table]} if table in CHILD_SCHEMAS else {}
-    fields = [T.StructField(c, declared.get(c, column_type(c) if table == "application"
-                                            else T.StringType()))
-              for c in _csv_columns(spark, path)]
+        frame = spark.read.parquet(path)
+        return nan_to_null(frame.select(*[
+            F.col(f"`{c}`").cast(wanted(c)).alias(c) for c in frame.columns]))
+    fields = [T.StructField(c, wanted(c)) for c in _csv_columns(spark, path)]
     # header=False reads the header as data; it is on, and the schema replaces inference
     frame = spark.read.option("header", True).schema(T.StructType(fields)).csv(path)
     return nan_to_null(frame)

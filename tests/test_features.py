@@ -138,9 +138,9 @@ def test_streaks_stay_within_applicants(spark):
     for large in (1_000_000, 2):
         out = history.instalment_sequences(instalments(spark, rows), large=large)
         got = {r["SK_ID_CURR"]: r for r in out.collect()}
-        assert [got[k]["max_consec_late_streak"] for k in (1, 2, 3)] == [2, 3, 0]
-        assert got[1]["months_since_last_late"] == 1.0
-        assert got[3]["months_since_last_late"] is None
+        assert [got[k]["inst_max_consec_late_streak"] for k in (1, 2, 3)] == [2, 3, 0]
+        assert got[1]["inst_months_since_last_late"] == 1.0
+        assert got[3]["inst_months_since_last_late"] is None
         assert got[3]["inst_months_since_last_dpd"] == 999.0
 
 

@@ -101,7 +101,7 @@ def test_variance_filters(correlated):
 
 
 def test_novel_columns_and_sample(correlated):
-    assert selection.novel_columns(correlated, ["a", "c"], ["b", "k"], ["id"]) == ["k"]
+    assert selection.novel_columns(correlated, ["a", "c"], ["b", "k"]) == ["k"]
     one = selection.seeded_sample(correlated, ["id"], 50).select("id").collect()
     two = selection.seeded_sample(correlated.repartition(7), ["id"], 50).select("id").collect()
     assert sorted(r[0] for r in one) == sorted(r[0] for r in two) and len(set(one)) == 50
