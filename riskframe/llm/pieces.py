@@ -4,7 +4,8 @@ A text is read left to right. Only the scores of the last ``longest`` positions
 piece reaches further back; pieces are committed as soon as the backpointers of all positions that
 can still be extended meet at one boundary. Where no piece of the vocabulary holds a non-space
 before a space mark, all paths meet at every space, so each word with its leading spaces is a stretch
-of its own, and repeated stretches come from a bounded memo.
+of its own, and repeated stretches come from a bounded memo. The same
+holds between any two characters that no piece has side by side.
 
 Pieces and scores are those of the model file; the best path is the one of the largest score sum,
 ties going to the longer last piece. Unknown characters, and a literal U+2581, become byte pieces, so that
@@ -13,6 +14,7 @@ every text decodes to itself.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +32,8 @@ LITERAL = "\ud800"
 MEMO = 300_000
 #: Longer stretches are not remembered.
 MEMO_CHARS = 64
+#: Texts handed on at a time.
+ROWS = 256
 
 
 class Vocabulary:
@@ -53,7 +57,23 @@ class Vocabulary:
                       else b"" for i in size]
         #: True if paths always meet before a space that follows something else
         self.words_apart = not any(MARK in name.lstrip(MARK) for name in self.ids)
+        #: character -> (next characters, score of the piece that ends here)
+        self.trie: dict = {}
+        for name, score in self.scores.items():
+            branch = self.trie
+            for char in name[:-1]:
+                branch = branch.setdefault(char, ({}, None))[0]
+            branch[name[-1]] = (branch.get(name[-1], ({}, None))[0], score)
+        #: neighbours inside a piece; all paths meet between two characters that never are
+        self.pairs = {name[i:i + 2] for name in self.ids for i in range(len(name) - 1)}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def keep(self, key: str, known: bytes) -> None:
+        """Remember; a full memo becomes the older one, from which used entries come back."""
+        if len(self.memo) >= MEMO:
+            self.older, self.memo = self.memo, {}
+        self.memo[key] = known
 
     def fallback(self, char: str) -> list[int]:
         raw = MARK.encode() if char == LITERAL else char.encode("utf-8", "surrogatepass")
@@ -67,10 +87,10 @@ def vocabulary(model: str) -> Vocabulary:
 
 def stream(chars: str, vocab: Vocabulary) -> Iterator[int]:
     """Ids of the best segmentation of ``chars`` (spaces as marks), in order, as they become certain."""
-    scores, longest = vocab.scores, vocab.longest
-    best = {0: 0.0}  # score of the best path to each position of the window
-    back: dict[int, int] = {}  # its last boundary, for positions after the last commit
-    done = 0
+    longest, unknown, never = vocab.longest, vocab.unknown_score, float("-inf")
+    best = [0.0] + [never] * longest  # scores of the best paths to the positions from ``low`` on
+    low = done = 0
+    back = [0] * longest  # their last boundaries, for the positions after the last commit
 
     def pieces(path: list[int]) -> Iterator[int]:
         for start, end in zip(path, path[1:]):
@@ -83,33 +103,34 @@ def stream(chars: str, vocab: Vocabulary) -> Iterator[int]:
     def path_to(end: int) -> list[int]:
         path = [end]
         while path[-1] != done:
-            path.append(back[path[-1]])
+            path.append(back[path[-1] - done - 1])
         return path[::-1]
 
-    for end in range(1, len(chars) + 1):
-        top = origin = None
-        for start in range(max(0, end - longest), end):
-            score = scores.get(chars[start:end])
-            if score is None:
-                if start < end - 1:
-                    continue
-                score = vocab.unknown_score
-            before = best.get(start)
-            if before is not None and (top is None or before + score > top):
-                top, origin = before + score, start
-        best[end], back[end] = top, origin
-        best.pop(end - longest, None)
-        if end - done >= 2 * longest and end % longest == 0:
-            # every later piece starts at one of the window's positions
-            paths = [path_to(p) for p in range(end - longest + 1, end + 1)]
+    for start in range(len(chars)):
+        if start - done >= 2 * longest and start % longest == 0:
+            # every piece from here on starts at one of the window's positions
+            paths = [path_to(p) for p in range(start - longest + 1, start + 1)]
             meet = 0
             while all(len(p) > meet + 1 and p[meet + 1] == paths[0][meet + 1] for p in paths):
                 meet += 1
             if meet:
                 yield from pieces(paths[0][:meet + 1])
-                boundary = paths[0][meet]
-                back = {p: b for p, b in back.items() if p > boundary}
-                done = boundary
+                back = back[paths[0][meet] - done:]
+                done = paths[0][meet]
+            best, low = best[start - low:], start
+        score = best[start - low]
+        best.append(never)
+        back.append(0)
+        branch = vocab.trie
+        for end, char in enumerate(chars[start:start + longest], start + 1):
+            found = branch.get(char)
+            if found is None:
+                break
+            branch, own = found
+            if own is not None and score + own > best[end - low]:
+                best[end - low], back[end - done - 1] = score + own, start
+        if chars[start] not in vocab.ids and score + unknown > best[start + 1 - low]:
+            best[start + 1 - low], back[start - done] = score + unknown, start
     if len(chars) > done:
         yield from pieces(path_to(len(chars)))
 
@@ -147,14 +168,24 @@ def encode(text: str | None, vocab: Vocabulary) -> np.ndarray:
 
 
 def _remember(key: str, stretch: str, vocab: Vocabulary) -> bytes:
-    known = vocab.memo.get(key)
+    known = vocab.memo.get(key) or vocab.older.get(key)
     if known is None:
         chars = stretch.replace(MARK, LITERAL).replace(" ", MARK)
-        known = np.fromiter(stream(chars, vocab), np.int32).tobytes()
-        if len(key) <= MEMO_CHARS:
-            if len(vocab.memo) >= MEMO:
-                vocab.memo.clear()
-            vocab.memo[key] = known
+        cuts = [i for i in range(1, len(chars)) if chars[i - 1:i + 1] not in vocab.pairs]
+        parts = [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)])]
+        known = b"".join([_remember_part(p, vocab) for p in parts])
+    if len(key) <= MEMO_CHARS:
+        vocab.keep(key, known)
+    return known
+
+
+def _remember_part(chars: str, vocab: Vocabulary) -> bytes:
+    key = "\0" + chars  # no clash with whole stretches
+    known = vocab.memo.get(key) or vocab.older.get(key)
+    if known is None:
+        known = array("i", stream(chars, vocab)).tobytes()
+    if len(chars) <= MEMO_CHARS:
+        vocab.keep(key, known)
     return known
 
 
@@ -164,6 +195,13 @@ def decode(ids: list[int], vocab: Vocabulary) -> str:
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds the ids of few texts at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
+
+
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with the column ``text`` replaced by ``out``, an array of ids, at the end.
 
@@ -175,7 +213,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", model: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in batches:
+        for batch in _small(batches):
             parts = [encode(t, vocab) for t in batch.column(len(rest)).to_pylist()]
             ends = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(p) for p in parts], out=ends[1:])
@@ -195,8 +233,10 @@ def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in batches:
-            texts = [decode(v or [], vocab) for v in batch.column(at).to_pylist()]
+        for batch in _small(batches):
+            column = batch.column(at).fill_null(pa.scalar([], batch.column(at).type))
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            texts = [decode(flat[a:b].tolist(), vocab) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rest, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
