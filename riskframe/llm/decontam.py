@@ -32,8 +32,9 @@ BIN_BITS = 8
 MOST_BITS = 27
 #: Item tables of at most so many shingles (60 bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
-#: Bytes hashed at once.
-PIECE = 1 << 22
+#: Bytes hashed, and texts looked at, at once.
+PIECE = 1 << 18
+ROWS = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -117,10 +118,16 @@ class _Texts:
         return b" ".join(self.data[self.starts[w]:self.ends[w]].tobytes() for w in words).decode()
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
+
+
 def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, h, shingle: the distinct shingles of every item. Null or wordless texts have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             texts = _Texts(batch.column("t"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item_id").take(pa.array(texts.owner)), pa.array(texts.hash.view(np.int64)),
@@ -166,7 +173,7 @@ def _marks(docs: DataFrame, bitmap: np.ndarray, bits: int, classes: list[int]) -
         return np.unique(held_in[least])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             texts = _Texts(batch.column("t"))
             hit = np.flatnonzero(present(texts.hash))
             doc, cls, h, shingle = [], [], [], []

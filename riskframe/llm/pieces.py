@@ -29,7 +29,7 @@ MARK = "▁"
 #: Stands for a literal MARK of the text; no valid text holds a lone surrogate.
 LITERAL = "\ud800"
 #: Stretches remembered per Python worker; the memo is emptied when full.
-MEMO = 300_000
+MEMO = 250_000
 #: Longer stretches are not remembered.
 MEMO_CHARS = 64
 #: Texts handed on at a time.
@@ -87,18 +87,19 @@ def vocabulary(model: str) -> Vocabulary:
 
 def stream(chars: str, vocab: Vocabulary) -> Iterator[int]:
     """Ids of the best segmentation of ``chars`` (spaces as marks), in order, as they become certain."""
-    longest, unknown, never = vocab.longest, vocab.unknown_score, float("-inf")
+    longest, unknown, never, ids = vocab.longest, vocab.unknown_score, float("-inf"), vocab.ids
     best = [0.0] + [never] * longest  # scores of the best paths to the positions from ``low`` on
     low = done = 0
     back = [0] * longest  # their last boundaries, for the positions after the last commit
+    check, trie = 2 * longest, vocab.trie
 
     def pieces(path: list[int]) -> Iterator[int]:
         for start, end in zip(path, path[1:]):
-            number = vocab.ids.get(chars[start:end])
-            if number is None:
-                yield from vocab.fallback(chars[start:end])
+            piece = chars[start:end]
+            if piece in ids:
+                yield ids[piece]
             else:
-                yield number
+                yield from vocab.fallback(piece)
 
     def path_to(end: int) -> list[int]:
         path = [end]
@@ -107,7 +108,7 @@ def stream(chars: str, vocab: Vocabulary) -> Iterator[int]:
         return path[::-1]
 
     for start in range(len(chars)):
-        if start - done >= 2 * longest and start % longest == 0:
+        if start >= check:
             # every piece from here on starts at one of the window's positions
             paths = [path_to(p) for p in range(start - longest + 1, start + 1)]
             meet = 0
@@ -118,10 +119,11 @@ def stream(chars: str, vocab: Vocabulary) -> Iterator[int]:
                 back = back[paths[0][meet] - done:]
                 done = paths[0][meet]
             best, low = best[start - low:], start
+            check = max(start + longest, done + 2 * longest)
         score = best[start - low]
         best.append(never)
         back.append(0)
-        branch = vocab.trie
+        branch = trie
         for end, char in enumerate(chars[start:start + longest], start + 1):
             found = branch.get(char)
             if found is None:
@@ -129,7 +131,7 @@ def stream(chars: str, vocab: Vocabulary) -> Iterator[int]:
             branch, own = found
             if own is not None and score + own > best[end - low]:
                 best[end - low], back[end - done - 1] = score + own, start
-        if chars[start] not in vocab.ids and score + unknown > best[start + 1 - low]:
+        if chars[start] not in ids and score + unknown > best[start + 1 - low]:
             best[start + 1 - low], back[start - done] = score + unknown, start
     if len(chars) > done:
         yield from pieces(path_to(len(chars)))
@@ -171,9 +173,12 @@ def _remember(key: str, stretch: str, vocab: Vocabulary) -> bytes:
     known = vocab.memo.get(key) or vocab.older.get(key)
     if known is None:
         chars = stretch.replace(MARK, LITERAL).replace(" ", MARK)
-        cuts = [i for i in range(1, len(chars)) if chars[i - 1:i + 1] not in vocab.pairs]
-        parts = [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)])]
-        known = b"".join([_remember_part(p, vocab) for p in parts])
+        if chars[1:].isalpha():  # letters are seldom apart
+            known = array("i", stream(chars, vocab)).tobytes()
+        else:
+            cuts = [i for i in range(1, len(chars)) if chars[i - 1:i + 1] not in vocab.pairs]
+            parts = [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)])]
+            known = b"".join([_remember_part(p, vocab) for p in parts])
     if len(key) <= MEMO_CHARS:
         vocab.keep(key, known)
     return known
@@ -202,6 +207,12 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(low, ROWS)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with the column ``text`` replaced by ``out``, an array of ids, at the end.
 
@@ -215,11 +226,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", model: st
         vocab = vocabulary(model)
         for batch in _small(batches):
             parts = [encode(t, vocab) for t in batch.column(len(rest)).to_pylist()]
-            ends = np.zeros(len(parts) + 1, np.int32)
-            np.cumsum([len(p) for p in parts], out=ends[1:])
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], ids], names=[*rest, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], _lists(parts)], names=[*rest, out])
 
     schema = T.StructType([*rows.schema.fields[:len(rest)], T.StructField(out, T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, schema)
@@ -243,9 +250,22 @@ def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", model:
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_ids, round_trip (the ids decode to the text) of every row; null text as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
-    back = decode_column(encode_column(rows, model=model), model=model)
-    return back.select("doc_id", "ids", F.size("ids").alias("n_ids"),
-                       (F.xxhash64("decoded") == F.col("mark")).alias("round_trip"))
+    """doc_id, ids, n_ids, round_trip (the ids decode to the text) of every row; null text as empty.
+
+    Encoding and decoding share one pass, so that an executor needs one Python worker a core.
+    """
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        for batch in _small(batches):
+            texts = batch.column("text").to_pylist()
+            ids = [encode(t, vocab) for t in texts]
+            same = [decode(i.tolist(), vocab) == t for i, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "ids", "same"])
+
+    schema = T.StructType([rows.schema.fields[0], T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("same", T.BooleanType())])
+    return rows.mapInArrow(run, schema).select(
+        "doc_id", "ids", F.size("ids").alias("n_ids"), F.col("same").alias("round_trip"))
