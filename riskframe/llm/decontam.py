@@ -28,8 +28,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: log2 of the bins of a signature; large enough that an item's shingles rarely share a bin.
 BIN_BITS = 8
-#: Bitmaps have 16 bits per item shingle, at most 2^27 bits; a fuller one only passes more.
-MOST_BITS = 27
+#: Bitmaps have 128 bits or more per item shingle, 2^22 to 2^27 bits in all; a fuller one only passes more.
+LEAST_BITS, MOST_BITS = 22, 27
 #: Item tables of at most so many shingles (60 bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
 #: Bytes hashed, and texts looked at, at once.
@@ -140,7 +140,7 @@ def item_shingles(items: DataFrame, key: str = "item_id", text: str = "text") ->
 
 
 def _bitmap(shingles: DataFrame) -> tuple[np.ndarray, int]:
-    bits = min(MOST_BITS, max(15, (16 * shingles.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (128 * shingles.count()).bit_length()))
     slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + 1
     parts = (shingles.groupBy(F.bitmap_bucket_number(slot).alias("b"))
              .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect())
