@@ -2,7 +2,7 @@
 
 Ids are cut into blocks of 4096 that are coded on their own, so any block can be decoded alone and is
 checked by its CRC-32. Three models predict the next id inside a block: the id last seen after the
-same two ids (order 2), after the same id (order 1), and the majority id so far (order 0). A symbol
+same two ids (order 2), after the same id (order 1), and the majority of every fourth id so far (order 0). A symbol
 says which prediction holds, or else the bit length of the id; its distribution mixes adaptive
 counts of order 0 with counts chosen by the confidence of the order-1 and order-2 predictions. The
 remaining bits of an unpredicted id follow at equal probability. Symbols drive a range coder.
@@ -18,9 +18,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -60,7 +60,8 @@ class _Mixer:
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.home = self.lane * _SLOTS
-        #: of order 2 and of order 1: the id last seen in a context, times four, plus the trust in it
+        #: of order 2 and of order 1: the id last seen in a context, times four, plus the trust in it: 2 if
+        #: it was predicted rightly when it was last seen, else 1
         self.memory = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
         self.major, self.lead = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.rows = _TRUST * _TRUST * lanes
@@ -130,14 +131,13 @@ class _Mixer:
         k = len(x)
         fresh = x * 4 + 1
         for j in (0, 1):
-            entry, sure = self.entry[j], self.sure[j]
-            self.memory[j][self.slot[j]] = np.where(
-                self.right[j], entry + (sure < _TRUST - 1), np.where(sure > 1, entry - 1, fresh))
-        major, lead = self.major[:k], self.lead[:k]
-        lead += np.where(major == x, 1, -1)
-        lost = lead < 0
-        np.copyto(major, x, where=lost)
-        np.copyto(lead, 1, where=lost)
+            self.memory[j][self.slot[j]] = fresh + self.right[j]
+        if self.steps % 4 == 0:
+            major, lead = self.major[:k], self.lead[:k]
+            lead += np.where(major == x, 1, -1)
+            lost = lead < 0
+            np.copyto(major, x, where=lost)
+            np.copyto(lead, 1, where=lost)
         self.seen.append(self.row + symbol * self.rows)
         self.before[:k] = self.last[:k]
         self.last[:k] = x
@@ -254,10 +254,13 @@ class _Tokens:
     """Ids of texts by the tokenizers library, which sees each distinct word once.
 
     The library's own word splitting always breaks at a single space between two characters that are
-    no white space, so text between such spaces can be encoded apart and remembered.
+    no white space, and the space goes to the word behind it. So words between such spaces can be
+    encoded apart, or in any such row, where a token that begins with a space starts a word. They are
+    remembered; a full memo becomes the older one, from which used words come back.
     """
 
-    MEMO = 300_000
+    MEMO = 400_000
+    ROW = 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -265,46 +268,71 @@ class _Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        pieces = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        self.starts = np.array([p.startswith("\u0120") for p in pieces])
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint16).tobytes() for e in found]
+        return [array("H", e.ids).tobytes() for e in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that stand apart, each with the space before it."""
+        out: list[bytes] = []
+        rows = [words[i:i + self.ROW] for i in range(0, len(words), self.ROW)]
+        for row, coded in zip(rows, self._encode([" " + " ".join(r) for r in rows])):
+            cuts = (2 * np.flatnonzero(self.starts[np.frombuffer(coded, np.uint16)])).tolist()
+            if len(cuts) == len(row):
+                out += [coded[i:j] for i, j in zip(cuts, [*cuts[1:], len(coded)])]
+            else:
+                out += self._encode([" " + w for w in row])
+        return out
 
     @staticmethod
     def _apart(word: str) -> bool:
         odd = "\u180e\u200b\ufeff"
-        return bool(word) and not any(c.isspace() or c in odd for c in (word[0], word[-1]))
+        return word.isalnum() or bool(word) and not any(c.isspace() or c in odd for c in (word[0], word[-1]))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.split(" ") for t in texts]
-        for w in words:
-            w[1:] = [" " + x for x in w[1:]]
         if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        fresh = list(set(chain.from_iterable(words)) - self.memo.keys())
-        apart = [w for w in fresh if self._apart(w[1:] if w[:1] == " " else w)]
-        odd = set(fresh) - set(apart)
-        self.memo.update(zip(apart, self._encode(apart)))
-        if odd:
-            words = [w if odd.isdisjoint(w) else self._joined(w) for w in words]
-            fresh = list(set(chain.from_iterable(words)) - self.memo.keys())
-            extra = dict(zip(fresh, self._encode(fresh)))
-            look = lambda w: self.memo.get(w) if w in self.memo else extra[w]
-        else:
-            look = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(look, w)), np.uint16) for w in words]
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        found = [list(map(memo.get, row[1:])) for row in words]
+        fresh = {w for row, known in zip(words, found) if None in known
+                 for w, f in zip(row[1:], known) if f is None}
+        for w in [w for w in fresh if w in older]:
+            memo[w] = older[w]
+            fresh.discard(w)
+        apart = [w for w in fresh if self._apart(w)]
+        memo.update(zip(apart, self._words(apart)))
+        odd = fresh.difference(apart)
+        # a text's first word has no space before it; words that do not stand apart join their neighbours
+        heads, tails = [], []
+        for row, known in zip(words, found):
+            if not self._apart(row[0]) or not odd.isdisjoint(row):
+                row = self._joined(row)
+                rest = [w for w in row[1:] if w not in memo]
+                extra = dict(zip(rest, self._encode([" " + w for w in rest])))
+                known = [extra[w] if w in extra else memo[w] for w in row[1:]]
+            elif None in known:
+                known = [memo[w] if f is None else f for w, f in zip(row[1:], known)]
+            heads.append(row[0])
+            tails.append(b"".join(known))
+        return [np.frombuffer(head + tail, np.uint16) for head, tail in zip(self._encode(heads), tails)]
 
     def _joined(self, words: list[str]) -> list[str]:
-        """Words that do not break apart, put together again with their neighbours."""
+        """Words of a text, those that do not break apart put together with their neighbours."""
         out = [words[0]]
         loose = not self._apart(words[0])
         for word in words[1:]:
-            if loose or not self._apart(word[1:]):
-                out[-1] += word
+            odd = not self._apart(word)
+            if loose or odd:
+                out[-1] += " " + word
             else:
                 out.append(word)
-            loose = not self._apart(word[1:])
+            loose = odd
         return out
 
 
