@@ -123,23 +123,24 @@ def _resolve(limit: int):
                                           schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, overlong = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        overlong: list[int] = []  # key of a list whose first rows are out; at its end one more can begin
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
             fps = np.concatenate([fps, batch.column("fp").to_numpy()])
             # the last list may go on in the next batch
             open_at = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if len(keys) - open_at > limit:
-                overlong, open_at = int(keys[-1]), len(keys)
+                open_at = len(keys)
+                overlong.append(int(keys[-1]))
             yield from whole(keys[:open_at], fps[:open_at], overlong)
-            keys, fps = keys[open_at:], fps[open_at:]
+            keys, fps, overlong = keys[open_at:], fps[open_at:], overlong[-1:]
         yield from whole(keys, fps, overlong)
 
-    def whole(keys: np.ndarray, fps: np.ndarray, overlong: int | None) -> Iterator[pa.RecordBatch]:
+    def whole(keys: np.ndarray, fps: np.ndarray, overlong: list[int]) -> Iterator[pa.RecordBatch]:
         _, start, size = np.unique(keys, return_index=True, return_counts=True)
         big = np.repeat(size > limit, size) if len(keys) else np.zeros(0, bool)
-        if overlong is not None:
-            big |= keys == overlong
+        big |= np.isin(keys, overlong)
         yield out(fps[big], keys[big], True)
         a, b = _within(keys[~big], fps[~big])
         yield out(a, b, False)

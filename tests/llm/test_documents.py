@@ -212,6 +212,19 @@ def test_posting_lists_that_span_batches():
     assert sorted(x for b in long for x in b.column("a").to_pylist()) == sorted(fps.tolist())
 
 
+def test_neighbouring_long_lists_that_span_batches():
+    import pyarrow as pa
+
+    # of list 5 the first 20 rows fill a batch, its last 4 share one with the 16 rows of list 9
+    keys, fps = np.repeat([5, 9, 11], [24, 16, 3]), np.arange(43)
+    for size in (20, 40, 7, 1):
+        batches = [pa.RecordBatch.from_pydict({"key": keys[i:i + size], "fp": fps[i:i + size]})
+                   for i in range(0, len(fps), size)]
+        long = [(a, key) for b in simhash._resolve(10)(iter(batches)) for a, key, of_long in zip(
+            *(b.column(c).to_pylist() for c in ("a", "b", "long_list"))) if of_long]
+        assert sorted(long) == list(zip(range(40), [5] * 24 + [9] * 16))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(400).selectExpr("id as a", "id + 1 as b").union(
         spark.createDataFrame([(1000, 1001), (1001, 1000), (7, 7)], "a long, b long"))
