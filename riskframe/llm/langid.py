@@ -26,6 +26,12 @@ ALPHABET = 1021
 SEED = 20240611
 #: Texts are bundled in groups of so many characters, which bounds a task's memory.
 CHUNK_CHARS = 1_000_000
+#: Cosines of unrelated vectors scatter by 1/sqrt(dimensions); so many times that is above their noise.
+NOISE_TIMES = 4
+#: Share of the held-out labelled texts of a size class below its clean score.
+CLEAN_SHARE = 0.001
+#: Bounds of the threshold as shares of the clean score.
+LEAST_SHARE, MOST_SHARE = 0.25, 0.5
 
 
 @lru_cache(maxsize=1)
@@ -74,7 +80,12 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """One vector per text; zero for a text without letters."""
-    out = np.zeros((len(texts), dimensions), np.float32)
+    return _bundles(texts, dimensions)[0]
+
+
+def _bundles(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vector and number of distinct trigrams of every text."""
+    out, sizes = np.zeros((len(texts), dimensions), np.float32), np.zeros(len(texts), np.int64)
     for start, part in _chunks(texts):
         owner, codes, counts = _trigrams(part)
         distinct, place = np.unique(codes, return_inverse=True)
@@ -84,7 +95,8 @@ def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
             if b > a:
                 out[start + i] = weights[a:b] @ bound[place[a:b]]
-    return out
+        sizes[start:start + len(part)] = np.diff(edges)
+    return out, sizes
 
 
 def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
@@ -129,7 +141,8 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
 
 def predicted(profiles: dict[str, list[float]], text: str = "text", dimensions: int = DIMENSIONS) -> Column:
-    """Struct (lang_pred, score): language of the largest cosine, and that cosine, 0 at least.
+    """Struct (lang_pred, score, trigrams): language of the largest cosine, that cosine, 0 at least, and
+    the number of distinct trigrams.
 
     ``und`` with score 0 for a null text, a text without letters, or if there is no profile. Ties go
     to the first language by name.
@@ -138,18 +151,18 @@ def predicted(profiles: dict[str, list[float]], text: str = "text", dimensions:
     prototypes = np.array([profiles[n] for n in names], np.float64).reshape(len(names), dimensions)
     unit = (prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)).astype(np.float32)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, trigrams long")
     def identify(texts: pd.Series) -> pd.DataFrame:
-        vectors = bundle([t if isinstance(t, str) else "" for t in texts], dimensions)
+        vectors, sizes = _bundles([t if isinstance(t, str) else "" for t in texts], dimensions)
         length = np.linalg.norm(vectors, axis=1)
         if not names:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "trigrams": sizes})
         cosine = vectors @ unit.T / np.maximum(length, 1e-9)[:, None]
         best = cosine.argmax(axis=1)
         known = length > 0
         score = np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(float)
         return pd.DataFrame({"lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best, known)],
-                             "score": score})
+                             "score": score, "trigrams": sizes})
 
     return identify(F.col(text).cast("string"))
 
@@ -170,13 +183,49 @@ def identify_documents(docs: DataFrame) -> DataFrame:
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.02, min_chars: int = 20) -> DataFrame:
+def _size_class(verdict: Column) -> Column:
+    """Whole part of the binary logarithm of the number of distinct trigrams."""
+    return F.floor(F.log2(verdict["trigrams"])).cast("int")
+
+
+def thresholds(labelled: DataFrame, profiles: dict[str, list[float]]) -> list[float]:
+    """Least cosine of a known language for each size class (0 to 31) of texts.
+
+    The clean score of a class is the lowest of its ``labelled`` texts that are identified rightly, but
+    for a share of ``CLEAN_SHARE``, and no higher than that of a larger class. The threshold is the
+    noise floor, held between ``LEAST_SHARE`` and ``MOST_SHARE`` of the clean score. Classes above the
+    largest that has such texts are judged like it, those below the smallest not at all; the noise
+    floor alone counts if no class has any. The driver gets at most 32 x 1001 counts.
+    """
+    floor = NOISE_TIMES / DIMENSIONS ** 0.5
+    verdict = predicted(profiles)
+    found = labelled.select("lang", verdict.alias("p")).where("p.lang_pred = lang and p.trigrams > 0")
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in (found.groupBy(_size_class(F.col("p")).alias("c"), F.floor(F.col("p.score") * 1000).cast("int").alias("s"))
+              .agg(F.count(F.lit(1)).alias("n")).collect()):
+        counts.setdefault(r["c"], []).append((r["s"], r["n"]))
+    if not counts:
+        return [floor] * 32
+    out, clean = [0.0] * 32, 1.0
+    for c in range(31, min(counts) - 1, -1):
+        known = sorted(counts.get(min(c, max(counts)), []))
+        if known:
+            scores, sizes = np.array(known).T
+            clean = min(clean, scores[(np.cumsum(sizes) > CLEAN_SHARE * sizes.sum()).argmax()] / 1000)
+        out[c] = float(np.clip(floor, LEAST_SHARE * clean, MOST_SHARE * clean))
+    return out
+
+
+def keep_identified(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """Rows of ``docs``, with their own columns, that are in a known language.
 
-    Texts that are null, hold no letter, or have ``min_chars`` characters and a best cosine below
-    ``min_score`` go. Shorter texts have too few trigrams for the cosine to count against them.
+    Texts that are null, hold no letter, or have ``min_chars`` characters and a best cosine below the
+    threshold of their size go; the thresholds come from the rows held out. Of shorter texts many clean
+    ones score no higher than noise, so the cosine does not count against them.
     """
-    profiles = train_profiles(docs.select("doc_id", "text", "lang").where(~held_out()))
+    rows = docs.select("doc_id", "text", "lang")
+    profiles = train_profiles(rows.where(~held_out()))
     verdict = predicted(profiles)
-    odd = (F.length("text") >= min_chars) & (verdict["score"] < min_score)
+    least = F.get(F.array(*[F.lit(t) for t in thresholds(rows.where(held_out()), profiles)]), _size_class(verdict))
+    odd = (F.length("text") >= min_chars) & (verdict["score"] < least)
     return docs.where((verdict["lang_pred"] != UNKNOWN) & ~odd)

@@ -48,6 +48,22 @@ def test_held_out_languages_are_found(documents):
     assert test.where("lang = lang_pred").count() >= 0.97 * test.count()
 
 
+def test_unknown_scripts_and_letter_noise_are_not_identified(spark, documents):
+    rng, noise = np.random.default_rng(7), []
+    for first, n in ((0x430, 32), (0x3b1, 25), (0x4e00, 20000), (0x627, 36), (ord("a"), 26)):
+        for _ in range(40):
+            words = ["".join(map(chr, first + rng.integers(0, n, rng.integers(2, 10)))) for _ in range(150)]
+            noise.append((10**9 + len(noise), " ".join(words)))
+    # unlabelled, so that they neither train nor set the threshold
+    odd = spark.createDataFrame(noise, "doc_id long, text string")
+    docs = documents.unionByName(odd, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs).select("doc_id").collect()}
+    clean = {r["doc_id"] for r in documents.where("text rlike '[A-Za-z]'").select("doc_id").collect()}
+    assert clean <= kept
+    assert not [i for i, _ in noise[:160] if i in kept]
+    assert sum(i in kept for i, _ in noise[160:]) <= 2
+
+
 def test_bundle_is_the_sum_of_bound_trigrams():
     first, second, third = langid._vectors(64)
     number = langid._letters()
