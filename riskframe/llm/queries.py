@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from riskframe.llm import chat, decontam, fingerprints, html, langid, linededup, pieces, sharding, simhash, tokenfile
+from riskframe.llm import (
+    alignment,
+    chat,
+    decontam,
+    embeddings,
+    fingerprints,
+    html,
+    langid,
+    linededup,
+    pieces,
+    sharding,
+    simhash,
+    tokenfile,
+    trie,
+)
 from riskframe.llm.common import read
 
 QUERIES = {
@@ -18,6 +32,9 @@ QUERIES = {
     "op8_line_dedup": lambda spark, folder: linededup.line_dedup_query(read(spark, folder, "documents")),
     "op9_token_file": lambda spark, folder: tokenfile.token_file(read(spark, folder, "documents")),
     "op10_html_extraction": lambda spark, folder: html.extract_pages(read(spark, folder, "pages")),
+    "op11_token_alignment": lambda spark, folder: alignment.align_documents(read(spark, folder, "documents")),
+    "op12_prefix_trie": lambda spark, folder: trie.prefix_trie(read(spark, folder, "conversations")),
+    "op13_embedding_dedup": lambda spark, folder: embeddings.near_vectors(read(spark, folder, "embeddings")),
 }
 
 SQL: dict[str, str] = {"op2_decontamination": decontam.SQL, "op8_line_dedup": linededup.SQL}
