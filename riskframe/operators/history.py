@@ -8,11 +8,10 @@ Order-dependent features use running totals in day chunks, see :mod:`prefix`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import MISSING, clip, fill, flag, mean_if, sum0
-from riskframe.operators.prefix import LARGE_GROUP, split_sums
 from riskframe.sources.schema import KEY
 
 DELINQUENT = ["1", "2", "3", "4", "5"]
@@ -414,66 +413,124 @@ def rejection_profile(prev: DataFrame) -> DataFrame:
     return prev.groupBy(KEY).agg(*[v.alias(n) for n, v in _rejection_aggregates().items()])
 
 
-_TIES = ["DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT"]
+DUE, ENTRY = "DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT"
 
 
-def ordered_instalments(inst: DataFrame, by: str = "DAYS_INSTALMENT",
-                        sums: dict[str, Column] | None = None,
-                        large: int = LARGE_GROUP) -> DataFrame:
-    """Instalments with their sequence number per applicant (``seq``, ``seq_total``).
+def _segments(inst: DataFrame, keep: int) -> DataFrame:
+    """One summary per (applicant, due day, entry day), the smallest stretch of both payment orders.
 
-    Ordered by day, ties by every other value the features read, so equal keys are
-    interchangeable. An applicant with more than ``large`` rows is split by day.
+    All its rows are late or none is. Inside, rows go by owed, then paid amount, so rows of equal place
+    are interchangeable. ``at_<v>`` is the sum of place times value, places from 1; ``tail`` holds the
+    last ``keep`` rows with their distance from the end.
     """
-    ties = [c for c in ["DAYS_INSTALMENT", *_TIES] if c != by]
-    return split_sums(inst, [KEY], [by, *ties], {"seq": F.lit(1), **(sums or {})},
-                      chunk=F.floor(F.col(by)), totals=["seq"], large=large)
-
-
-def _longest_run(ordered: DataFrame, hit: Column, running: str, name: str) -> DataFrame:
-    """Longest run of consecutive hits: within a run, seq minus running hits is constant."""
-    runs = (ordered.where(hit).groupBy(KEY, (F.col("seq") - F.col(running)).alias("_run"))
-            .agg(F.count("*").alias("_len")))
-    return runs.groupBy(KEY).agg(F.max("_len").alias(name))
-
-
-def instalment_sequences(inst: DataFrame, window: int = 12,
-                         large: int = LARGE_GROUP) -> DataFrame:
-    """All order-dependent instalment features from one ordered pass.
-
-    A payment is late when it comes after its due day; an unpaid one is not.
-    """
-    due, paid_on = F.col("DAYS_INSTALMENT"), F.col("DAYS_ENTRY_PAYMENT")
     owed, paid = F.col("AMT_INSTALMENT"), F.col("AMT_PAYMENT")
-    late = paid_on > due
-    ordered = ordered_instalments(inst, sums={"late_so_far": flag(late).cast("long")},
-                                  large=large)
-    runs = _longest_run(ordered, late, "late_so_far", "inst_max_consec_late_streak")
-    seq, left = F.col("seq").cast("double"), F.col("seq_total") - F.col("seq")
+    inside = Window.partitionBy(KEY, DUE, ENTRY)
+    place, left = F.row_number().over(inside.orderBy("AMT_INSTALMENT", "AMT_PAYMENT")), F.col("_n") - F.col("_place")
+    rows = inst.select(KEY, DUE, ENTRY, "AMT_INSTALMENT", "AMT_PAYMENT", (paid / (owed + 1e-6)).alias("_ratio"),
+                       place.alias("_place"), F.count(F.lit(1)).over(inside).alias("_n"))
+    values = {"owed": owed, "paid": paid, "ratio": F.col("_ratio")}
+    last = F.collect_list(F.when(left < keep, F.struct(
+        left.alias("left"), days_late().alias("late"), (owed - paid).alias("gap"))))
+    return rows.groupBy(KEY, DUE, ENTRY).agg(
+        F.count(F.lit(1)).alias("n"), last.alias("tail"),
+        *[F.sum(v).alias(n) for n, v in values.items()],
+        *[F.sum(F.col("_place") * v).alias(f"at_{n}") for n, v in values.items()])
+
+
+def _later(tail: Column, rows: Column, keep: int) -> Column:
+    """A tail with ``rows`` rows behind it: what is still among the last ``keep``."""
+    return F.filter(F.transform(tail, lambda x: F.struct(
+        (x["left"] + rows).alias("left"), x["late"].alias("late"), x["gap"].alias("gap"))),
+        lambda x: x["left"] < keep)
+
+
+def _folded(parts: DataFrame, by: str, first: str, values: list[str], keep: int = 0) -> DataFrame:
+    """Summaries per (applicant, ``first``) from summaries per (applicant, ``first``, ``by``), in that order.
+
+    Each level is a window over the lines below it, never over an applicant's rows.
+    """
+    whole = Window.partitionBy(KEY, first)
+    before = F.coalesce(F.sum("n").over(whole.orderBy(F.col(by)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    late = F.coalesce(F.col(ENTRY) > F.col(DUE), F.lit(False))
+    placed = parts.select(KEY, first, by, "n", *values, *[f"at_{v}" for v in values], *(["tail"] if keep else []),
+                          late.alias("_late"), before.alias("_before"), F.sum("n").over(whole).alias("_all"))
+    extra = []
+    if keep:
+        placed = placed.withColumn("_later", _later(F.col("tail"), F.col("_all") - F.col("_before") - F.col("n"), keep))
+        extra = [F.flatten(F.collect_list("_later")).alias("tail")]
+    return placed.groupBy(KEY, first).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("_late"), F.col("n")).otherwise(0)).alias("n_late"), *extra,
+        *[F.sum(v).alias(v) for v in values],
+        *[F.sum(F.col(f"at_{v}") + F.col("_before") * F.col(v)).alias(f"at_{v}") for v in values])
+
+
+def _in_order(days: DataFrame, first: str) -> DataFrame:
+    """Day summaries with the rows before them and of the whole applicant, and the run they belong to."""
+    whole = Window.partitionBy(KEY)
+    ordered = whole.orderBy(F.col(first))
+    before = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # within a due day, late payments come after the others: a day with others begins a new run
+    run = F.sum(F.col("n") - F.col("n_late")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    return days.withColumns({"before": before, "all": F.sum("n").over(whole), "run": run})
+
+
+def _slope(value: str) -> Column:
+    """Least-squares slope of a value over the places 1 to ``all``, from day summaries."""
+    middle, n = (F.col("all") + 1) / 2, F.max("all").cast("double")
+    across = F.sum(F.col(f"at_{value}") + (F.col("before") - middle) * F.col(value))
+    return F.when(n > 1, across / (n * (n * n - 1) / 12))
+
+
+def instalment_sequences(inst: DataFrame, window: int = 12) -> DataFrame:
+    """All order-dependent instalment features, from summaries that are folded in payment order.
+
+    A payment is late when it comes after its due day; an unpaid one is not. Rows are summed up per
+    (applicant, due day, entry day), those per day, and days per applicant, so that no task orders
+    all rows of an applicant. NULL is an applicant of its own.
+    """
+    due, owed, paid = F.col(DUE), F.col("AMT_INSTALMENT"), F.col("AMT_PAYMENT")
+    late = F.col(ENTRY) > due
     last_late = F.max(F.when(late, due))
     mean_late, n_late = F.avg(days_late()), F.count(days_late())
     # an unpaid instalment leaves a slope, mean or skewness unknown
-    all_amounts, all_days = F.count("*") == F.count(paid), F.count("*") == n_late
-    all_owed = F.count("*") == F.count(owed)
-    last6, recent = mean_if(left < 6, days_late()), mean_if(left < window, days_late())
-    varied = (n_late > 1) & all_days & (F.stddev_pop(days_late()) > 0)
-    features = {
-        "inst_months_since_last_late": F.bround(-last_late / 30.0, 2),
-        "inst_months_since_last_dpd": fill(F.abs(F.max(due) - last_late) / 30.0, 999.0),
-        "inst_payment_amt_slope": fill(F.when(all_owed, F.regr_slope(owed, seq)), 0.0),
-        "inst_payment_ratio_trend":
-            fill(F.when(all_amounts, F.regr_slope(paid / (owed + 1e-6), seq)), 0.0),
-        "inst_recent_vs_historical_dpd": fill(F.when(all_days, last6 / (mean_late + 1e-6)), 0.0),
+    varied = (n_late > 1) & (F.count("*") == n_late) & (F.stddev_pop(days_late()) > 0)
+    plain = inst.groupBy(KEY).agg(
+        F.bround(-last_late / 30.0, 2).alias("inst_months_since_last_late"),
+        fill(F.abs(F.max(due) - last_late) / 30.0, 999.0).alias("inst_months_since_last_dpd"),
+        fill(F.max(owed - paid), 0.0).alias("inst_payment_diff_max"),
+        fill(F.when(varied, F.skewness(days_late())), 0.0).alias("inst_late_skew"),
+        mean_late.alias("_mean_late"), (F.count("*") == F.count(owed)).alias("_all_owed"),
+        (F.count("*") == F.count(paid)).alias("_all_paid"), (F.count("*") == n_late).alias("_all_days"))
+    keep = max(window, 6)
+    days = _in_order(_folded(_segments(inst, keep), ENTRY, DUE, ["owed", "ratio"], keep), DUE)
+    # runs of late payments: the longest sum of late rows over days that begin no new run
+    runs = days.groupBy(KEY, "run").agg(F.sum("n_late").alias("_len")).groupBy(KEY).agg(
+        F.max("_len").cast("long").alias("inst_max_consec_late_streak"))
+    tails = F.flatten(F.collect_list("_later"))
+    later = _later(F.col("tail"), F.col("all") - F.col("before") - F.col("n"), keep)
+    folded = days.withColumn("_later", later).groupBy(KEY).agg(_slope("owed").alias("_owed_slope"), _slope("ratio").alias("_ratio_slope"),
+                                   tails.alias("_tail"))
+
+    def mean_of(field: str, rows: int) -> Column:
+        known = F.filter("_tail", lambda x: (x["left"] < rows) & x[field].isNotNull())
+        total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x[field])
+        return F.when(F.size(known) > 0, total / F.size(known))
+
+    out = plain
+    for i, part in enumerate((folded, runs)):
+        part = part.withColumnRenamed(KEY, f"_k{i}")
+        out = out.join(part, out[KEY].eqNullSafe(F.col(f"_k{i}")), "left").drop(f"_k{i}")
+    recent = mean_of("late", window)
+    return out.withColumns({
+        "inst_payment_amt_slope": fill(F.when(F.col("_all_owed"), F.col("_owed_slope")), 0.0),
+        "inst_payment_ratio_trend": fill(F.when(F.col("_all_paid"), F.col("_ratio_slope")), 0.0),
+        "inst_recent_vs_historical_dpd": fill(F.when(
+            F.col("_all_days"), mean_of("late", 6) / (F.col("_mean_late") + 1e-6)), 0.0),
         "inst_recent_late_mean": fill(recent, 0.0),
-        "inst_recent_underpay": fill(mean_if(left < window, owed - paid), 0.0),
-        "inst_late_trend": fill(recent - mean_late, 0.0),
-        "inst_payment_diff_max": fill(F.max(owed - paid), 0.0),
-        "inst_late_skew": fill(F.when(varied, F.skewness(days_late())), 0.0),
-    }
-    trend = ordered.groupBy(KEY).agg(*[v.alias(n) for n, v in features.items()])
-    return (trend.join(runs, KEY, "left").fillna(0, ["inst_max_consec_late_streak"])
-            .withColumn("inst_longest_dpd_streak",
-                        F.col("inst_max_consec_late_streak").cast("double")))
+        "inst_recent_underpay": fill(mean_of("gap", window), 0.0),
+        "inst_late_trend": fill(recent - F.col("_mean_late"), 0.0),
+        "inst_longest_dpd_streak": F.col("inst_max_consec_late_streak").cast("double"),
+    }).drop("_mean_late", "_all_owed", "_all_paid", "_all_days", "_owed_slope", "_ratio_slope", "_tail")
 
 
 def late_streak(inst: DataFrame) -> DataFrame:
@@ -501,12 +558,14 @@ def payment_slope(inst: DataFrame) -> DataFrame:
 
     0 below three payments, NULL when an amount is missing. Unpaid rows come last.
     """
-    unpaid_last = F.coalesce(F.col("DAYS_ENTRY_PAYMENT"), F.lit(1e9))
-    ordered = ordered_instalments(inst.withColumn("_entry", unpaid_last), by="_entry")
-    slope = F.regr_slope(F.col("AMT_PAYMENT"), F.col("seq").cast("double"))
-    complete = F.count("*") == F.count("AMT_PAYMENT")
-    return ordered.groupBy(KEY).agg(
-        F.when(F.count("*") < 3, 0.0).when(complete, slope).alias("inst_payment_trend_slope"))
+    unpaid_last = F.coalesce(F.col(ENTRY), F.lit(1e9))
+    parts = _segments(inst, 0).withColumn("_entry", unpaid_last)
+    days = _in_order(_folded(parts, DUE, "_entry", ["paid"]), "_entry")
+    slopes = days.groupBy(KEY).agg(_slope("paid").alias("_slope")).withColumnRenamed(KEY, "_k")
+    plain = inst.groupBy(KEY).agg(F.count("*").alias("_n"), F.count("AMT_PAYMENT").alias("_paid"))
+    return plain.join(slopes, plain[KEY].eqNullSafe(F.col("_k")), "left").select(
+        KEY, F.when(F.col("_n") < 3, 0.0).when(F.col("_n") == F.col("_paid"), F.col("_slope"))
+        .alias("inst_payment_trend_slope"))
 
 
 def past_loan_delinquency(bbal: DataFrame) -> DataFrame:

@@ -20,37 +20,6 @@ from riskframe.operators.wide import PLACE, column_name, long_values
 from riskframe.session import cut_lineage
 
 _CHUNK = "_chunk"
-LARGE_GROUP = 1_000_000
-
-
-def window_sums(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
-                sums: dict[str, Column], totals: Sequence[str] = ()) -> DataFrame:
-    """Running sums by a plain window: one shuffle, for groups known to be small."""
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    whole = Window.partitionBy(*group)
-    inside = whole.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[F.sum(v).over(inside).alias(n) for n, v in sums.items()],
-                     *[F.sum(sums[n]).over(whole).alias(f"{n}_total") for n in totals])
-
-
-def split_sums(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
-               sums: dict[str, Column], chunk: Column, totals: Sequence[str] = (),
-               large: int = LARGE_GROUP) -> DataFrame:
-    """Running sums where most groups are small but a few may be huge.
-
-    A pass over the key columns finds groups of more than ``large`` rows. There are at
-    most rows / ``large`` of them, which bounds the broadcast. Without any, a plain
-    window does the work. Otherwise only those groups take the chunked way.
-    """
-    heavy = cut_lineage(df.groupBy(*group).agg(F.count("*").alias("_n"))
-                        .where(F.col("_n") > large).select(*group))
-    if heavy.isEmpty():
-        return window_sums(df, group, order, sums, totals)
-    keys = F.broadcast(heavy)
-    small = df.join(keys, list(group), "left_anti")
-    huge = df.join(keys, list(group), "left_semi")
-    return window_sums(small, group, order, sums, totals).unionByName(
-        prefix_sums(huge, group, order, sums, chunk, totals))
 
 
 def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,13 +136,51 @@ def test_streaks_stay_within_applicants(spark):
             (1, -60.0, -61.0, 10.0, 10.0), (1, -30.0, -29.0, 10.0, 10.0),
             (2, -90.0, -80.0, 10.0, 10.0), (2, -60.0, -50.0, 10.0, 10.0),
             (2, -30.0, -20.0, 10.0, 10.0), (3, -30.0, None, 10.0, None)]
-    for large in (1_000_000, 2):
-        out = history.instalment_sequences(instalments(spark, rows), large=large)
-        got = {r["SK_ID_CURR"]: r for r in out.collect()}
-        assert [got[k]["inst_max_consec_late_streak"] for k in (1, 2, 3)] == [2, 3, 0]
-        assert got[1]["inst_months_since_last_late"] == 1.0
-        assert got[3]["inst_months_since_last_late"] is None
-        assert got[3]["inst_months_since_last_dpd"] == 999.0
+    out = history.instalment_sequences(instalments(spark, rows))
+    got = {r["SK_ID_CURR"]: r for r in out.collect()}
+    assert [got[k]["inst_max_consec_late_streak"] for k in (1, 2, 3)] == [2, 3, 0]
+    assert got[1]["inst_months_since_last_late"] == 1.0
+    assert got[3]["inst_months_since_last_late"] is None
+    assert got[3]["inst_months_since_last_dpd"] == 999.0
+
+
+def test_sequences_equal_a_walk_through_the_rows(spark):
+    rng = np.random.default_rng(4)
+    # applicant 0 has a third of all rows on one day, the NULL applicant has some; days and amounts tie
+    rows = [(0, -50.0, float(rng.integers(-60, -40)), float(rng.integers(1, 9)), float(rng.integers(1, 9)))
+            for _ in range(300)]
+    rows += [(None if k == 7 else int(k), float(d), None if rng.random() < 0.05 and k % 2 else float(d + rng.integers(-3, 4)),
+              float(rng.integers(1, 5)), float(rng.integers(1, 5)))
+             for k, d in zip(rng.integers(1, 30, 600), rng.integers(-90, 0, 600))]
+    df = instalments(spark, rows)
+    got = {r["SK_ID_CURR"]: r.asDict() for r in history.instalment_sequences(df).collect()}
+    slopes = {r["SK_ID_CURR"]: r[1] for r in history.payment_slope(df).collect()}
+    applicants = {r[0] for r in rows}
+    assert set(got) == set(slopes) == applicants
+    first = lambda x: (x is not None, x or 0.0)  # noqa: E731  (NULL sorts first)
+    for key in applicants:
+        own = sorted((r[1:] for r in rows if r[0] == key), key=lambda r: [first(x) for x in r])
+        late = [None if e is None else max(e - d, 0.0) for d, e, _, _ in own]
+        run = best = 0
+        for x in late:
+            run = run + 1 if x else 0
+            best = max(best, run)
+        seq = np.arange(1, len(own) + 1)
+        mean = lambda v: np.mean(v) if len(v) else None
+        recent = mean([x for x in late[-12:] if x is not None])
+        want = {"inst_max_consec_late_streak": best, "inst_recent_late_mean": recent or 0.0,
+                "inst_recent_underpay": np.mean([o - p for _, _, o, p in own][-12:])}
+        if len(own) > 1:
+            want["inst_payment_amt_slope"] = np.polyfit(seq, [o for _, _, o, _ in own], 1)[0]
+            want["inst_payment_ratio_trend"] = np.polyfit(seq, [p / (o + 1e-6) for _, _, o, p in own], 1)[0]
+        if None not in late:
+            want["inst_recent_vs_historical_dpd"] = np.mean(late[-6:]) / (np.mean(late) + 1e-6)
+            want["inst_late_trend"] = np.mean(late[-12:]) - np.mean(late)
+        for name, value in want.items():
+            assert got[key][name] == pytest.approx(value, abs=1e-9), (key, name)
+        paid = sorted(own, key=lambda r: (1e9 if r[1] is None else r[1], r[0], r[2], r[3]))
+        trend = np.polyfit(seq, [p for _, _, _, p in paid], 1)[0] if len(own) > 2 else 0.0
+        assert slopes[key] == pytest.approx(trend, abs=1e-9)
 
 
 def test_slopes(spark):
