@@ -16,10 +16,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,11 @@ from riskframe.llm.common import stored
 from riskframe.llm.mphf import KeyTable, PerfectHash
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Stretches remembered per worker; the memo is emptied when full. Longer stretches are not remembered.
-MEMO, MEMO_CHARS = 250_000, 64
+#: Stretches remembered per worker; a full memo becomes the older one, from which used ones come back.
+#: Longer stretches are not remembered.
+MEMO, MEMO_CHARS = 300_000, 64
+#: Stretches encoded in one call.
+ROW = 200
 #: Pairs summed in a task before they are handed on.
 FLUSH = 1_000_000
 #: Pairs of one shard, and rows of partial sums that one dense vector takes in.
@@ -46,7 +50,11 @@ ROWS = 256
 # Characters that one side or the other may treat like white space never end a stretch.
 _ODD = "᠎​﻿"
 _BREAK = re.compile(rf"(?<=[^\s{_ODD}])(?=[ \n])")
-_UNUSUAL = re.compile(rf"\s\s|[^\S \n]|[{_ODD}\x00]")
+_LOOSE = frozenset(filter(str.isspace, map(chr, range(0x3001)))) | set(_ODD)
+# what keeps a text from being cut by plain replacement, besides neighbouring spaces and line feeds
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+_UNUSUAL = (*_PAIRS, *sorted({*_LOOSE, "\x00"} - {" ", "\n"}))
+_UNUSUAL_ASCII = tuple(x for x in _UNUSUAL if x.isascii())
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,7 +65,7 @@ def tokenizer_path(name: str) -> str:
 
 def stretches(text: str) -> list[str]:
     """The text in pieces that both tokenizers encode apart; a piece starts with its white space."""
-    if _UNUSUAL.search(text):
+    if any(c in text for c in (_UNUSUAL_ASCII if text.isascii() else _UNUSUAL)):
         return _BREAK.split(text)
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n").strip("\x00").split("\x00")
 
@@ -94,7 +102,12 @@ class Pair:
             raise ValueError("a piece reaches over a space or line feed: texts cannot be cut there")
         self.dummy = self.b.encode("\n")[:-1]
         self.space = self.b.piece_to_id("▁")
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        # an id as text with each mark behind it, by mark * width + id
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.texts = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.width)]
         self.memo: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def _encode_second(self, parts: list[str]) -> list[list[int]]:
         """Ids of stretches; the library itself puts the space in front, which others do without."""
@@ -102,41 +115,67 @@ class Pair:
         return [[self.space] if p == " " else ids if p[0] == " " else ids[len(self.dummy):]
                 for p, ids in zip(parts, found)]
 
-    def _aligned(self, part: str, a: list[int], b: list[int]) -> tuple:
-        """(n_a, n_b, n_groups, groups, links as bytes of a << 32 | b); None in place of groups if bytes differ."""
-        raw = part.encode("utf-8", "surrogatepass")
-        if (b"".join(map(self.a_bytes.__getitem__, a)) != raw
-                or b"".join(map(self.b_bytes.__getitem__, b)) != raw):
-            return len(a), len(b), 0, None, b""
-        groups, links, i, j = [], array("Q"), 0, 0
-        while i < len(a):
-            from_i, from_j = i, j
-            end_a, end_b = len(self.a_bytes[a[i]]), len(self.b_bytes[b[j]])
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(self.a_bytes[a[i]])
-                else:
-                    j += 1
-                    end_b += len(self.b_bytes[b[j]])
-            links.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-        return len(a), len(b), len(groups), ";".join(groups), links.tobytes()
-
-    def batch(self, texts: list[str | None]) -> list[list[tuple] | None]:
-        """Aligned stretches of each text; None for texts without tokens or whose bytes differ."""
+    def _align(self, parts: list[str]) -> list[tuple] | None:
+        """(n_a, n_b, n_groups, groups, links as bytes of a << 32 | b) of stretches; None if bytes differ.
+
+        Stretches in a row are encoded together, for both sides break between them, unless one ends in
+        white space: those come last, and alone.
+        """
+        tight = next((i for i, p in enumerate(parts) if p[-1] in _LOOSE), len(parts))
+        rows = ["".join(parts[i:min(i + ROW, tight)]) for i in range(0, tight, ROW)] + parts[tight:]
+        a, b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (
+            [e.ids for e in self.a.encode_batch_fast(rows, add_special_tokens=False)], self._encode_second(rows)))
+        raw = "".join(parts).encode("utf-8", "surrogatepass")
+        if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw
+                or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw):
+            return None
+        ends_a, ends_b = self.sizes[0][a].cumsum(), self.sizes[1][b].cumsum()
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        closing_a, closing_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        # last group, first id and last id of every stretch
+        limits = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
+        last = np.searchsorted(ends, limits)
+        links = (a[closing_a].astype(np.uint64) << np.uint64(32)) | b[closing_b].astype(np.uint64)
+        # ids of all groups in their order, each with the mark that follows it
+        size_a, size_b = np.diff(closing_a, prepend=-1), np.diff(closing_b, prepend=-1)
+        before_a = np.repeat(np.cumsum(size_b) - size_b, size_a)
+        before_b = np.repeat(np.cumsum(size_a), size_b)
+        places_a, places_b = np.arange(len(a)) + before_a, np.arange(len(b)) + before_b
+        out = np.empty(len(a) + len(b), np.int64)
+        out[places_a], out[places_b] = a, b
+        out[places_a[closing_a]] += self.width
+        out[places_b[closing_b]] += 2 * self.width
+        out[places_b[closing_b[last]]] += self.width
+        texts = "".join(map(self.texts.__getitem__, out.tolist())).split("\n")
+        n_a, n_b, n_groups = (np.diff(x, prepend=-1).tolist() for x in (closing_a[last], closing_b[last], last))
+        raw_links, cuts = links.tobytes(), (8 * (last + 1)).tolist()
+        return list(zip(n_a, n_b, n_groups, texts, (raw_links[i:j] for i, j in zip([0, *cuts], cuts))))
+
+    def batch(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple]]:
+        """Stretches of each text, and what is known of each stretch.
+
+        A text has no stretches if it has no tokens or its bytes differ from those of its tokens.
+        """
         if len(self.memo) > MEMO:
-            self.memo = {}
+            self.older, self.memo = self.memo, {}
         cut = [stretches(" " + t) if t else [] for t in texts]
-        fresh = list({p for parts in cut for p in parts}.difference(self.memo))
-        first = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-        found = dict(zip(fresh, map(self._aligned, fresh, first, self._encode_second(fresh))))
-        known = {p: v for p, v in found.items() if len(p) <= MEMO_CHARS}
-        self.memo.update(known)
-        look = self.memo if len(known) == len(found) else {**self.memo, **found}
-        rows = [list(map(look.__getitem__, parts)) for parts in cut]
-        return [row if row and all(part[3] is not None for part in row) else None for row in rows]
+        fresh = set().union(*cut).difference(self.memo)
+        again = [p for p in fresh if p in self.older]
+        self.memo.update(zip(again, map(self.older.__getitem__, again)))
+        fresh = sorted(fresh.difference(again), key=lambda p: p[-1] in _LOOSE)
+        found = self._align(fresh) if fresh else []
+        bad: set[str] = set()
+        if found is None:
+            alone = [self._align([p]) for p in fresh]
+            bad = {p for p, x in zip(fresh, alone) if x is None}
+            known = {p: x[0] for p, x in zip(fresh, alone) if x is not None}
+        else:
+            known = dict(zip(fresh, found))
+        short = {p: x for p, x in known.items() if len(p) <= MEMO_CHARS}
+        self.memo.update(short)
+        if bad:
+            cut = [parts if bad.isdisjoint(parts) else [] for parts in cut]
+        return cut, self.memo if len(short) == len(known) else {**self.memo, **known}
 
 
 @lru_cache(maxsize=2)
@@ -150,13 +189,13 @@ def _small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch.slice(at, ROWS)
 
 
-def _link_counts(rows: list[list[tuple] | None]) -> tuple[np.ndarray, np.ndarray]:
+def _link_counts(cut: list[list[str]], known: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of the aligned texts and how many links hold each."""
-    times = Counter(part[4] for row in rows if row for part in row)
-    pairs = np.frombuffer(b"".join(times), np.uint64)
+    times = Counter(chain.from_iterable(cut))
+    links = [known[p][4] for p in times]
     weights = np.repeat(np.fromiter(times.values(), np.int64, len(times)),
-                        np.fromiter(map(len, times), np.int64, len(times)) // 8)
-    return _summed(pairs, weights)
+                        np.fromiter(map(len, links), np.int64, len(times)) // 8)
+    return _summed(np.frombuffer(b"".join(links), np.uint64), weights)
 
 
 def _summed(pairs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +213,7 @@ def _partial_sums(first: str, second: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, held, size = pair_of(first, second), [], 0
         for batch in _small_batches(batches):
-            held.append(_link_counts(tools.batch(batch.column("t").to_pylist())))
+            held.append(_link_counts(*tools.batch(batch.column("t").to_pylist())))
             size += len(held[-1][0])
             if size > 2 * FLUSH:
                 held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
@@ -275,37 +314,44 @@ _ARROW = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in (
     "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", pa.string())])
 
 
-def _digest(row: list[tuple]) -> str:
-    return hashlib.sha256(";".join([part[3] for part in row]).encode()).hexdigest()
+def _sums(parts: list[tuple]) -> tuple[int, int, int, str, list[bytes]]:
+    """n_a, n_b, n_groups, groups_sha256 and links of a text from its stretches."""
+    if not parts:
+        return 0, 0, 0, "", []
+    n_a, n_b, n_groups, texts, links = zip(*parts)
+    return sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(texts).encode()).hexdigest(), links
 
 
-def _look_up_here(first: str, second: str, shared):
-    """Second pass with the whole table at hand; per stretch it is looked up once while remembered."""
+#: Sums per stretch's links that a worker has looked up, for one table at a time.
+_SEEN: dict[str, dict[bytes, tuple[int, int, int]]] = {}
+
+
+def _look_up_here(first: str, second: str, shared, run_id: str):
+    """Second pass with the whole table at hand; links of a stretch are looked up once while remembered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, (tables, top) = pair_of(first, second), shared.value
         table = KeyTable(PerfectHash.from_bytes(tables[0]), np.frombuffer(tables[1], np.uint64).reshape(-1, 1))
-        counts, seen = np.frombuffer(tables[2], np.int64), {}
+        counts = np.frombuffer(tables[2], np.int64)
+        seen = _SEEN.get(run_id, {})
+        _SEEN.clear()
         for batch in _small_batches(batches):
-            rows = tools.batch(batch.column("t").to_pylist())
+            cut, known = tools.batch(batch.column("t").to_pylist())
             if len(seen) > MEMO:
                 seen = {}
-            fresh = [x for x in {part[4] for row in rows if row for part in row} if x not in seen]
+            fresh = [x for x in {known[p][4] for p in set().union(*cut)} if x not in seen]
             if fresh:
                 n, best = _counted(np.frombuffer(b"".join(fresh), np.uint64), table, counts, top)
                 at = np.cumsum([0, *[len(x) // 8 for x in fresh[:-1]]])
-                seen.update(zip(fresh, zip(np.add.reduceat(best.astype(np.int64), at).tolist(),
-                                           np.add.reduceat(n, at).tolist())))
+                seen.update(zip(fresh, zip([len(x) // 8 for x in fresh], np.add.reduceat(
+                    best.astype(np.int64), at).tolist(), np.add.reduceat(n, at).tolist())))
             out = []
-            for doc, row in zip(batch.column("doc_id").to_pylist(), rows):
-                if row is None:
-                    out.append((doc, 0, 0, 0, 0, 0, 0, ""))
-                    continue
-                n_a, n_b, n_groups = (sum(part[i] for part in row) for i in range(3))
-                found = [seen[part[4]] for part in row]
-                out.append((doc, n_a, n_b, n_groups, sum(len(part[4]) for part in row) // 8,
-                            sum(f[0] for f in found), sum(f[1] for f in found), _digest(row)))
+            for doc, parts in zip(batch.column("doc_id").to_pylist(), cut):
+                n_a, n_b, n_groups, digest, links = _sums(list(map(known.__getitem__, parts)))
+                sums = map(sum, zip(*map(seen.__getitem__, links))) if links else (0, 0, 0)
+                out.append((doc, n_a, n_b, n_groups, *sums, digest))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)],
                                              schema=_ARROW)
+        _SEEN[run_id] = seen
 
     return run
 
@@ -319,11 +365,11 @@ def _send_pairs(first: str, second: str):
         tools = pair_of(first, second)
         for batch in _small_batches(batches):
             out = []
-            for doc, row in zip(batch.column("doc_id").to_pylist(), tools.batch(batch.column("t").to_pylist())):
-                pairs, times = _link_counts([row])
-                sums = [sum(part[i] for part in row or ()) for i in range(3)]
-                out.append((doc, *sums, int(times.sum()), _digest(row) if row else "",
-                            pairs.astype(np.int64), times))
+            cut, known = tools.batch(batch.column("t").to_pylist())
+            for doc, parts in zip(batch.column("doc_id").to_pylist(), cut):
+                pairs, times = _link_counts([parts], known)
+                n_a, n_b, n_groups, digest, _ = _sums(list(map(known.__getitem__, parts)))
+                out.append((doc, n_a, n_b, n_groups, int(times.sum()), digest, pairs.astype(np.int64), times))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)],
                                              schema=schema)
 
@@ -373,7 +419,7 @@ def align_documents(docs: DataFrame, first: str | None = None, second: str | Non
         placed[whole.slots(keys)] = counts
         shared = spark.sparkContext.broadcast(
             ((whole.function.to_bytes(), whole.keys.tobytes(), placed.tobytes()), top))
-        return rows.mapInArrow(_look_up_here(first, second, shared), RESULT)
+        return rows.mapInArrow(_look_up_here(first, second, shared, uuid.uuid4().hex), RESULT)
     sent = stored(rows.mapInArrow(_send_pairs(first, second), RESULT.replace(
         "n_best long, count_sum long, ", "") + ", pairs array<long>, times array<long>")
         .withColumn("row", F.monotonically_increasing_id()), "sent-pairs")
