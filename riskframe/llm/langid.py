@@ -24,8 +24,13 @@ DIMENSIONS = 1024
 #: Code points are taken modulo this prime, so Latin letters never share a vector.
 ALPHABET = 1021
 SEED = 20240611
-#: Texts are bundled in groups of so many characters, which bounds a task's memory.
-CHUNK_CHARS = 1_000_000
+#: Texts are bundled in groups of at most so many texts and characters, longer texts in pieces, and
+#: trigrams bound so many at a time, which bounds a task's memory.
+GROUP_TEXTS = 64
+PIECE_CHARS = 1 << 18
+SLICE_TRIGRAMS = 4096
+#: Rows handed to Python at a time.
+ROWS = 256
 #: Cosines of unrelated vectors scatter by 1/sqrt(dimensions); so many times that is above their noise.
 NOISE_TIMES = 4
 #: Share of the held-out labelled texts of a size class below its clean score.
@@ -54,28 +59,56 @@ def _bind(codes: np.ndarray, dimensions: int) -> np.ndarray:
     return (first[codes >> 20] * second[(codes >> 10) & 1023] * third[codes & 1023]).astype(np.float32)
 
 
-def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, trigram code and count of every distinct trigram of every text."""
-    lowered = [f"\n{t.lower()}\n" for t in texts]
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _letters()[points]
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
+def _letter_run(text: str) -> np.ndarray:
+    """Letter numbers of the text, lower-cased, with one 0 for each run of anything else and at both ends."""
+    parts, at = [np.zeros(1, np.int16)], 0
+    while at < len(text):
+        end = at + PIECE_CHARS
+        while end < len(text) and end > at + PIECE_CHARS // 2 and text[end].isalpha():
+            end -= 1  # lower case can depend on neighbours, so words stay whole if they can
+        points = np.frombuffer(text[at:end].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts.append(_letters()[points].astype(np.int16))
+        at = end
+    letters = np.concatenate([*parts, parts[0]])
     kept = np.ones(len(letters), bool)
     kept[1:] = (letters[1:] > 0) | (letters[:-1] > 0)
-    letters, owner = letters[kept].astype(np.int64), owner[kept]
-    middle = np.flatnonzero(letters[1:-1] > 0) + 1
-    codes = letters[middle - 1] << 20 | letters[middle] << 10 | letters[middle + 1]
-    keys, counts = np.unique(owner[middle] << 30 | codes, return_counts=True)
-    return keys >> 30, keys & ((1 << 30) - 1), counts
+    return letters[kept]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    start = size = 0
+def _groups(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text number, trigram code and count of every distinct trigram, for few texts or a piece of one at a time."""
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
     for i, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_CHARS or i == len(texts) - 1:
-            yield start, texts[start:i + 1]
-            start, size = i + 1, 0
+        run = _letter_run(text)
+        # a trigram belongs to the piece of its middle letter, so pieces overlap by two
+        for at in range(0, max(1, len(run) - 2), PIECE_CHARS):
+            part = run[at:at + PIECE_CHARS + 2]
+            if held and (size + len(part) > PIECE_CHARS or len(held) == GROUP_TEXTS):
+                yield _counted(held)
+                held, size = [], 0
+            held.append((i, part))
+            size += len(part)
+    if held:
+        yield _counted(held)
+
+
+def _counted(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    owners, codes = [], []
+    for i, run in held:
+        run = run.astype(np.int64)
+        middle = np.flatnonzero(run[1:-1] > 0) + 1
+        codes.append(run[middle - 1] << 20 | run[middle] << 10 | run[middle + 1])
+        owners.append(np.full(len(middle), i))
+    keys, counts = np.unique(np.concatenate(owners) << 30 | np.concatenate(codes), return_counts=True)
+    return keys >> 30, keys & ((1 << 30) - 1), counts
+
+
+def _slices(codes: np.ndarray, dimensions: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Vectors of some thousand of the distinct ``codes`` at a time."""
+    for at in range(0, len(codes), SLICE_TRIGRAMS):
+        end = min(at + SLICE_TRIGRAMS, len(codes))
+        yield at, end, _bind(codes[at:end], dimensions)
 
 
 def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -86,16 +119,23 @@ def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
 def _bundles(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """Vector and number of distinct trigrams of every text."""
     out, sizes = np.zeros((len(texts), dimensions), np.float32), np.zeros(len(texts), np.int64)
-    for start, part in _chunks(texts):
-        owner, codes, counts = _trigrams(part)
+    piecewise: dict[int, np.ndarray] = {}  # codes of texts that come in several pieces
+    for owner, codes, counts in _groups(texts):
+        here, row = np.unique(owner, return_inverse=True)
+        for i in here:
+            if len(texts[i]) >= PIECE_CHARS:
+                piecewise[i] = np.union1d(piecewise.get(i, codes[:0]), codes[owner == i])
+        sizes[here] += np.bincount(row, minlength=len(here))
         distinct, place = np.unique(codes, return_inverse=True)
-        bound = _bind(distinct, dimensions)
-        edges = np.searchsorted(owner, np.arange(len(part) + 1))
-        weights = counts.astype(np.float32)
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if b > a:
-                out[start + i] = weights[a:b] @ bound[place[a:b]]
-        sizes[start:start + len(part)] = np.diff(edges)
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(0, len(distinct) + SLICE_TRIGRAMS, SLICE_TRIGRAMS))
+        for number, (at, end, bound) in enumerate(_slices(distinct, dimensions)):
+            some = order[edges[number]:edges[number + 1]]
+            weights = np.zeros((len(here), end - at), np.float32)
+            weights[row[some], place[some] - at] = counts[some]
+            out[here] += weights @ bound
+    for i, codes in piecewise.items():
+        sizes[i] = len(codes)
     return out, sizes
 
 
@@ -121,12 +161,11 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
         for batch in batches:
             texts, langs = batch.column("t").to_pylist(), batch.column("l").to_pylist()
             for name in set(langs):
-                for _, part in _chunks([t for t, l in zip(texts, langs) if l == name]):
-                    _, codes, n = _trigrams(part)
+                for _, codes, n in _groups([t for t, l in zip(texts, langs) if l == name]):
                     distinct, place = np.unique(codes, return_inverse=True)
                     total = np.bincount(place, n, len(distinct)).astype(np.float32)
-                    vector = (total @ _bind(distinct, dimensions)).astype(np.float64)
-                    sums[name] = sums.get(name, 0.0) + vector
+                    for at, end, bound in _slices(distinct, dimensions):
+                        sums[name] = sums.get(name, 0.0) + (total[at:end] @ bound).astype(np.float64)
         yield pa.RecordBatch.from_pydict(
             {"l": pa.array(list(sums), pa.string()),
              "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
@@ -153,6 +192,11 @@ def predicted(profiles: dict[str, list[float]], text: str = "text", dimensions:
 
     @F.pandas_udf("lang_pred string, score double, trigrams long")
     def identify(texts: pd.Series) -> pd.DataFrame:
+        if len(texts) <= ROWS:
+            return judged(texts)
+        return pd.concat([judged(texts.iloc[i:i + ROWS]) for i in range(0, len(texts), ROWS)], ignore_index=True)
+
+    def judged(texts: pd.Series) -> pd.DataFrame:
         vectors, sizes = _bundles([t if isinstance(t, str) else "" for t in texts], dimensions)
         length = np.linalg.norm(vectors, axis=1)
         if not names:

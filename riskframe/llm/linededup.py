@@ -5,7 +5,7 @@ threshold decide; lines near it get an exact distinct count. Of a line that reac
 only the first occurrence in the corpus (smallest doc_id, then place) stays.
 
 Lines are compared trimmed and in lower case, by 128 bits of hash. A null site counts as one
-unnamed site; lines shorter than ``min_chars`` never count as boilerplate.
+unnamed site; blank lines never count as boilerplate.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import stored, whole_text
 
 MIN_SITES = 8
-MIN_CHARS = 16
 #: log2 of the sketch's registers: a standard error of 1.6 per cent.
 LOG_REGISTERS = 12
 #: Estimates within this share of the threshold (one site at least) are counted exactly.
@@ -35,15 +34,15 @@ def _text_id(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _line_table(docs: DataFrame, text: str, site: str, min_chars: int) -> DataFrame:
-    """doc_id, dh (hash of the text), place, site and key of every line; no key where it is too short."""
+def _line_table(docs: DataFrame, text: str, site: str) -> DataFrame:
+    """doc_id, dh (hash of the text), place, site and key of every line; no key where it is blank."""
     whole = whole_text(text)
     rows = docs.select(
         "doc_id", _text_id(whole).alias("dh"),
         F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
         F.posexplode(_lines(whole)).alias("pos", "line"))
     line = F.lower(F.trim("line"))
-    counts = F.length(F.trim("line")) >= min_chars
+    counts = F.trim("line") != ""
     return rows.select("doc_id", "dh", "pos", "site",
                        F.when(counts, F.xxhash64(line)).alias("k1"),
                        F.when(counts, F.xxhash64(F.lit("second"), line)).alias("k2"))
@@ -67,15 +66,15 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
                   .select(*_KEY, "first"), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS,
-                text: str = "text", site: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
+                site: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines cut from the text, plus n_lines and n_removed.
 
     Null text counts as one empty line and becomes empty. Repeated rows count as one document and
     are all kept, as are rows without doc_id. An empty table gives an empty result. Columns of
     ``docs`` named n_lines or n_removed are replaced; all others stay.
     """
-    lines = stored(_line_table(docs, text, site, min_chars), "lines")
+    lines = stored(_line_table(docs, text, site), "lines")
     spread = boilerplate(lines, min_sites)
     if spread.count() <= BROADCAST_ROWS:
         spread = F.broadcast(spread)
@@ -124,7 +123,7 @@ WITH lines AS (
   SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
-keyed AS (SELECT *, CASE WHEN length(trim(line)) >= {MIN_CHARS} THEN lower(trim(line)) END AS k FROM lines),
+keyed AS (SELECT *, CASE WHEN trim(line) <> '' THEN lower(trim(line)) END AS k FROM lines),
 spread AS (SELECT k FROM keyed WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT site) >= {MIN_SITES}),
 marked AS (
   SELECT doc_id, pos, line,

@@ -2,8 +2,10 @@
 
 Documents of one link group (equal texts, for the query) are neighbours of each other. Every round
 counts each group's documents by shard, joins the counts back to the documents, and moves documents
-towards the shard that holds most of their neighbours, as far as its quota lasts. Documents without
-neighbours fill the gaps at the end, so that shard counts differ by one row at most.
+towards the shard that holds most of their neighbours, as far as its quota lasts. Small groups that
+lie in one shard make room for them: together they cut no edge wherever they are, so they go to the shards
+that the arriving documents leave. Documents without neighbours fill the gaps at the end, so that shard
+counts differ by one row at most; what does not fit goes by group.
 
 Groups with a thousandth of all rows or more are at most 1000, so their counts are broadcast and
 their documents never meet in one task; the other groups are joined by a shuffle.
@@ -33,6 +35,17 @@ def _quota(share: dict[tuple[int, int], float], shards: int) -> Column:
     return F.array(*[F.lit(float(share.get((s, t), 0.0))) for s in range(shards) for t in range(shards)])
 
 
+def _is_small(capacity: int) -> Column:
+    return F.col("n") * 8 < capacity
+
+
+def _by_group(capacity: int) -> Column:
+    """Order in which the rows of a small group are neighbours, and those of a large one are spread."""
+    doc = F.xxhash64("gid", "doc_id", "text_crc32")
+    group = F.shiftleft(F.shiftright(F.xxhash64("gid"), 24), 24)
+    return F.when(_is_small(capacity), group.bitwiseOR(F.shiftrightunsigned(doc, 40))).otherwise(doc)
+
+
 def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
     """Rounds of moves among linked documents; a shard takes about ``capacity`` of them at most."""
     state = stored(linked.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")),
@@ -55,8 +68,11 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
                     (F.col("best.s") != F.col("shard"))
                     & (F.struct(F.col("best.n"), F.col("best.u"))
                        > F.struct(F.get("held", F.col("shard")), _unit("gid", "shard"))), F.col("best.s")))
+                .withColumn("settled", _is_small(capacity) & (F.get("held", F.col("shard")) == F.col("n")))
                 .drop("held", "best"))
         wish = stored(wish, "wishes")
+        free = {r["shard"]: r["n"] for r in wish.where("settled").groupBy("shard")
+                .agg(F.count(F.lit(1)).alias("n")).collect()}
         asked = {(r["shard"], r["want"]): r["n"] for r in wish.where("want is not null")
                  .groupBy("shard", "want").agg(F.count(F.lit(1)).alias("n")).collect()}
         # two shards exchange as many rows as both ask for; free room takes more
@@ -64,13 +80,27 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
         over = {t: sum(n - swapped[x, y] for (x, y), n in asked.items() if y == t) for t in range(shards)}
         share = {(s, t): min(1.0, (swapped[s, t] + room[t] * (n - swapped[s, t]) / max(1, over[t])) / n)
                  for (s, t), n in asked.items()}
+        # settled groups of a shard give way to what is still not granted
+        unmet = {(s, t): n * (1 - share[s, t]) for (s, t), n in asked.items()}
+        given = {}
+        for t in range(shards):
+            due = sum(unmet.get((s, t), 0) for s in range(shards))
+            for s in range(shards):
+                rows = unmet.get((s, t), 0) * min(1, free.get(t, 0) / max(1, due))
+                given[t, s] = rows / max(1, free.get(t, 0))
+                if rows:
+                    share[s, t] += rows / asked[s, t]
+        ends = [sum(given[t, s] for s in range(last + 1)) for t in range(shards) for last in range(shards)]
         # groups move whole while they are small against a shard; documents of large groups one by one
-        draw = F.when(F.col("n") * 8 < capacity, _unit("gid", F.lit(turn))).otherwise(
-            _unit("doc_id", F.lit(turn)))
+        whole = _unit("gid", F.lit(turn))
+        draw = F.when(_is_small(capacity), whole).otherwise(_unit("doc_id", F.lit(turn)))
         moves = F.col("want").isNotNull() & (
             draw < F.get(_quota(share, shards), F.col("shard") * shards + F.col("want")))
-        moved = stored(wish.withColumn("shard", F.when(moves, F.col("want")).otherwise(F.col("shard")))
-                       .drop("want"), "shards")
+        mine = F.slice(F.array(*[F.lit(float(e)) for e in ends]), F.col("shard") * shards + 1, shards)
+        passed = F.size(F.filter(mine, lambda e: e <= whole))
+        gives_way = F.col("settled") & (passed < shards)
+        moved = stored(wish.withColumn("shard", F.when(moves, F.col("want")).when(gives_way, passed).otherwise(
+            F.col("shard"))).drop("want", "settled"), "shards")
         discard(state)
         discard(wish)
         state = moved
@@ -97,23 +127,24 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     linked = join_skewed(base, groups, hot, "gid")
     single = join_skewed(base, groups, hot, "gid", "left_anti")
 
-    state = _propagate(linked, hot, shards, -(-total // shards), rounds)
+    capacity = -(-total // shards)
+    state = _propagate(linked, hot, shards, capacity, rounds)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     over = [s for s in range(shards) if held.get(s, 0) > quota[s]]
     bits = bits_for(total // shards, ROWS_PER_SLICE)
     columns = ["doc_id", "size", "text_crc32", "shard"]
+    order = ["doc_id", "size", "text_crc32", "gid", "n"]
 
-    ranked = numbered(state.where(F.col("shard").isin(over)), ["shard"], F.xxhash64("doc_id", "text_crc32"),
-                      bits, "rank")
+    ranked = numbered(state.where(F.col("shard").isin(over)), ["shard"], _by_group(capacity), bits, "rank")
     fits = F.col("rank") < F.get(F.array(*[F.lit(q) for q in quota]), F.col("shard"))
     ranked = stored(ranked.withColumn("fits", fits), "ranked")
     stay = (state.where(~F.col("shard").isin(over)).select(columns)
             .unionByName(ranked.where("fits").select(columns)))
     # rows without a place, numbered over all shards, fill the gaps from the first shard on
-    loose = (single.select(columns[:3]).unionByName(ranked.where("not fits").select(columns[:3]))
-             .withColumn("all", F.lit(0)))
-    loose = numbered(loose, ["all"], F.xxhash64("doc_id", "text_crc32"), bits_for(total, ROWS_PER_SLICE), "rank")
+    loose = (single.withColumn("n", F.lit(1).cast("long")).select(order)
+             .unionByName(ranked.where("not fits").select(order)).withColumn("all", F.lit(0)))
+    loose = numbered(loose, ["all"], _by_group(capacity), bits_for(total, ROWS_PER_SLICE), "rank")
     shard, end = F.lit(None).cast("int"), 0
     ends = []
     for s in range(shards):

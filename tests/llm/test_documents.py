@@ -250,14 +250,15 @@ def test_components_of_a_long_path(spark):
 
 def test_line_dedup(spark, awkward, no_rows):
     docs = spark.createDataFrame(
-        [(i, f"Own line number {i} here\nThis line is on all sites\nshort\nThis line is on all sites", None, f"s{i % n}")
+        [(i, f"Own line number {i} here\nThis line is on all sites\nok\n \nThis line is on all sites", None, f"s{i % n}")
          for n in (12,) for i in range(36)]
         + [(100 + i, "This line is only on two sites", None, f"s{i % 2}") for i in range(40)],
         "doc_id long, text string, lang string, source string")
     found = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
-    assert found[0]["text"] == "Own line number 0 here\nThis line is on all sites\nshort"
-    assert found[0]["n_removed"] == 1 and found[35]["n_removed"] == 2 and found[35]["n_lines"] == 4
-    assert found[35]["text"] == "Own line number 35 here\nshort"
+    assert found[0]["text"] == "Own line number 0 here\nThis line is on all sites\nok\n "
+    # short lines count like any other, blank ones never
+    assert found[0]["n_removed"] == 1 and found[35]["n_removed"] == 3 and found[35]["n_lines"] == 5
+    assert found[35]["text"] == "Own line number 35 here\n "
     assert all(found[100 + i]["n_removed"] == 0 for i in range(40))
     out = linededup.dedup_lines(awkward)
     assert set(awkward.columns) <= set(out.columns)

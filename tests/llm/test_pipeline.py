@@ -44,7 +44,7 @@ def _lines(docs):
         lines = []
         for line in d["text"].split("\n"):
             key = line.strip(" ").lower()
-            spread = len(line.strip(" ")) >= linededup.MIN_CHARS and len(sites[key]) >= linededup.MIN_SITES
+            spread = line.strip(" ") != "" and len(sites[key]) >= linededup.MIN_SITES
             if not spread or key not in seen:
                 lines.append(line)
             if spread:
