@@ -77,8 +77,13 @@ def _is_cut(tag: str, attrs: dict[str, str | None], in_main: bool) -> bool:
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
     if names == " " or tag in _HEADINGS or tag == "main":
         return False
-    words = {w.lower() for w in _WORD.findall(names)}
-    return not words.isdisjoint(_CUT_WORDS) or (_HEADER in words and not in_main)
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        marks = sum(w in _CUT_WORDS for w in words)
+        # inside an article a mark is half of a name at least: a discussion-of-results stays
+        if marks * 2 >= len(words) > 0 or (not in_main and (marks or _HEADER in words)):
+            return True
+    return False
 
 
 class _Tree(HTMLParser):
@@ -228,7 +233,7 @@ def _blocks(top: _Node) -> list[str]:
             flush()
         elif item.tag == "br":
             line.append(" ")
-        elif not item.cut and not (item is not top and _link_list(item)):
+        elif not item.cut and not (item is not top and not item.main and _link_list(item)):
             if item.tag not in _INLINE:
                 flush()
                 todo.append((item, True))

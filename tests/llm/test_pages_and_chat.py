@@ -75,3 +75,13 @@ def test_page_rows(spark):
     assert sorted(tuple(r) for r in extract_pages(df).collect()) == [
         (1, "u", "a, b", 4), (1, "u", "a, b", 4), (2, None, "", 0)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_article_content_that_looks_like_surroundings_stays():
+    links = "".join(f"<li><a href='#{i}'>Reference {i}</a></li>" for i in range(3))
+    page = (f"<article><p>One, two, three and more text here.</p><ul>{links}</ul>"
+            "<div class='discussion-of-results'><p>Results text.</p></div>"
+            "<div class='comment-list'><p>A reader says</p></div><p>End of it, fine.</p></article>")
+    assert main_text(page).split("\n\n") == [
+        "One, two, three and more text here.", "Reference 0", "Reference 1", "Reference 2", "Results text.",
+        "End of it, fine."]
