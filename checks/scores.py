@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.views import Tables, nudge_of, rounded, sql_rounded, with_views
-from riskframe.operators import audit, encoding, metrics, prefix, splits
+from riskframe.operators import audit, encoding, metrics, neighbours, prefix, splits
 
 QUERIES, SQL = {}, {}
 
@@ -348,25 +348,20 @@ def _(t):
     return encoded.groupBy("flag").agg(F.count("*").alias("n"), F.max("enc").alias("enc"))
 
 
-def _cell(c: str) -> str:
-    z = f"({c} - m_{c}) / s_{c}"
-    return f"CAST(least(floor((greatest(least({z}, 3), -3) + 3) / 6 * 16), 15) AS INT)"
-
-
-_NLEV = "SELECT *, " + ", ".join(
-    f"sum(n) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}) - sum(n) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}, fold) AS n{l}, "
-    f"sum(y) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}) - sum(y) OVER (PARTITION BY a >> {4 - l}, b >> {4 - l}, fold) AS y{l}"
-    for l in (4, 3, 2, 1)) + " FROM cells"
-
-
-@query("neighbour_encode", with_views("scored", "SELECT fold, count(*) AS n, round(avg(e), 6) AS mean_enc, round(max(e), 6) AS top FROM "
-    "(SELECT fold, coalesce(" + ", ".join(f"CASE WHEN n{l} >= 500 THEN y{l} / n{l}::DOUBLE END" for l in (4, 3, 2, 1))
-    + ", (SELECT avg(label) FROM scored o WHERE o.fold <> r.fold)) AS e FROM r JOIN lev USING (a, b, fold)) GROUP BY 1",
-    st="SELECT avg(score_b) AS m_score_b, stddev_pop(score_b) AS s_score_b, avg(score_c) AS m_score_c, stddev_pop(score_c) AS s_score_c FROM scored",
-    r=f"SELECT fold, label, {_cell('score_b')} AS a, {_cell('score_c')} AS b FROM scored, st",
-    cells="SELECT a, b, fold, count(*) AS n, sum(label) AS y FROM r GROUP BY ALL", lev=_NLEV))
+@query("neighbour_encode", with_views("scored", """SELECT fold, count(*) AS n, round(avg(e), 6) AS mean_enc, round(max(e), 6) AS top
+    FROM r JOIN best USING (a, b, fold) GROUP BY 1""",
+    r="SELECT score_a AS a, round(score_c * 10 + 1e-9) AS b, fold, label FROM scored",
+    st="SELECT stddev_pop(a) AS s_a, stddev_pop(b) AS s_b FROM r",
+    pts="SELECT a, b, fold, count(*) AS n, sum(label) AS y FROM r GROUP BY ALL",
+    d="""SELECT q.a, q.b, q.fold, p.n, p.y, ((q.a - p.a) / s_a) ** 2 + ((q.b - p.b) / s_b) ** 2 AS away
+      FROM pts q JOIN pts p ON q.fold <> p.fold, st""",
+    c="SELECT *, sum(n) OVER (PARTITION BY a, b, fold ORDER BY away ROWS UNBOUNDED PRECEDING) AS cum FROM d",
+    k="SELECT a, b, fold, coalesce(min(away) FILTER (WHERE cum >= 500), max(away)) AS reach FROM c GROUP BY ALL",
+    best="""SELECT a, b, fold, sum(y) / sum(n) AS e FROM d JOIN k USING (a, b, fold)
+      WHERE away <= reach * (1 + 1e-9) GROUP BY ALL"""))
 def _(t):
-    encoded = encoding.encode_neighbours(t.scored(), ["score_b", "score_c"], "label", "fold")
+    rows = t.scored().withColumn("tenths", F.round(F.col("score_c") * 10 + 1e-9))
+    encoded = neighbours.encode_neighbours(rows, ["score_a", "tenths"], "label", "fold")
     e = F.col("neighbour_enc")
     return encoded.groupBy("fold").agg(F.count("*").alias("n"), F.avg(e).alias("mean_enc"),
                                        F.max(e).alias("top"))

@@ -1,14 +1,13 @@
-"""Scaling, target encoding, rank averages and neighbour encoding."""
+"""Scaling, target encoding and rank averages."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.binning import observed
-from riskframe.operators.prefix import average_rank, wide_quantiles
+from riskframe.operators.prefix import average_rank
 
 
 def fit_minmax(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -77,73 +76,3 @@ def rank_average(df: DataFrame, scores: list[str], key: Sequence[str], group: Se
     total = sum((F.col(f"_rank{i}") for i in range(1, len(scores))), F.col("_rank0"))
     return out.withColumn(name, total / len(scores)).drop(
         *[f"_rank{i}" for i in range(len(scores))])
-
-
-def neighbour_cells(train: DataFrame, columns: list[str], levels: int
-                    ) -> dict[str, Column]:
-    """Grid coordinates of a row in standardised space, 2^levels cells per column.
-
-    Missing values sit at the median. Values beyond three standard deviations share the
-    outermost cell.
-    """
-    values = train.select(*[observed(c).alias(c) for c in columns])
-    medians = {r["feature"]: r["quantile"] for r in
-               wide_quantiles(values, columns, [0.5]).collect()}
-    filled = {c: F.coalesce(observed(c), F.lit(medians.get(c, 0.0))) for c in columns}
-    stats = train.agg(*[F.avg(v).alias(f"{c}__m") for c, v in filled.items()],
-                      *[F.stddev_pop(v).alias(f"{c}__s") for c, v in filled.items()]).first()
-    size = 2 ** levels
-    out = {}
-    for i, (c, v) in enumerate(filled.items()):
-        z = (v - stats[f"{c}__m"]) / (stats[f"{c}__s"] or 1.0)
-        place = F.floor((F.greatest(F.least(z, F.lit(3.0)), F.lit(-3.0)) + 3.0) / 6.0 * size)
-        out[f"_c{i}"] = F.least(place, F.lit(size - 1)).cast("int")
-    return out
-
-
-def encode_neighbours(train: DataFrame, columns: list[str], target: str, fold: str,
-                      test: DataFrame | None = None, k: int = 500, levels: int = 4,
-                      name: str = "neighbour_enc", most_cells: int = 2_000_000) -> DataFrame:
-    """Mean target of at least ``k`` training rows around each row.
-
-    The neighbourhood is the smallest cell of a dyadic grid that holds the row and ``k``
-    training rows from other folds. Rows collapse to counts per (cell, fold), so the
-    cost is linear, no pair of rows is ever formed, and a cell with very many rows is
-    one line. Coarser levels are roll-ups of that table, whose size the grid bounds.
-
-    Returns the training rows, encoded without their own fold, or ``test`` rows encoded
-    from all training rows.
-    """
-    if 2 ** (levels * len(columns)) > most_cells:
-        raise ValueError("grid too fine: lower levels or use fewer columns")
-    place = neighbour_cells(train, columns, levels)
-    coords = list(place)
-    cells = train.groupBy(*[v.alias(c) for c, v in place.items()],
-                          F.col(fold).alias("_fold")).agg(
-        F.count("*").alias("_n"), F.sum(target).cast("double").alias("_y"))
-    if test is not None:
-        asked = test.select(*[v.alias(c) for c, v in place.items()]).distinct()
-        # asked cells enter the table as a fold of their own, without rows
-        cells = cells.withColumn("_fold", F.lit(-1)).unionByName(asked.withColumns(
-            {"_fold": F.lit(0), "_n": F.lit(0).cast("long"), "_y": F.lit(0.0)}))
-    choice = F.lit(None).cast("double")
-    table = cells
-    for level in range(levels, 0, -1):
-        at = [F.shiftright(c, levels - level) for c in coords]
-        every, own = Window.partitionBy(*at), Window.partitionBy(*at, "_fold")
-        n = F.sum("_n").over(every) - F.sum("_n").over(own)
-        y = F.sum("_y").over(every) - F.sum("_y").over(own)
-        table = table.withColumns({f"_n{level}": n, f"_y{level}": y})
-        found = F.when(F.col(f"_n{level}") >= k, F.col(f"_y{level}") / F.col(f"_n{level}"))
-        choice = F.coalesce(choice, found)
-    if test is not None:
-        rate = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
-        means = table.where("_fold = 0").select(*coords, F.coalesce(choice, F.lit(rate)).alias(name))
-        return test.withColumns(place).join(means, coords, "left").drop(*coords)
-    sums = train.groupBy(fold).agg(F.count("*").alias("n"), F.sum(target).alias("y")).collect()
-    n_all, y_all = sum(r["n"] for r in sums), sum(r["y"] for r in sums)
-    rest = F.create_map(*[x for r in sums for x in (
-        F.lit(r[fold]), F.lit((y_all - r["y"]) / max(n_all - r["n"], 1)))])
-    means = table.select(*coords, F.col("_fold").alias(fold),
-                         F.coalesce(choice, rest[F.col("_fold")]).alias(name))
-    return train.withColumns(place).join(means, [*coords, fold], "left").drop(*coords)
