@@ -32,8 +32,7 @@ from riskframe.llm.common import stored
 from riskframe.llm.mphf import KeyTable, PerfectHash
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Stretches remembered per worker; a full memo becomes the older one, from which used ones come back.
-#: Longer stretches are not remembered.
+#: Stretches remembered per worker. Longer stretches are not remembered.
 MEMO, MEMO_CHARS = 300_000, 64
 #: Stretches encoded in one call.
 ROW = 200
@@ -77,6 +76,14 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Memo:
+    """What is known of stretches; a full one becomes the older one, from which used ones come back."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+
 class Pair:
     """Both tokenizers with the bytes of their tokens, and the memo of aligned stretches."""
 
@@ -106,8 +113,7 @@ class Pair:
         # an id as text with each mark behind it, by mark * width + id
         self.width = max(len(self.a_bytes), len(self.b_bytes))
         self.texts = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.width)]
-        self.memo: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.memo = Memo()
 
     def _encode_second(self, parts: list[str]) -> list[list[int]]:
         """Ids of stretches; the library itself puts the space in front, which others do without."""
@@ -151,31 +157,30 @@ class Pair:
         raw_links, cuts = links.tobytes(), (8 * (last + 1)).tolist()
         return list(zip(n_a, n_b, n_groups, texts, (raw_links[i:j] for i, j in zip([0, *cuts], cuts))))
 
-    def batch(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple]]:
-        """Stretches of each text, and what is known of each stretch.
+    def batch(self, texts: list[str | None], memo: Memo, extend=None) -> tuple[list[list[str]], dict[str, tuple]]:
+        """Stretches of each text, and what is known of each stretch, passed through ``extend`` before it is kept.
 
         A text has no stretches if it has no tokens or its bytes differ from those of its tokens.
         """
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
+        if len(memo.now) > MEMO:
+            memo.older, memo.now = memo.now, {}
         cut = [stretches(" " + t) if t else [] for t in texts]
-        fresh = set().union(*cut).difference(self.memo)
-        again = [p for p in fresh if p in self.older]
-        self.memo.update(zip(again, map(self.older.__getitem__, again)))
+        fresh = set().union(*cut).difference(memo.now)
+        again = fresh.intersection(memo.older) if memo.older else ()
+        memo.now.update(zip(again, map(memo.older.__getitem__, again)))
         fresh = sorted(fresh.difference(again), key=lambda p: p[-1] in _LOOSE)
         found = self._align(fresh) if fresh else []
         bad: set[str] = set()
         if found is None:
             alone = [self._align([p]) for p in fresh]
             bad = {p for p, x in zip(fresh, alone) if x is None}
-            known = {p: x[0] for p, x in zip(fresh, alone) if x is not None}
-        else:
-            known = dict(zip(fresh, found))
-        short = {p: x for p, x in known.items() if len(p) <= MEMO_CHARS}
-        self.memo.update(short)
+            fresh, found = zip(*[(p, x[0]) for p, x in zip(fresh, alone) if x is not None]) if len(bad) < len(fresh) else ((), ())
         if bad:
             cut = [parts if bad.isdisjoint(parts) else [] for parts in cut]
-        return cut, self.memo if len(short) == len(known) else {**self.memo, **known}
+        known = dict(zip(fresh, extend(found) if extend and found else found))
+        short = {p: x for p, x in known.items() if len(p) <= MEMO_CHARS}
+        memo.now.update(short)
+        return cut, memo.now if len(short) == len(known) else {**memo.now, **known}
 
 
 @lru_cache(maxsize=2)
@@ -213,7 +218,7 @@ def _partial_sums(first: str, second: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, held, size = pair_of(first, second), [], 0
         for batch in _small_batches(batches):
-            held.append(_link_counts(*tools.batch(batch.column("t").to_pylist())))
+            held.append(_link_counts(*tools.batch(batch.column("t").to_pylist(), tools.memo)))
             size += len(held[-1][0])
             if size > 2 * FLUSH:
                 held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
@@ -314,44 +319,44 @@ _ARROW = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in (
     "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", pa.string())])
 
 
-def _sums(parts: list[tuple]) -> tuple[int, int, int, str, list[bytes]]:
-    """n_a, n_b, n_groups, groups_sha256 and links of a text from its stretches."""
-    if not parts:
-        return 0, 0, 0, "", []
-    n_a, n_b, n_groups, texts, links = zip(*parts)
-    return sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(texts).encode()).hexdigest(), links
+def _digest(groups: tuple[str, ...]) -> str:
+    return hashlib.sha256(";".join(groups).encode()).hexdigest()
 
 
-#: Sums per stretch's links that a worker has looked up, for one table at a time.
-_SEEN: dict[str, dict[bytes, tuple[int, int, int]]] = {}
+#: What a worker knows of stretches and their counts, for one table at a time.
+_COUNTED: dict[str, Memo] = {}
 
 
 def _look_up_here(first: str, second: str, shared, run_id: str):
-    """Second pass with the whole table at hand; links of a stretch are looked up once while remembered."""
+    """Second pass with the whole table at hand; the links of a stretch are looked up when it is aligned."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, (tables, top) = pair_of(first, second), shared.value
         table = KeyTable(PerfectHash.from_bytes(tables[0]), np.frombuffer(tables[1], np.uint64).reshape(-1, 1))
         counts = np.frombuffer(tables[2], np.int64)
-        seen = _SEEN.get(run_id, {})
-        _SEEN.clear()
+        tools.memo = Memo()  # of the first pass
+        if run_id not in _COUNTED:
+            _COUNTED.clear()
+            _COUNTED[run_id] = Memo()
+
+        def counted(found: list[tuple]) -> Iterator[tuple]:
+            n_a, n_b, n_groups, texts, links = zip(*found)
+            n, best = _counted(np.frombuffer(b"".join(links), np.uint64), table, counts, top)
+            sizes = [len(x) // 8 for x in links]
+            at = np.cumsum([0, *sizes[:-1]])
+            return zip(n_a, n_b, n_groups, sizes, np.add.reduceat(best.astype(np.int64), at).tolist(),
+                       np.add.reduceat(n, at).tolist(), texts)
+
         for batch in _small_batches(batches):
-            cut, known = tools.batch(batch.column("t").to_pylist())
-            if len(seen) > MEMO:
-                seen = {}
-            fresh = [x for x in {known[p][4] for p in set().union(*cut)} if x not in seen]
-            if fresh:
-                n, best = _counted(np.frombuffer(b"".join(fresh), np.uint64), table, counts, top)
-                at = np.cumsum([0, *[len(x) // 8 for x in fresh[:-1]]])
-                seen.update(zip(fresh, zip([len(x) // 8 for x in fresh], np.add.reduceat(
-                    best.astype(np.int64), at).tolist(), np.add.reduceat(n, at).tolist())))
+            cut, known = tools.batch(batch.column("t").to_pylist(), _COUNTED[run_id], counted)
             out = []
             for doc, parts in zip(batch.column("doc_id").to_pylist(), cut):
-                n_a, n_b, n_groups, digest, links = _sums(list(map(known.__getitem__, parts)))
-                sums = map(sum, zip(*map(seen.__getitem__, links))) if links else (0, 0, 0)
-                out.append((doc, n_a, n_b, n_groups, *sums, digest))
+                if parts:
+                    *numbers, texts = zip(*map(known.__getitem__, parts))
+                    out.append((doc, *map(sum, numbers), _digest(texts)))
+                else:
+                    out.append((doc, 0, 0, 0, 0, 0, 0, ""))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)],
                                              schema=_ARROW)
-        _SEEN[run_id] = seen
 
     return run
 
@@ -365,11 +370,12 @@ def _send_pairs(first: str, second: str):
         tools = pair_of(first, second)
         for batch in _small_batches(batches):
             out = []
-            cut, known = tools.batch(batch.column("t").to_pylist())
+            cut, known = tools.batch(batch.column("t").to_pylist(), tools.memo)
             for doc, parts in zip(batch.column("doc_id").to_pylist(), cut):
                 pairs, times = _link_counts([parts], known)
-                n_a, n_b, n_groups, digest, _ = _sums(list(map(known.__getitem__, parts)))
-                out.append((doc, n_a, n_b, n_groups, int(times.sum()), digest, pairs.astype(np.int64), times))
+                n_a, n_b, n_groups, texts, _ = zip(*map(known.__getitem__, parts)) if parts else ((),) * 5
+                out.append((doc, sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), _digest(texts) if parts else "",
+                            pairs.astype(np.int64), times))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)],
                                              schema=schema)
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import HOT_SHARE, bits_for, discard, join_skewed, numbered, stored, whole_text
 
 SHARDS = 16
-ROUNDS = 8
+ROUNDS = 16
 #: A group takes no more rows into a shard of which it has this part.
-FILLED = 0.95
+FILLED = 0.9
 ROWS_PER_SLICE = 200_000
 
 
@@ -40,10 +40,11 @@ def _is_small(capacity: int) -> Column:
 
 
 def _by_group(capacity: int) -> Column:
-    """Order in which the rows of a small group are neighbours, and those of a large one are spread."""
-    doc = F.xxhash64("gid", "doc_id", "text_crc32")
-    group = F.shiftleft(F.shiftright(F.xxhash64("gid"), 24), 24)
-    return F.when(_is_small(capacity), group.bitwiseOR(F.shiftrightunsigned(doc, 40))).otherwise(doc)
+    """Order that has the rows of large groups first, spread, and then small groups one after the other."""
+    doc, positive = F.xxhash64("gid", "doc_id", "text_crc32"), F.lit((1 << 63) - 1)
+    group = F.shiftleft(F.shiftright(F.xxhash64("gid"), 24), 24).bitwiseAND(positive)
+    return F.when(_is_small(capacity), group.bitwiseOR(F.shiftrightunsigned(doc, 40))).otherwise(
+        doc.bitwiseOR(F.lit(-(1 << 63))))
 
 
 def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
@@ -51,23 +52,30 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
     state = stored(linked.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")),
                    "shards")
     total = state.count()
+    closed: set[int] = set()  # shards that have hardly a settled group left to make room for a large one
     for turn in range(rounds):
         held = {r["shard"]: r["n"] for r in
                 state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         room = {s: max(0, capacity - held.get(s, 0)) for s in range(shards)}
-        neighbours = state.groupBy("gid").agg(F.array(
+        neighbours = state.groupBy("gid").agg(F.first("n").alias("n"), F.array(
             *[F.sum((F.col("shard") == s).cast("long")) for s in range(shards)]).alias("held"))
-        # the shard with most neighbours, passing over those that the group fills by itself; equal
-        # counts fall to a hash, so that groups spread evenly
+        # the shard with most neighbours, passing over those that the group fills by itself; of equal counts,
+        # small groups take a shard that is not overfull, then a hash decides, so that groups spread evenly
+        open_to = F.array(*[F.lit(2.0 if held.get(s, 0) <= capacity else 0.0) for s in range(shards)])
+
+        def appeal(shard: Column) -> Column:
+            return F.when(_is_small(capacity), F.get(open_to, shard)).otherwise(0.0) + _unit("gid", shard)
+
         best = F.greatest(*[F.struct(
-            F.when(F.col("held")[s] < FILLED * capacity, F.col("held")[s]).otherwise(F.lit(-1)).alias("n"),
-            _unit("gid", F.lit(s)).alias("u"), F.lit(s).alias("s")) for s in range(shards)])
+            F.when((F.col("held")[s] < FILLED * capacity) & (_is_small(capacity) | F.lit(s not in closed)),
+                   F.col("held")[s]).otherwise(F.lit(-1)).alias("n"),
+            appeal(F.lit(s)).alias("u"), F.lit(s).alias("s")) for s in range(shards)])
         votes = neighbours.select("gid", "held", best.alias("best"))
         wish = (join_skewed(state, votes, hot, "gid")
                 .withColumn("want", F.when(
                     (F.col("best.s") != F.col("shard"))
                     & (F.struct(F.col("best.n"), F.col("best.u"))
-                       > F.struct(F.get("held", F.col("shard")), _unit("gid", "shard"))), F.col("best.s")))
+                       > F.struct(F.get("held", F.col("shard")), appeal(F.col("shard")))), F.col("best.s")))
                 .withColumn("settled", _is_small(capacity) & (F.get("held", F.col("shard")) == F.col("n")))
                 .drop("held", "best"))
         wish = stored(wish, "wishes")
@@ -82,12 +90,16 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
                  for (s, t), n in asked.items()}
         # settled groups of a shard give way to what is still not granted
         unmet = {(s, t): n * (1 - share[s, t]) for (s, t), n in asked.items()}
-        given = {}
+        given, shut = {}, set()
         for t in range(shards):
+            # and an overfull one sends some of them where room is left
+            relief = min(max(0, held.get(t, 0) - capacity), free.get(t, 0))
             due = sum(unmet.get((s, t), 0) for s in range(shards))
+            if (free.get(t, 0) - relief) * 20 <= capacity:
+                shut.add(t)
             for s in range(shards):
-                rows = unmet.get((s, t), 0) * min(1, free.get(t, 0) / max(1, due))
-                given[t, s] = rows / max(1, free.get(t, 0))
+                rows = unmet.get((s, t), 0) * min(1, (free.get(t, 0) - relief) / max(1, due))
+                given[t, s] = (rows + relief * room[s] / max(1, sum(room.values()))) / max(1, free.get(t, 0))
                 if rows:
                     share[s, t] += rows / asked[s, t]
         ends = [sum(given[t, s] for s in range(last + 1)) for t in range(shards) for last in range(shards)]
@@ -104,8 +116,9 @@ def _propagate(linked: DataFrame, hot: DataFrame, shards: int, capacity: int, ro
         discard(state)
         discard(wish)
         state = moved
-        if sum(n * share[pair] for pair, n in asked.items()) * 1000 < total:
+        if shut == closed and sum(n * share[pair] for pair, n in asked.items()) * 1000 < total:
             break
+        closed = shut
     return state
 
 
