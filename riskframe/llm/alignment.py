@@ -170,13 +170,13 @@ class Pair:
         memo.now.update(zip(again, map(memo.older.__getitem__, again)))
         fresh = sorted(fresh.difference(again), key=lambda p: p[-1] in _LOOSE)
         found = self._align(fresh) if fresh else []
-        bad: set[str] = set()
         if found is None:
-            alone = [self._align([p]) for p in fresh]
-            bad = {p for p, x in zip(fresh, alone) if x is None}
-            fresh, found = zip(*[(p, x[0]) for p, x in zip(fresh, alone) if x is not None]) if len(bad) < len(fresh) else ((), ())
-        if bad:
+            alone = {p: self._align([p]) for p in fresh}
+            bad = {p for p, x in alone.items() if x is None}
             cut = [parts if bad.isdisjoint(parts) else [] for parts in cut]
+            # stretches of left-out texts only are not counted, so nothing is known of them
+            fresh = list(set().union(*cut).intersection(alone))
+            found = [alone[p][0] for p in fresh]
         known = dict(zip(fresh, extend(found) if extend and found else found))
         short = {p: x for p, x in known.items() if len(p) <= MEMO_CHARS}
         memo.now.update(short)
