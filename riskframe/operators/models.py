@@ -11,13 +11,12 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import RegressionEvaluator
+import numpy as np
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import MISSING
@@ -80,9 +79,38 @@ def fit_scorecard_model(train: DataFrame, columns: Sequence[str], label: str,
     return LinearScore(columns, raw, means, float(model.intercept))
 
 
+class BoostedScore:
+    """Fitted trees over named columns: scores batches and streams alike, and can be kept and read again."""
+
+    def __init__(self, columns: list[str], model: GBTClassificationModel):
+        self.columns, self.model = columns, model
+
+    @property
+    def importances(self) -> dict[str, float]:
+        return dict(zip(self.columns, self.model.featureImportances.toArray().tolist()))
+
+    def __call__(self, df: DataFrame, name: str = "score") -> DataFrame:
+        out = self.model.transform(assembled(df, self.columns))
+        value = vector_to_array(F.col("probability")).getItem(1)
+        return out.withColumn("_p", value).drop(
+            "_x", "rawPrediction", "probability", "prediction").withColumnRenamed("_p", name)
+
+    def save(self, folder: str) -> None:
+        """Trees and column list below ``folder``, in the format of Spark ML, replacing what is there."""
+        self.model.write().overwrite().save(f"{folder}/trees")
+        spark = SparkSession.active()
+        (spark.createDataFrame(list(enumerate(self.columns)), "place int, name string").coalesce(1)
+         .write.mode("overwrite").json(f"{folder}/columns"))
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> BoostedScore:
+        rows = spark.read.schema("place int, name string").json(f"{folder}/columns").orderBy("place").collect()
+        return cls([r["name"] for r in rows], GBTClassificationModel.load(f"{folder}/trees"))
+
+
 def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, trees: int = 50,
                 depth: int = 5, step: float = 0.1, balanced: bool = True,
-                seed: int = 42) -> Scorer:
+                seed: int = 42) -> BoostedScore:
     """Gradient-boosted trees; ``balanced`` weights positives by negatives / positives."""
     data, extra = train, {}
     if balanced:
@@ -93,14 +121,7 @@ def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, trees: int
                           stepSize=step, seed=seed, **extra).fit(
         assembled(data.select(label, *extra.values(), *columns), columns))
 
-    def score(df: DataFrame, name: str = "score") -> DataFrame:
-        out = model.transform(assembled(df, columns))
-        value = vector_to_array(F.col("probability")).getItem(1)
-        return out.withColumn("_p", value).drop(
-            "_x", "rawPrediction", "probability", "prediction").withColumnRenamed("_p", name)
-
-    score.importances = dict(zip(columns, model.featureImportances.toArray().tolist()))
-    return score
+    return BoostedScore(list(columns), model)
 
 
 def fold_pairs(df: DataFrame, label: str, key: Sequence[str], time: str | None = None,
@@ -245,24 +266,62 @@ def fit_logistic_stack(df: DataFrame, scores: Sequence[str], label: str) -> Line
     return fit_scorecard_model(df.dropna(subset=list(scores)), scores, label)
 
 
+class RidgeScore:
+    """Linear score clipped to [0, 1], with the penalty it was fitted with."""
+
+    def __init__(self, columns: list[str], weights: list[float], base: float, penalty: float):
+        self.columns, self.weights, self.base, self.penalty = columns, weights, base, penalty
+
+    def raw(self) -> Column:
+        return reduce(lambda a, b: a + b, [w * F.col(c) for w, c in zip(self.weights, self.columns)], F.lit(self.base))
+
+    def __call__(self, frame: DataFrame, name: str = "score") -> DataFrame:
+        return frame.withColumn(name, F.greatest(F.least(self.raw(), F.lit(1.0)), F.lit(0.0)))
+
+
+def _gram(df: DataFrame, columns: Sequence[str], label: str, folds: int, seed: int) -> np.ndarray:
+    """Sums of products of (1, columns, label) per fold, from one pass; folds go by a hash of the values."""
+    values = [F.lit(1.0), *[F.col(c).cast("double") for c in columns], F.col(label).cast("double")]
+    fold = F.pmod(F.xxhash64(*values, F.lit(seed)), F.lit(folds))
+    size = len(values)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = df.select(fold.alias("_f"), *[v.alias(f"_v{i}") for i, v in enumerate(values)]).groupBy("_f").agg(
+        *[F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")).alias(f"_s{i}_{j}") for i, j in pairs])
+    out = np.zeros((folds, size, size))
+    for row in sums.collect():
+        for i, j in pairs:
+            out[row["_f"], i, j] = out[row["_f"], j, i] = row[f"_s{i}_{j}"]
+    return out
+
+
+def _ridge(gram: np.ndarray, penalty: float) -> np.ndarray:
+    """Base and weights that minimise half the mean squared error plus half the penalty times the squared weights."""
+    left = gram[:-1, :-1] / max(gram[0, 0], 1.0)
+    left = left + penalty * np.diag([0.0] + [1.0] * (len(left) - 1))
+    return np.linalg.lstsq(left, gram[:-1, -1] / max(gram[0, 0], 1.0), rcond=None)[0]
+
+
 def fit_ridge_stack(df: DataFrame, scores: Sequence[str], label: str,
                     penalties: Sequence[float] = (0.01, 0.1, 1.0, 10.0), folds: int = 5,
-                    seed: int = 42) -> Scorer:
-    """Ridge on the scores with the penalty chosen by cross-validation; output clipped to [0, 1]."""
-    data = assembled(df.dropna(subset=list(scores)), scores)
-    rows = max(data.count(), 1)
-    ridge = LinearRegression(featuresCol="_x", labelCol=label, standardization=False)
-    grid = ParamGridBuilder().addGrid(ridge.regParam, [p / rows for p in penalties]).build()
-    best = CrossValidator(estimator=ridge, estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                          evaluator=RegressionEvaluator(labelCol=label)).fit(data).bestModel
-    weights, base = [float(w) for w in best.coefficients], float(best.intercept)
-
-    def score(frame: DataFrame, name: str = "score") -> DataFrame:
-        total = reduce(lambda a, b: a + b, [w * F.col(s) for w, s in zip(weights, scores)],
-                       F.lit(base))
-        return frame.withColumn(name, F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)))
-
-    return score
+                    seed: int = 42) -> RidgeScore:
+    """Ridge on the scores with the penalty chosen by cross-validation; output clipped to [0, 1].
+
+    One pass sums the products per fold; each fit without a fold is the total minus that fold's sums.
+    """
+    grams = _gram(df.dropna(subset=list(scores)), scores, label, folds, seed)
+    total = grams.sum(axis=0)
+    rows = max(total[0, 0], 1.0)
+
+    def loss(penalty: float) -> float:
+        out = 0.0
+        for gram in grams:
+            wrong = np.append(_ridge(total - gram, penalty / rows), -1.0)
+            out += wrong @ gram @ wrong
+        return out
+
+    best = min(penalties, key=loss)
+    fitted = _ridge(total, best / rows)
+    return RidgeScore(list(scores), [float(w) for w in fitted[1:]], float(fitted[0]), best / rows)
 
 
 def calibrated_stack(df: DataFrame, scores: Sequence[str], label: str, key: Sequence[str],

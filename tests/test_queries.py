@@ -10,7 +10,7 @@ from checks.compare import connect, same
 # the training-data queries have tests of their own
 QUERIES = {k: v for k, v in driver.queries().items() if not re.match(r"op\d+_|pipeline$", k)}
 ORACLE = {k: v for k, v in driver.oracle_sql().items() if k in QUERIES}
-# fits on the smallest data set that only take time here; they run in test_models
+# fits without SQL; the laws they obey are compared by the queries of checks/laws.py
 SLOW = {"scorecard_store", "tree_store", "auto_store", "boosted_oof", "imbalance", "shift_report",
         "learning_curve", "calibrated_stack", "subset_ablation", "scorecard_fit", "ridge_stack",
         "stack", "calibrate", "history_store", "extended_store", "score_batch"}
