@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import stored
+from riskframe.llm.common import stored, tokenizer_path
 from riskframe.llm.mphf import KeyTable, PerfectHash
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -56,12 +56,6 @@ _UNUSUAL = (*_PAIRS, *sorted({*_LOOSE, "\x00"} - {" ", "\n"}))
 _UNUSUAL_ASCII = tuple(x for x in _UNUSUAL if x.isascii())
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def stretches(text: str) -> list[str]:
     """The text in pieces that both tokenizers encode apart; a piece starts with its white space."""
     if any(c in text for c in (_UNUSUAL_ASCII if text.isascii() else _UNUSUAL)):

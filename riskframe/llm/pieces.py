@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+from riskframe.llm.common import tokenizer_path
+
+MODEL = tokenizer_path("piece_bpe_32k.model")
 MARK = "▁"
 #: Stands for a literal MARK of the text; no valid text holds a lone surrogate.
 LITERAL = "\ud800"

@@ -206,7 +206,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", list_limit: int = LIST_
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with their own columns, that are the first of their group of near-duplicates."""
+    """Rows of ``docs``, with their own columns, that are the first of their group of near-duplicates.
+
+    The first is the row of the smallest doc_id, which is taken as a key: rows that repeat the smallest id all
+    stay, and so do rows without one. Null and blank texts are near-duplicates of each other. An empty table
+    gives an empty result.
+    """
     groups = near_duplicates(docs.select("doc_id", "text"))
     later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
     return docs.join(later, docs["doc_id"] == F.col("_later"), "left_anti")

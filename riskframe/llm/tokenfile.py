@@ -2,7 +2,7 @@
 
 Ids are cut into blocks of 4096 that are coded on their own, so any block can be decoded alone and is
 checked by its CRC-32. Three models predict the next id inside a block: the id last seen after the
-same two ids (order 2), after the same id (order 1), and the majority of every fourth id so far (order 0). A symbol
+same two ids (order 2), after the same id (order 1), and the majority of the ids so far (order 0). A symbol
 says which prediction holds, or else the bit length of the id; its distribution mixes adaptive
 counts of order 0 with counts chosen by the confidence of the order-1 and order-2 predictions. The
 remaining bits of an unpredicted id follow at equal probability. Symbols drive a range coder.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from riskframe.llm.common import new_path
+from riskframe.llm.common import new_path, tokenizer_path
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = tokenizer_path("byte_bpe_50k.json")
 END = 0
 BLOCK = 4096
 #: Blocks coded side by side; a task holds so many times BLOCK ids.
@@ -132,12 +132,11 @@ class _Mixer:
         fresh = x * 4 + 1
         for j in (0, 1):
             self.memory[j][self.slot[j]] = fresh + self.right[j]
-        if self.steps % 4 == 0:
-            major, lead = self.major[:k], self.lead[:k]
-            lead += np.where(major == x, 1, -1)
-            lost = lead < 0
-            np.copyto(major, x, where=lost)
-            np.copyto(lead, 1, where=lost)
+        major, lead = self.major[:k], self.lead[:k]
+        lead += np.where(major == x, 1, -1)
+        lost = lead < 0
+        np.copyto(major, x, where=lost)
+        np.copyto(lead, 1, where=lost)
         self.seen.append(self.row + symbol * self.rows)
         self.before[:k] = self.last[:k]
         self.last[:k] = x
@@ -267,7 +266,6 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         pieces = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.starts = np.array([p.startswith("\u0120") for p in pieces])
         self.memo: dict[str, bytes] = {}

@@ -316,7 +316,6 @@ def _check_token_file(found, texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenfile.TOKENIZER)
-    library.encode_special_tokens = True
     found, start = sorted(found, key=lambda r: r["start"]), 0
     assert [r["doc_id"] for r in found] == [i for i, _ in texts]
     for r, (_, text) in zip(found, texts):
