@@ -1,4 +1,8 @@
-"""Corpus pipeline: five stages over the documents, each written as Parquet and read again."""
+"""Corpus pipeline: five stages over the documents, each written as Parquet and read again.
+
+Every stage returns the columns of documents, but for the last, keeps extra columns, and gives an empty
+table for an empty one. doc_id is a key: rows without one pass stages 2 to 4 unless their text decides.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +13,22 @@ from riskframe.llm.common import read, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the profiles know."""
+    """Documents in a language that the profiles know; null and letterless texts go."""
     return langid.keep_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over many sites stay in their first document only."""
+    """Lines spread over many sites stay in their first document only; repeated rows count as one document."""
     return linededup.clean_lines(docs)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates."""
+    """One document of every group of near-duplicates: that of the smallest doc_id; ties stay together."""
     return simhash.keep_first(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without test items."""
+    """Documents without test items; null texts hold none."""
     return decontam.keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
