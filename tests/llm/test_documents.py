@@ -74,6 +74,29 @@ def test_bundle_is_the_sum_of_bound_trigrams():
     assert np.array_equal(langid.bundle(["Abc!"], 64)[0], want)
 
 
+def test_long_text_of_a_large_alphabet_needs_little_memory():
+    import tracemalloc
+
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 10**6)))
+    langid.bundle(["warm up"])
+    tracemalloc.start()
+    vector = langid.bundle([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and np.abs(vector).max() > 0
+
+
+def test_pieces_of_a_text_bundle_like_the_whole(monkeypatch):
+    texts = ["Abc, déf ghi! " * 40, "", "x", "ÄÖÜ straße 123 日本語 " * 30, "word " * 100]
+    want, sizes = langid._bundles(texts, 256)
+    for piece, few, grams in ((64, 2, 8), (17, 64, 5)):
+        monkeypatch.setattr(langid, "PIECE_CHARS", piece)
+        monkeypatch.setattr(langid, "GROUP_TEXTS", few)
+        monkeypatch.setattr(langid, "SLICE_TRIGRAMS", grams)
+        got, n = langid._bundles(texts, 256)
+        assert np.array_equal(got, want) and np.array_equal(n, sizes)
+
+
 def test_shards_are_even_and_keep_copies_together(spark, awkward, no_rows):
     found = rows(sharding.shard_documents(awkward, shards=4))
     counts = [sum(r["shard"] == s for r in found) for s in range(4)]
