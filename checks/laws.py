@@ -145,6 +145,14 @@ def _(t):
         F.lit(apart < 1e-12).alias("kept_model_equal"))
 
 
+@query("scorecard_walk", """SELECT part, true AS in_range FROM lineitem, (VALUES ('fold_0'), ('fold_1'), ('fold_2'), ('holdout')) p(part)
+    GROUP BY part""")
+def _(t):
+    """Folds that walk forward in time, and the latest fifth held out."""
+    found = models.scorecard_report(rows(t), _X, "label", _KEY, folds=3, time="shipped")
+    return found.select("part", (F.col("auc").between(0, 1) & F.col("ks").between(0, 1)).alias("in_range"))
+
+
 @query("calibration_laws", with_views("scored", """SELECT count(*) AS n, round(avg(label), 4) AS mean_isotonic,
     round(avg(label), 4) AS mean_platt, true AS order_kept FROM scored"""))
 def _(t):

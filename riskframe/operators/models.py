@@ -166,11 +166,20 @@ def boosted_fitter(columns: Sequence[str], label: str, **options) -> Callable[[D
 
 
 def scorecard_report(df: DataFrame, columns: Sequence[str], label: str, key: Sequence[str],
-                     folds: int = 10, share: float = 0.2) -> DataFrame:
-    """Metrics per CV fold and for a stratified holdout, one row each."""
-    parts = cut_lineage(splits.stratified_holdout(df, label, key, share))
-    train, test = parts.where(~F.col("is_test")), parts.where("is_test")
-    cv = out_of_fold(train.drop("is_test"), linear_fitter(columns, label), label, key, folds=folds)
+                     folds: int = 10, share: float = 0.2, time: str | None = None) -> DataFrame:
+    """Metrics per CV fold and for a holdout, one row each.
+
+    With a ``time`` column the folds walk forward and the holdout is the latest ``share`` of the rows; without
+    one, both are stratified.
+    """
+    if time and time in df.columns:
+        placed = cut_lineage(position(df, [time, *key]))
+        last = F.col("position") >= F.col("position_total") * (1 - share)
+        parts = placed.withColumn("is_test", last).drop("position", "position_total")
+    else:
+        parts = cut_lineage(splits.stratified_holdout(df, label, key, share))
+    train, test = parts.where(~F.col("is_test")).drop("is_test"), parts.where("is_test").drop("is_test")
+    cv = out_of_fold(train, linear_fitter(columns, label), label, key, time, folds)
     scored = fit_scorecard_model(train, columns, label).score(test)
     per_fold = cv.select(F.concat(F.lit("fold_"), F.col("fold")).alias("part"), label, "score")
     held = scored.select(F.lit("holdout").alias("part"), label, "score")
@@ -351,13 +360,14 @@ def subset_ablation(df: DataFrame, scores: Sequence[str], label: str,
 
 
 def imbalance_report(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str,
-                     key: Sequence[str], folds: int = 3, **options) -> DataFrame:
+                     key: Sequence[str], folds: int = 3, time: str | None = None, **options) -> DataFrame:
     """Unweighted model with a tuned threshold against a class-weighted one at 0.5.
 
-    The threshold is the mean of the best thresholds over validation folds.
+    The threshold is the mean of the best thresholds over validation folds, which walk forward if there is a
+    ``time`` column and are stratified otherwise.
     """
     plain = boosted_fitter(columns, label, balanced=False, **options)
-    cv = out_of_fold(train, plain, label, key, folds=folds)
+    cv = out_of_fold(train, plain, label, key, time, folds)
     tuned = metrics.best_threshold(
         metrics.score_curve(cv, label, "score", ["fold"]), ["fold"]).agg(
         F.avg("threshold")).first()[0]
