@@ -147,8 +147,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         one = brackets.first()  # one line of fixed size
         placed = rows.withColumns({"_all": F.lit(one["_all"]), "_low": F.array(*[F.lit(x) for x in one["_low"]]),
                                    "_high": F.array(*[F.lit(x) for x in one["_high"]])})
-    region = (F.size(F.filter("_low", lambda x: x <= v)) + F.size(F.filter("_high", lambda x: x < v)))
-    inside = F.exists(F.arrays_zip("_low", "_high"), lambda x: (x["_low"] <= v) & (v <= x["_high"]))
+    # spelled out per probability, so that it is compiled
+    above = [(F.get("_low", F.lit(i)) <= v, F.get("_high", F.lit(i)) < v) for i in range(len(probs))]
+    region = reduce(lambda a, b: a + b, [x.cast("int") for pair in above for x in pair])
+    inside = reduce(lambda a, b: a | b, [low & ~high for low, high in above])
     counts = (placed.select(*group, region.cast("long").alias("_r"), F.when(inside, F.col(value)).alias("_v"))
               .groupBy(*group, "_r", "_v").agg(F.count("*").alias("_n")))
     run = prefix_sums(counts, group, ["_r", "_v"], {"_cum": F.col("_n")}, F.col("_r"), totals=["_cum"])
