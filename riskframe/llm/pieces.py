@@ -266,6 +266,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
             same = [decode(i.tolist(), vocab) == t for i, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), _lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "ids", "same"])
+        # the worker may go on with other work: it keeps the newer memo only
+        vocab.older = {}
+        pa.default_memory_pool().release_unused()
 
     schema = T.StructType([rows.schema.fields[0], T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("same", T.BooleanType())])
