@@ -84,3 +84,27 @@ def test_average_rank(spark, rows):
     got = prefix.average_rank(df, "v", ["g"], "r", share=True).orderBy("id").toPandas()["r"]
     want = frame.groupby("g")["v"].rank(pct=True)
     assert np.allclose(got, want)
+
+
+def test_position_sorts_rows_once(spark, rows):
+    frame, df = rows
+    got = prefix.position(df, ["day", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(_chunk" not in plan and "SortMergeJoin" not in plan
+    assert {r[0] for r in got.select("position_total").collect()} == {len(frame)}
+    assert prefix.position(df.where("id < 0"), ["day", "id"]).collect() == []
+
+
+def test_few_groups_meet_their_brackets_by_broadcast(spark, rows, monkeypatch):
+    """No task takes all rows of a group, whatever the size of the tables."""
+    frame, df = rows
+    seen, join = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda a, b, *rest: seen.append(join(a, b, *rest)) or seen[-1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["g"]: r["quantile"] for r in prefix.exact_quantiles(df, "v", [0.25], ["g"]).collect()}
+        assert "BroadcastHashJoin" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == pytest.approx(frame.groupby("g")["v"].quantile(0.25).to_dict())
