@@ -26,6 +26,9 @@ from riskframe.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
 
+#: Rows of a partition that boosting keeps in memory and reads in every pass.
+ROWS_PER_TASK = 500_000
+
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "_x") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
@@ -79,6 +82,17 @@ def fit_scorecard_model(train: DataFrame, columns: Sequence[str], label: str,
     return LinearScore(columns, raw, means, float(model.intercept))
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with more than ``ROWS_PER_TASK`` rows in even partitions of at most about so many.
+
+    A scan puts any number of rows in one partition where they compress well, and the first rows of an ordered
+    table lie in few partitions.
+    """
+    if rows <= ROWS_PER_TASK:
+        return df
+    return df.repartition(max(-(-rows // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism))
+
+
 class BoostedScore:
     """Fitted trees over named columns: scores batches and streams alike, and can be kept and read again."""
 
@@ -117,9 +131,10 @@ def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, trees: int
         scale = metrics.class_balance(train, label).first()["scale_weight"] or 1.0
         data = train.withColumn("_w", F.when(F.col(label) == 1, scale).otherwise(1.0))
         extra = {"weightCol": "_w"}
+    data = spread(data.select(label, *extra.values(), *columns), train.count())
     model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth,
                           stepSize=step, seed=seed, **extra).fit(
-        assembled(data.select(label, *extra.values(), *columns), columns))
+        assembled(data, columns))
 
     return BoostedScore(list(columns), model)
 
@@ -131,14 +146,8 @@ def fold_pairs(df: DataFrame, label: str, key: Sequence[str], time: str | None =
     Rows are placed once and stored; every fold is a filter on the stored table.
     """
     if time and time in df.columns:
-        placed = cut_lineage(position(df, [time, *key]))
-        n = int(placed.agg(F.max("position_total")).first()[0] or 0)
-        rows = placed.drop("position_total")
-        for b in splits.walk_forward_bounds(n, folds):
-            place = F.col("position")
-            yield (b["fold"], rows.where(place < b["train_end"]).drop("position"),
-                   rows.where((place >= b["valid_start"]) & (place < b["valid_end"]))
-                   .drop("position"))
+        placed = position(df, [time, *key])
+        yield from _walk_pairs(placed, _placed_rows(placed), folds)
     else:
         placed = cut_lineage(splits.stratified_folds(df, label, key, folds, seed, "_fold"))
         for fold in range(folds):
@@ -146,14 +155,29 @@ def fold_pairs(df: DataFrame, label: str, key: Sequence[str], time: str | None =
             yield fold, placed.where(~own).drop("_fold"), placed.where(own).drop("_fold")
 
 
+def _placed_rows(placed: DataFrame) -> int:
+    return int(placed.agg(F.max("position_total")).first()[0] or 0)
+
+
+def _walk_pairs(placed: DataFrame, n: int, folds: int) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """Walk-forward pairs of the first ``n`` rows of a table with positions."""
+    rows, place = placed.drop("position_total"), F.col("position")
+    for b in splits.walk_forward_bounds(n, folds):
+        yield (b["fold"], rows.where(place < b["train_end"]).drop("position"),
+               rows.where((place >= b["valid_start"]) & (place < b["valid_end"])).drop("position"))
+
+
+def _scored_pairs(pairs: Iterator[tuple[int, DataFrame, DataFrame]], fit: Callable[[DataFrame], Scorer]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        fit(train)(valid).withColumn("fold", F.lit(fold)) for fold, train, valid in pairs])
+
+
 def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], Scorer], label: str,
                 key: Sequence[str], time: str | None = None, folds: int = 5,
                 seed: int = 42) -> DataFrame:
     """Scores from models that did not see the row, with the fold. Rows that no fold
     validates have no score and are not returned."""
-    parts = [fit(train)(valid).withColumn("fold", F.lit(fold))
-             for fold, train, valid in fold_pairs(df, label, key, time, folds, seed)]
-    return reduce(DataFrame.unionByName, parts)
+    return _scored_pairs(fold_pairs(df, label, key, time, folds, seed), fit)
 
 
 def linear_fitter(columns: Sequence[str], label: str, c: float = 1.0
@@ -173,7 +197,7 @@ def scorecard_report(df: DataFrame, columns: Sequence[str], label: str, key: Seq
     one, both are stratified.
     """
     if time and time in df.columns:
-        placed = cut_lineage(position(df, [time, *key]))
+        placed = position(df, [time, *key])
         last = F.col("position") >= F.col("position_total") * (1 - share)
         parts = placed.withColumn("is_test", last).drop("position", "position_total")
     else:
@@ -411,14 +435,14 @@ def shift_report(train: DataFrame, test: DataFrame, columns: Sequence[str], key:
 def learning_curve(df: DataFrame, fit: Callable[[DataFrame], Scorer], label: str,
                    key: Sequence[str], time: str, shares: Sequence[float] = (0.5, 0.75, 1.0),
                    folds: int = 5, saturation: float = 0.005) -> DataFrame:
-    """Out-of-fold Gini on growing leading shares of the time-ordered rows."""
-    placed = cut_lineage(position(df, [time, *key]))
-    n = int(placed.agg(F.max("position_total")).first()[0] or 0)
+    """Out-of-fold Gini on growing leading shares of the time-ordered rows, which are placed once."""
+    placed = position(df, [time, *key])
+    n = _placed_rows(placed)
     rows, before = [], None
     for share in shares:
         size = int(n * share + 1e-9)
-        part = placed.where(F.col("position") < size).drop("position", "position_total")
-        value = metrics.gini(out_of_fold(part, fit, label, key, time, folds), label)
+        # the first rows of the order keep their positions
+        value = metrics.gini(_scored_pairs(_walk_pairs(placed, size, folds), fit), label)
         rows.append((float(share), size, value, None if before is None else value - before,
                      None if before is None else value - before < saturation))
         before = value

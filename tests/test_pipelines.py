@@ -221,6 +221,35 @@ RAW = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_
        "EXT_SOURCE_2", "EXT_SOURCE_3", "DAYS_BIRTH", "DAYS_EMPLOYED"]
 
 
+def test_learning_curve_places_rows_once(spark, monkeypatch):
+    """Each share takes the first rows of one order, with the folds that an order of its own would give."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    df = spark.createDataFrame(pd.DataFrame({
+        "id": np.arange(400), "t": rng.integers(0, 90, 400), "x": x, "y": (x + rng.normal(size=400) > 0).astype(int)}))
+    fit, calls, real = models.linear_fitter(["x"], "y"), [], models.position
+    monkeypatch.setattr(models, "position", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got = {r["share"]: r["gini"] for r in models.learning_curve(df, fit, "y", ["id"], "t", (0.5, 1.0), 2).collect()}
+    assert len(calls) == 1
+    half = df.orderBy("t", "id").limit(200)
+    want = [metrics.gini(models.out_of_fold(part, fit, "y", ["id"], "t", 2), "y") for part in (half, df)]
+    assert [got[0.5], got[1.0]] == pytest.approx(want, abs=1e-9)
+
+
+def test_boosting_spreads_rows(spark, monkeypatch):
+    """Rows in one partition are dealt evenly, so that no task holds them all."""
+    df = spark.range(1000).coalesce(1).select(
+        (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    assert models.spread(df, 90) is df
+    sizes = models.spread(df, 1000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 110
+    seen, real = [], models.assembled
+    monkeypatch.setattr(models, "assembled", lambda d, c, *a: seen.append(d.rdd.getNumPartitions()) or real(d, c, *a))
+    models.fit_boosted(df, ["x"], "y", trees=1, depth=1)
+    assert seen == [10]
+
+
 def test_batch_and_stream_agree(spark, loans, tmp_path):
     people = loans.applicants()
     bundle = scoring.fit_bundle(people, RAW, ["CREDIT_INCOME_RATIO", "EXT_SOURCE_MEAN", "AGE_YEARS"], "TARGET")
