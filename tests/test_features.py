@@ -308,3 +308,14 @@ def test_training_frame(tables):
 def test_training_frame_needs_target(tables):
     with pytest.raises(KeyError):
         training.training_frame({**tables, "application": tables["application"].drop("TARGET")})
+
+
+def test_last_payments_are_taken_before_the_shuffle(spark):
+    """Only the newest rows of an applicant travel for the recent means, not lists of all rows."""
+    rows = [(1, float(-d), float(-d + d % 40), 100.0, 90.0) for d in range(300)] + [(None, -5.0, -4.0, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "SK_ID_CURR long, DAYS_INSTALMENT double, DAYS_ENTRY_PAYMENT double, "
+                                     "AMT_INSTALMENT double, AMT_PAYMENT double")
+    out = history.recent_payments(df, 12)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["SK_ID_CURR"]: (r["inst_recent_late_mean"], r["inst_recent_underpay"]) for r in out.collect()}
+    assert got[1] == pytest.approx((sum(range(12)) / 12, 10.0)) and got[None] == pytest.approx((1.0, 0.0))
