@@ -15,11 +15,21 @@ from riskframe.operators.prefix import prefix_sums
 
 
 def score_curve(df: DataFrame, label: str = "label", score: str = "score",
-                group: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: events and non-events, running counts up to it, and totals."""
-    lines = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
-        *group, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+                group: Sequence[str] = (), counts: str | None = None) -> DataFrame:
+    """Per distinct score: events and non-events, running counts up to it, and totals.
+
+    ``counts`` tells how many equal rows a line of ``df`` stands for.
+    """
+    def rows(chosen: Column) -> Column:
+        if counts is None:
+            return F.count_if(chosen)
+        return F.coalesce(F.sum(F.when(chosen, F.col(counts))), F.lit(0)).cast("long")
+
+    # filtered after they are counted: a filter on the rows would work out every score twice
+    lines = df.groupBy(*group, F.col(score).cast("double").alias("score")).agg(
+        rows(F.col(label) == 1).alias("pos"), rows(F.col(label) == 0).alias("neg"),
+        F.count(label).alias("_known")).where(
+        F.when(F.col("score").isNotNull(), F.col("_known")) > 0).drop("_known")
     return prefix_sums(lines, group, ["score"],
                        {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
                        totals=["cum_pos", "cum_neg"]).withColumnsRenamed(
@@ -64,8 +74,8 @@ def curve_metrics(curve: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def metric_suite(df: DataFrame, label: str = "label", score: str = "score",
-                 group: Sequence[str] = ()) -> DataFrame:
-    return curve_metrics(score_curve(df, label, score, group), group)
+                 group: Sequence[str] = (), counts: str | None = None) -> DataFrame:
+    return curve_metrics(score_curve(df, label, score, group, counts), group)
 
 
 def _scalar(df: DataFrame, label: str, score: str, names: list[str]) -> tuple:

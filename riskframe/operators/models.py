@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +28,10 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 #: Rows of a partition that boosting keeps in memory and reads in every pass.
 ROWS_PER_TASK = 500_000
+#: Rows from which boosting trains on weighted cells of binned rows.
+BINNED_ROWS = 1_000_000
+#: Bins of a column, as Spark ML has them by default.
+BINS = 32
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "_x") -> DataFrame:
@@ -63,14 +67,30 @@ class LinearScore:
 
 
 def fit_scorecard_model(train: DataFrame, columns: Sequence[str], label: str,
-                        c: float = 1.0, weight: str | None = None) -> LinearScore:
-    """Standardised L2 logistic regression with inverse penalty ``c``."""
+                        c: float = 1.0, weight: str | None = None, counts: str | None = None) -> LinearScore:
+    """Standardised L2 logistic regression with inverse penalty ``c``.
+
+    ``counts`` tells how many equal rows a line stands for; the fit is that of the rows.
+    """
     columns = list(columns)
-    stats = train.agg(F.count("*").alias("n"),
-                      F.array(*[F.avg(F.col(x)) for x in columns]).alias("mean"),
-                      F.array(*[F.stddev_pop(F.col(x)) for x in columns]).alias("std")).first()
-    means = [float(m or 0.0) for m in stats["mean"]]
-    spread = [float(s or 0.0) or 1.0 for s in stats["std"]]
+    if counts is None:
+        stats = train.agg(F.count("*").alias("n"),
+                          F.array(*[F.avg(F.col(x)) for x in columns]).alias("mean"),
+                          F.array(*[F.stddev_pop(F.col(x)) for x in columns]).alias("std")).first()
+        means, deviations = stats["mean"], stats["std"]
+    else:
+        weight = counts
+
+        def mean(value: Column) -> Column:
+            return F.sum(value * F.col(counts)) / F.sum(F.when(value.isNotNull(), F.col(counts)))
+
+        stats = train.agg(F.sum(counts).alias("n"), F.array(*[mean(F.col(x)) for x in columns]).alias("mean")).first()
+        means = stats["mean"]
+        squares = train.agg(*[mean((F.col(x) - (m or 0.0)) * (F.col(x) - (m or 0.0))).alias(f"_{i}")
+                              for i, (x, m) in enumerate(zip(columns, means))]).first()
+        stats, deviations = {"n": stats["n"] or 0}, [v and v ** 0.5 for v in squares]
+    means = [float(m or 0.0) for m in means]
+    spread = [float(s or 0.0) or 1.0 for s in deviations]
     scaled = train.select(label, *([weight] if weight else []), *[
         ((F.col(x) - m) / s).alias(x) for x, m, s in zip(columns, means, spread)])
     model = LogisticRegression(
@@ -93,50 +113,123 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(-(-rows // ROWS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism))
 
 
+def bin_edges(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """Per column the bounds of at most ``BINS`` bins, from all rows: a value lies right of the bounds below it.
+
+    Up to ``BINS`` values have a bin each, bounded halfway between neighbours; more are cut at quantiles.
+    """
+    values = {c: F.col(c).cast("double") for c in columns}
+    grid = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    found = df.agg(F.array(*[F.approx_count_distinct(v) for v in values.values()]).alias("n"),
+                   *[F.percentile_approx(v, grid, F.lit(1000)).alias(f"q{i}") for i, v in enumerate(values.values())]
+                   ).first()
+    # the number of values is an estimate, so some are listed in vain
+    few = [c for i, c in enumerate(columns) if found["n"][i] <= BINS * 5 // 4]
+    listed = df.agg(*[F.collect_set(values[c]).alias(f"s{i}") for i, c in enumerate(few)]).first() if few else ()
+    known = {c: sorted(x) for c, x in zip(few, listed)}
+    out = []
+    for i, c in enumerate(columns):
+        if len(known.get(c, [0.0] * (BINS + 1))) <= BINS:
+            most = [min(max(x, -1e308), 1e308) for x in known[c]]
+            out.append(sorted({a / 2 + b / 2 for a, b in zip(most, most[1:])}))
+        else:
+            out.append(sorted({float(x) for x in found[f"q{i}"] if np.isfinite(x)}))
+    return out
+
+
+def binned(df: DataFrame, columns: Sequence[str], edges: Sequence[Sequence[float]]) -> DataFrame:
+    """``df`` with the bin number of each column in its place. NULL and NaN raise, as they do in an assembler."""
+    # a bucket holds its lower bound, a bin its upper one; a column of one value has one bin
+    splits_ = [[-np.inf, *[float(np.nextafter(e, np.inf)) for e in own or [0.0]], np.inf] for own in edges]
+    out = Bucketizer(splitsArray=splits_, inputCols=list(columns), outputCols=[f"_b{i}" for i in range(len(columns))],
+                     handleInvalid="error").transform(df.withColumns({c: F.col(c).cast("double") for c in columns}))
+    # as plain numbers: a bucket is marked as a category, whose order trees would not keep
+    return out.withColumns({c: F.col(f"_b{i}") + 0.0 for i, c in enumerate(columns)}).drop(
+        *[f"_b{i}" for i in range(len(columns))])
+
+
 class BoostedScore:
-    """Fitted trees over named columns: scores batches and streams alike, and can be kept and read again."""
+    """Fitted trees over named columns: scores batches and streams alike, and can be kept and read again.
 
-    def __init__(self, columns: list[str], model: GBTClassificationModel):
-        self.columns, self.model = columns, model
+    Trees over bins come with the bounds of the bins of each column.
+    """
+
+    def __init__(self, columns: list[str], model: GBTClassificationModel, edges: list[list[float]] | None = None):
+        self.columns, self.model, self.edges = columns, model, edges
 
     @property
     def importances(self) -> dict[str, float]:
         return dict(zip(self.columns, self.model.featureImportances.toArray().tolist()))
 
     def __call__(self, df: DataFrame, name: str = "score") -> DataFrame:
-        out = self.model.transform(assembled(df, self.columns))
+        if self.edges is None:
+            inputs = assembled(df, self.columns)
+        else:
+            own = {c: f"_v{i}" for i, c in enumerate(self.columns)}
+            inputs = assembled(binned(df.withColumns({v: F.col(c) for c, v in own.items()}), list(own.values()), self.edges),
+                               list(own.values())).drop(*own.values())
+        # without the other outputs the trees are walked once a row
+        model = self.model.copy().setRawPredictionCol("").setPredictionCol("")
         value = vector_to_array(F.col("probability")).getItem(1)
-        return out.withColumn("_p", value).drop(
-            "_x", "rawPrediction", "probability", "prediction").withColumnRenamed("_p", name)
+        return model.transform(inputs).withColumn("_p", value).drop("_x", "probability").withColumnRenamed("_p", name)
 
     def save(self, folder: str) -> None:
-        """Trees and column list below ``folder``, in the format of Spark ML, replacing what is there."""
+        """Trees, columns and bins below ``folder``, in the format of Spark ML, replacing what is there."""
         self.model.write().overwrite().save(f"{folder}/trees")
         spark = SparkSession.active()
-        (spark.createDataFrame(list(enumerate(self.columns)), "place int, name string").coalesce(1)
+        lines = [(i, c, self.edges[i] if self.edges is not None else None) for i, c in enumerate(self.columns)]
+        (spark.createDataFrame(lines, "place int, name string, edges array<double>").coalesce(1)
          .write.mode("overwrite").json(f"{folder}/columns"))
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> BoostedScore:
-        rows = spark.read.schema("place int, name string").json(f"{folder}/columns").orderBy("place").collect()
-        return cls([r["name"] for r in rows], GBTClassificationModel.load(f"{folder}/trees"))
+        rows = spark.read.schema("place int, name string, edges array<double>").json(
+            f"{folder}/columns").orderBy("place").collect()
+        edges = [r["edges"] for r in rows]
+        return cls([r["name"] for r in rows], GBTClassificationModel.load(f"{folder}/trees"),
+                   None if None in edges else edges)
+
+
+def _cells(data: DataFrame, columns: Sequence[str], label: str, rows: int
+           ) -> tuple[DataFrame, int, list[list[float]]] | None:
+    """Lines (label, bins of the columns, ``_n`` rows) of equally binned rows, their number and the bounds of the bins.
+
+    Boosting sees only the bins of a row, so the lines train the same trees. None where binning
+    does not reduce the rows, as over many columns.
+    """
+    edges = bin_edges(data, columns)
+    lines = cut_lineage(binned(data, columns, edges).groupBy(label, *columns).agg(F.count("*").alias("_n")))
+    size = lines.count()
+    return (lines, size, edges) if size * 4 <= rows else None
 
 
 def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, trees: int = 50,
                 depth: int = 5, step: float = 0.1, balanced: bool = True,
                 seed: int = 42) -> BoostedScore:
-    """Gradient-boosted trees; ``balanced`` weights positives by negatives / positives."""
-    data, extra = train, {}
-    if balanced:
-        scale = metrics.class_balance(train, label).first()["scale_weight"] or 1.0
-        data = train.withColumn("_w", F.when(F.col(label) == 1, scale).otherwise(1.0))
-        extra = {"weightCol": "_w"}
-    data = spread(data.select(label, *extra.values(), *columns), train.count())
-    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth,
-                          stepSize=step, seed=seed, **extra).fit(
-        assembled(data, columns))
+    """Gradient-boosted trees; ``balanced`` weights positives by negatives / positives.
 
-    return BoostedScore(list(columns), model)
+    More than ``BINNED_ROWS`` rows are binned and counted first, so that the passes of all trees go over
+    the cells that occur and not over the rows.
+    """
+    columns = list(columns)
+    counts = metrics.class_balance(train, label).first()
+    scale = F.when(F.col(label) == 1, counts["scale_weight"] or 1.0).otherwise(1.0)
+    data, rows = train.select(label, *dict.fromkeys(c for c in columns if c != label)), counts["n"]
+    options = {"maxIter": trees, "maxDepth": depth, "stepSize": step, "seed": seed}
+    found = _cells(data, columns, label, rows) if rows > BINNED_ROWS and label not in columns else None
+    if found:
+        lines, size, edges = found
+        weight = F.col("_n") * scale if balanced else F.col("_n").cast("double")
+        data = lines.withColumn("_w", weight).drop("_n").repartition(train.sparkSession.sparkContext.defaultParallelism)
+        # so many bins that Spark draws no sample of the cells: every bound is a candidate
+        options |= {"weightCol": "_w", "maxBins": max(BINS, int(size ** 0.5) + 1)}
+    else:
+        edges = None
+        if balanced:
+            data, options = data.withColumn("_w", scale), options | {"weightCol": "_w"}
+        data = spread(data, rows)
+    model = GBTClassifier(featuresCol="_x", labelCol=label, **options).fit(assembled(data, columns))
+    return BoostedScore(columns, model, edges)
 
 
 def fold_pairs(df: DataFrame, label: str, key: Sequence[str], time: str | None = None,
@@ -294,9 +387,9 @@ def blend_mean(df: DataFrame, scores: Sequence[str], name: str = "blend") -> Dat
                          / len(scores))
 
 
-def fit_logistic_stack(df: DataFrame, scores: Sequence[str], label: str) -> LinearScore:
+def fit_logistic_stack(df: DataFrame, scores: Sequence[str], label: str, counts: str | None = None) -> LinearScore:
     """Logistic regression on out-of-fold scores; rows without a full set are left out."""
-    return fit_scorecard_model(df.dropna(subset=list(scores)), scores, label)
+    return fit_scorecard_model(df.dropna(subset=list(scores)), scores, label, counts=counts)
 
 
 class RidgeScore:
@@ -371,16 +464,20 @@ def calibrated_stack(df: DataFrame, scores: Sequence[str], label: str, key: Sequ
 
 def subset_ablation(df: DataFrame, scores: Sequence[str], label: str,
                     smallest: int = 2) -> DataFrame:
-    """Metrics of every subset of scores, averaged and logistically stacked."""
+    """Metrics of every subset of scores, averaged and logistically stacked.
+
+    Rows of equal scores and label meet in one line, written once; fits and metrics weight it by their number.
+    """
+    lines = cut_lineage(df.groupBy(label, *scores).agg(F.count("*").alias("_n")))
     columns: dict[str, Column] = {}
     for size in range(smallest, len(scores) + 1):
         for subset in combinations(scores, size):
             tag = "+".join(subset)
             columns[f"average:{tag}"] = reduce(lambda a, b: a + b, map(F.col, subset)) / size
-            columns[f"logistic:{tag}"] = fit_logistic_stack(df, subset, label).probability()
-    wide = df.select(label, *[v.alias(n) for n, v in columns.items()])
-    return metrics.metric_suite(wide.unpivot([label], list(columns), "variant", "score"),
-                                label, "score", ["variant"])
+            columns[f"logistic:{tag}"] = fit_logistic_stack(lines, subset, label, "_n").probability()
+    wide = lines.select(label, "_n", *[v.alias(n) for n, v in columns.items()])
+    return metrics.metric_suite(wide.unpivot([label, "_n"], list(columns), "variant", "score"),
+                                label, "score", ["variant"], "_n")
 
 
 def imbalance_report(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str,

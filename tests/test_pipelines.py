@@ -250,6 +250,59 @@ def test_boosting_spreads_rows(spark, monkeypatch):
     assert seen == [10]
 
 
+def test_boosting_by_cells_equals_rows(spark, monkeypatch, tmp_path):
+    """Weighted cells of binned rows train the trees of the rows, and passes of the trees do not see the rows."""
+    rng = np.random.default_rng(5)
+    x, y, z = rng.integers(0, 9, 6000) / 7, rng.integers(-3, 5, 6000) * 1e6, rng.integers(0, 3, 6000) * 1.0
+    label = ((x > 0.5) & (y < 2e6) ^ (rng.random(6000) < 0.2)).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": z, "label": label}))
+    for balanced in (False, True):
+        rows = models.fit_boosted(df, ["x", "y", "z"], "label", trees=4, depth=4, balanced=balanced)
+        seen, real = [], models.assembled
+        with monkeypatch.context() as patch:
+            patch.setattr(models, "BINNED_ROWS", 1000)
+            patch.setattr(models, "assembled", lambda d, c, *a: seen.append(d.count()) or real(d, c, *a))
+            cells = models.fit_boosted(df, ["x", "y", "z"], "label", trees=4, depth=4, balanced=balanced)
+        assert rows.edges is None and cells.edges and seen[0] <= 9 * 8 * 3 * 2
+        cells.save(f"{tmp_path}/kept")
+        kept = models.BoostedScore.load(spark, f"{tmp_path}/kept")
+        both = kept(cells(rows(df, "a"), "b"), "c")
+        assert both.columns == [*df.columns, "a", "b", "c"]
+        found = both.agg(F.max(F.abs(F.col("a") - F.col("b"))), F.max(F.abs(F.col("b") - F.col("c")))).first()
+        assert found[0] < 1e-9 and found[1] == 0
+    many = spark.range(4000).select(F.col("id").alias("v"), F.lit(1.0).alias("one"), F.lit(float("inf")).alias("far"))
+    edges = models.bin_edges(many, ["v", "one", "far"])
+    assert len(edges[0]) == 31 and edges[1:] == [[], []]
+    sizes = models.binned(many, ["v", "one", "far"], edges).groupBy("v", "one", "far").count().collect()
+    assert len(sizes) == 32 and max(r["count"] for r in sizes) <= 200
+    with pytest.raises(Exception):
+        models.binned(many.withColumn("v", F.lit(float("nan"))), ["v"], edges[:1]).collect()
+
+
+def test_ablation_weights_equal_rows(spark, sample, monkeypatch):
+    """Lines of equal rows give the fits and metrics of the rows; the fits see the lines only."""
+    rounded = sample.select("label", F.round("s1", 1).alias("s1"), F.round("s2", 1).alias("s2"))
+    sizes, real = [], models.fit_scorecard_model
+    monkeypatch.setattr(models, "fit_scorecard_model", lambda d, *a, **k: sizes.append(d.count()) or real(d, *a, **k))
+    got = {r["variant"]: r for r in models.subset_ablation(rounded, ["s1", "s2"], "label").collect()}
+    assert max(sizes) < 400 < rounded.count()
+    plain = real(rounded, ["s1", "s2"], "label").score(rounded)
+    want = metrics.metric_suite(plain, "label", "score").first()
+    line = got["logistic:s1+s2"]
+    assert (line["n_pos"], line["n_neg"]) == (want["n_pos"], want["n_neg"])
+    assert [line["auc"], line["brier"]] == pytest.approx([want["auc"], want["brier"]], abs=1e-6)
+
+
+def test_score_curve_works_out_scores_once(spark):
+    """Rows without score or label are left out after counting, not by a filter that repeats the score's expression."""
+    df = spark.createDataFrame([(0.1, 0), (None, 1), (0.3, None), (0.3, 1), (0.5, None)], "s double, label int")
+    curve = metrics.score_curve(df.withColumn("score", F.exp("s")), "label", "score")
+    assert sorted((r["pos"], r["neg"], r["n_pos"], r["n_neg"]) for r in curve.collect()) == [(0, 1, 1, 1), (1, 0, 1, 1)]
+    lines = df.withColumn("score", F.exp("s")).groupBy("score", "label").agg(F.count("*").alias("n"))
+    again = metrics.score_curve(lines, "label", "score", counts="n")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, curve.collect()))
+
+
 def test_batch_and_stream_agree(spark, loans, tmp_path):
     people = loans.applicants()
     bundle = scoring.fit_bundle(people, RAW, ["CREDIT_INCOME_RATIO", "EXT_SOURCE_MEAN", "AGE_YEARS"], "TARGET")
