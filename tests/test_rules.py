@@ -54,3 +54,15 @@ def test_models_that_are_all_blends_have_no_lift(spark):
     df = spark.createDataFrame([("x", 0.7), ("y", 0.5)], "model string, gini double")
     got = {r["model"]: r for r in metrics.compare_models(df, ["x", "y"]).collect()}
     assert got["x"]["gate"] == "full_pass" and got["y"]["gate"] == "investigate" and got["x"]["lift"] is None
+
+
+def test_pearson_moments_in_long_form(spark, monkeypatch):
+    """Counts, means and deviations of all columns come from one short aggregate, with NULLs and without rows too."""
+    calls, real = [], selection.long_values
+    monkeypatch.setattr(selection, "long_values", lambda d, c, *a: calls.append(len(c)) or real(d, c, *a))
+    df = spark.range(50).select(F.col("id").cast("double").alias("a"), (-F.col("id")).alias("b"),
+                                F.when(F.col("id") > 3, F.col("id") * 2).alias("c"))
+    assert np.allclose(selection.pearson_matrix(df, ["a", "b"]), [[1, -1], [-1, 1]])
+    assert np.allclose(selection.pearson_matrix(df, ["a", "c"]), 1)
+    assert (selection.pearson_matrix(df.limit(0), ["a", "b"]) == 0).all()
+    assert calls == [2, 2, 2]
