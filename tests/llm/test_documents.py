@@ -361,3 +361,37 @@ def test_words_apart_give_the_ids_of_the_whole_text():
              "12 34  5\r\n6", "a ​ b", "x \u0085y z"]
     want = [e.ids for e in tokens.library.encode_batch(texts, add_special_tokens=False)]
     assert [t.tolist() for t in tokens.batch(texts)] == want
+
+
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    tokens, seen = tokenfile._Tokens(tokenfile.TOKENIZER), []
+    whole = tokens._words
+    monkeypatch.setattr(tokens, "_words", lambda words: seen.extend(words) or whole(words))
+    texts = ["the hend, oftionnten. Str\u00e4ur\u00e9, x.\nAnd &&& end!! a-b_c$$$ f^`g", "w the hend.\nXyz,%% \u00e9tho"]
+    odd = ["a b<|endoftext|>c d", "it's a.'s 12a \u00b5m a\u00d7b \u043a\u043e\u0442, \u65e5\u672c", "x a.\n\nb c\n d\r\ne f"]
+    want = [e.ids for e in tokens.library.encode_batch(texts + odd, add_special_tokens=False)]
+    assert [t.tolist() for t in tokens.batch(texts)] == want[:2]
+    assert set(seen) == {"&&&"}  # before, every new word took the way through the whole library
+    assert [t.tolist() for t in tokens.batch(odd)] == want[2:]
+
+
+def test_predictions_known_ahead_are_those_of_one_id_after_another():
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, (5, 700)), 65535).astype(np.uint16)
+    ids[1], ids[2, 100:] = 0, np.tile([7, 0, 9], 200)
+    pairs, misses = tokenfile._known_ahead(ids)
+    memory = tokenfile._Memory(5)
+    for step, x in enumerate(ids.T.astype(np.uint32)):
+        memory.predict(5)
+        two, one = ((e & 3 > 0) & (g == x) for e, g in zip(memory.entry, memory.guess))
+        assert np.array_equal(memory.pair, pairs[:, step])
+        assert np.array_equal(np.where(two, 0, np.where(one, 1, 2)), misses[:, step])
+        memory.learn(x)
+
+
+def test_blocks_have_the_bytes_of_earlier_files():
+    rng = np.random.default_rng(3)
+    blocks = [np.minimum(rng.zipf(1.2, n), 65535) for n in (4096, 1000, 37)] + [
+        np.full(4096, 65535), rng.integers(0, 65536, 4096)]
+    assert [zlib.crc32(b) for b in tokenfile.encode_blocks(blocks)] == [
+        3393222978, 1479469800, 956185191, 3545591676, 3592508266]
