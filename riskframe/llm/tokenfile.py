@@ -381,7 +381,7 @@ class _Tokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.library = Tokenizer.from_file(path)
         pieces = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
@@ -390,6 +390,7 @@ class _Tokens:
         self.older: dict[str, bytes] = {}
         #: pieces of words that have no space before them
         self.parts: dict[str, bytes] = {}
+        self.marks = dict(zip(",.;:!?", self._encode(list(",.;:!?"))))
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         split, added = settings["pre_tokenizer"] or {}, [t["content"] for t in settings["added_tokens"]]
@@ -397,8 +398,14 @@ class _Tokens:
         #: the library splits as described, and no added token can lie in a word of letters
         self.direct = (settings["normalizer"] is None and split.get("type") == "ByteLevel"
                        and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-                       and not any(t.isalpha() for t in added))
+                       and not any(t.rstrip(",.;:!?").isalpha() or not t.strip(",.;:!?") for t in added))
         self.model = self.library.model
+        if self.direct and settings["model"]["type"] == "BPE":
+            # the same model without the cache of its own, which would mostly hold words that are remembered here
+            plain = {k: v for k, v in settings["model"].items()
+                     if v is not None and k not in ("type", "vocab", "merges")}
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in settings["model"]["merges"]]
+            self.model = models.BPE(settings["model"]["vocab"], merges, cache_capacity=0, **plain)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -449,16 +456,22 @@ class _Tokens:
         if len(self.parts) > self.PARTS:
             self.parts = {}
         memo, older, plain = self.memo, self.older, _PLAIN_WORD.fullmatch
-        tokenize, added = self.model.tokenize, self.added.search
+        tokenize, added, parts = self.model.tokenize, self.added.search, self.marks
         out, others = list(map(memo.get, words)), []
         for i in [i for i, ids in enumerate(out) if ids is None]:
             word = words[i]
             ids = older.get(word)
             if ids is None and self.direct:
-                if word.isalpha() and word.isascii():
+                if word.isascii() and word.isalpha():
                     ids = array("H", [t.id for t in tokenize("\u0120" + word)]).tobytes()
+                elif word[-1:] in parts and word[:-1].isalpha() and word.isascii():
+                    base = word[:-1]  # a mark behind a word, the commonest of words in pieces
+                    ids = memo.get(base) or older.get(base)
+                    if ids is None:
+                        ids = memo[base] = array("H", [t.id for t in tokenize("\u0120" + base)]).tobytes()
+                    ids += parts[word[-1]]
                 elif plain(word) and not added(word):
-                    ids = self._pieces(word)
+                    ids = self._merged(" " + word) if word.isalpha() else self._pieces(word)
             if ids is not None:
                 out[i] = memo[word] = ids
             elif self._apart(word):
