@@ -98,4 +98,4 @@ def test_queries_equal_sql(spark, sf_dir):
     duck, queries, sql = connect(sf_dir), driver.queries(), driver.oracle_sql()
     names = [n for n in sql if re.match(r"op\d+_|pipeline$", n)]
     assert names and all(same(queries[n](spark, sf_dir), duck, sql[n]) == "" for n in names)
-    assert {int(n[2:].split("_")[0]) for n in queries if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries if re.match(r"op\d+_", n)} == set(range(1, 14))
