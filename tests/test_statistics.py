@@ -307,5 +307,30 @@ def test_neighbours_of_test_rows_and_odd_folds(spark):
     assert {round(r["neighbour_enc"], 9) for r in one.collect()} == {round(rows_mean([r for r in rows if r[4] == 1]), 9)}
 
 
+def test_neighbours_beyond_the_cell(spark):
+    """The nearest rows count, and all that tie with the last one, whichever cell they lie in."""
+    rng = np.random.default_rng(5)
+    grid = pd.DataFrame([(i % 20, i // 20 % 20) for i in range(1200)], columns=["a", "b"]).astype(float)
+    heap = pd.DataFrame(np.where(np.arange(600)[:, None] < 400, 0.0, rng.normal(size=(600, 2)) ** 2), columns=["a", "b"])
+    # (rows, folds, k, lines of a cell): ties everywhere; a place of many folds at an edge, cells with fewer than k rows
+    for frame, folds, k, most in ((grid, 4, 30, 500), (heap, 300, 120, 64)):
+        n = len(frame)
+        frame = frame.assign(id=np.arange(n), label=(rng.random(n) < 0.3).astype(int), fold=np.arange(n) * 7 % folds)
+        names = ["a", "b"]
+        z = (frame[names].values - frame[names].values.mean(0)) / frame[names].values.std(0)
+        df = spark.createDataFrame(frame)
+        got = neighbours.encode_neighbours(df, names, "label", "fold", k=k, cell_lines=most).toPandas().sort_values("id")
+        want = []
+        for i in range(n):
+            away = np.where(frame.fold != frame.fold[i], ((z - z[i]) ** 2).sum(1), np.inf)
+            want.append(frame.label[away <= np.sort(away)[k - 1] * (1 + 1e-9)].mean())
+        assert np.abs(got.neighbour_enc.values - want).max() < 1e-9
+        asked = spark.createDataFrame(frame[["id", *names]])
+        got = neighbours.encode_neighbours(df, names, "label", "fold", asked, k=k, cell_lines=most).toPandas().sort_values("id")
+        away = ((z[:, None] - z) ** 2).sum(2)
+        reach = np.sort(away, axis=1)[:, k - 1:k] * (1 + 1e-9)
+        assert np.abs(got.neighbour_enc.values - ((away <= reach) @ frame.label / (away <= reach).sum(1))).max() < 1e-9
+
+
 def rows_mean(rows):
     return sum(r[3] for r in rows) / len(rows)
