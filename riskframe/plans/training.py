@@ -30,27 +30,33 @@ def joined_frame(tables: dict[str, DataFrame], sequences: bool = True,
 
     Every aggregate has one row per applicant, so no join can multiply rows, and all
     are partitioned by the applicant key already. ``histories`` also returns the
-    windowed, status and habit features, which come from the same passes.
+    windowed, status and habit features, which come from the same passes. With ``sequences`` the
+    instalments are written once, because two passes read them.
     """
     bureau, prev = tables["bureau"], tables["previous_application"]
     inst, cc = tables["installments"], tables["credit_card"]
+    balances = history.gathered_balances(tables["bureau_balance"]) if sequences else None
+    if sequences:
+        paid = history.instalment_history(cut_lineage(inst.select(
+            KEY, history.DUE, history.ENTRY, "AMT_INSTALMENT", "AMT_PAYMENT"), drop_shuffles=True), histories)
+    else:
+        paid = history.instalment_features(inst) if histories else history.instalment_summary(inst)
     if histories:
         parts = [
-            history.bureau_features(bureau, tables["bureau_balance"]).drop(
+            history.bureau_features(bureau, tables["bureau_balance"], balances).drop(
                 *history.TIME_COLUMNS),
             history.previous_features(prev), history.pos_summary(tables["pos_cash"]),
-            history.instalment_features(inst), history.card_features(cc)]
+            paid, history.card_features(cc)]
     else:
-        parts = [history.bureau_summary(bureau, tables["bureau_balance"]),
+        parts = [history.bureau_summary(bureau, tables["bureau_balance"], balances),
                  history.previous_summary(prev), history.pos_summary(tables["pos_cash"]),
-                 history.instalment_summary(inst), history.card_summary(cc)]
-    if sequences:
-        parts += [history.instalment_sequences(inst).select(
-            KEY, "inst_max_consec_late_streak", "inst_months_since_last_late",
-            *history.SEQUENCE_COLUMNS), history.payment_slope(inst)]
+                 paid, history.card_summary(cc)]
     frame = tables["application"]
     for part in parts:
         frame = frame.join(part, KEY, "left")
+    if sequences:
+        # order-dependent features stand last
+        frame = frame.select(*[c for c in frame.columns if c not in history.ORDERED_COLUMNS], *history.ORDERED_COLUMNS)
     frame = frame.fillna(0, [c for c in ZERO_WHEN_ABSENT if c in frame.columns])
     if histories:
         frame = frame.fillna({c: v for c, v in history.ABSENT.items() if c in frame.columns})
@@ -100,5 +106,5 @@ def training_frame(tables: dict[str, DataFrame], drop_sparse: bool = True,
     frame = sentinel_child_columns(presence_flags(nan_to_null(joined_frame(tables, sequences))))
     if drop_sparse:
         # counting NULLs reads every column; the child aggregates must not run twice
-        frame = drop_sparse_columns(cut_lineage(frame))
+        frame = drop_sparse_columns(cut_lineage(frame, drop_shuffles=True))
     return frame.fillna(MISSING, numeric_columns(frame))

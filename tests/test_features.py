@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe import session
 from riskframe.functions import application as app
 from riskframe.functions import exprs
 from riskframe.operators import history
@@ -319,3 +320,43 @@ def test_last_payments_are_taken_before_the_shuffle(spark):
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     got = {r["SK_ID_CURR"]: (r["inst_recent_late_mean"], r["inst_recent_underpay"]) for r in out.collect()}
     assert got[1] == pytest.approx((sum(range(12)) / 12, 10.0)) and got[None] == pytest.approx((1.0, 0.0))
+
+
+def test_instalment_history_equals_its_parts(spark, monkeypatch):
+    """One shuffle gives what the folded summaries give, and applicants with many rows still take those."""
+    rng = np.random.default_rng(8)
+
+    def some(value, share=0.1):
+        return None if rng.random() < share else float(value)
+
+    rows = [(None if i % 50 == 0 else int(i % 7) if i < 300 else i, some(-rng.integers(0, 30), 0.02),
+             some(-rng.integers(0, 30)), some(rng.integers(0, 4) * 10, 0.02), some(rng.integers(0, 4) * 10)) for i in range(420)]
+    inst = instalments(spark, rows)
+    plain, want = history.instalment_features(inst), history.instalment_sequences(inst)
+    parts = plain.join(want, "SK_ID_CURR").join(history.payment_slope(inst), "SK_ID_CURR")
+    want = {r["SK_ID_CURR"]: r.asDict() for r in parts.collect()}
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(history, "GATHERED_ROWS", most)
+        out = history.instalment_history(inst)
+        got = {r["SK_ID_CURR"]: r.asDict() for r in out.collect()}
+        assert got.keys() == want.keys() and len(got) > 100
+        for key, r in got.items():
+            assert r == pytest.approx({c: want[key][c] for c in r}, abs=1e-9, nan_ok=True), key
+    months = balances(spark, [
+        (1, i % 5 if i < 90 else i, -(i % 13), "C0123X"[i % 6]) for i in range(120)] + [(1, None, 0, "0")])
+    def loans(df):
+        return {r["SK_ID_BUREAU"]: [round(v, 9) if isinstance(v, float) else v for v in r] for r in df.collect()}
+
+    want = loans(history.loan_balances(months).where("SK_ID_BUREAU is not null"))
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(history, "GATHERED_ROWS", most)
+        assert loans(history.gathered_balances(months)) == want
+
+
+def test_frame_shuffles_each_child_once(tables, spark):
+    """Rows of a child table travel once or twice, whatever is made of them; spent shuffles leave the disk."""
+    plan = training.joined_frame(tables, histories=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 12  # 31 before, on the tables of the driver
+    before = spark.conf.get(session.DROP_SHUFFLES)
+    session.cut_lineage(tables["bureau"].groupBy("SK_ID_CURR").count(), drop_shuffles=True)
+    assert spark.conf.get(session.DROP_SHUFFLES) == before
